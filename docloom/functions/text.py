@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: the whitespace class the results are defined over (Unicode, not only ASCII).
-WHITESPACE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
+WHITESPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 WORD = r"[\p{L}\p{N}]+"
 HAN = r"[一-鿿]"
 

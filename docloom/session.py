@@ -23,7 +23,9 @@ def build_session(app: str = "docloom", master: str | None = None, shuffle_parti
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -40,3 +42,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="docloom-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in every Python worker, wherever the driver was started."""
+    import shutil
+    from pathlib import Path
+
+    package = Path(__file__).resolve().parent
+    context = spark.sparkContext
+    if getattr(context, "_docloom_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="docloom-package-")
+    archive = shutil.make_archive(os.path.join(folder, "docloom"), "zip", root_dir=package.parent, base_dir=package.name)
+    context.addPyFile(archive)
+    context._docloom_shipped = True
