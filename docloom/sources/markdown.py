@@ -10,17 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
-SPACE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
+from docloom.functions.text import strip
 
-
-def _trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def _row_cells(line: Column) -> Column:
     inner = F.regexp_replace(line, r"^\|+|\|+$", "")
-    return F.transform(F.split(inner, r"\|"), _trim)
+    return F.transform(F.split(inner, r"\|"), strip)
 
 
 def _table_row(line: Column) -> Column:
@@ -33,7 +30,7 @@ def _table_row(line: Column) -> Column:
 
 def markdown_blocks(pages: DataFrame, key: list[str], text: str, source: str = "ocr") -> DataFrame:
     """``(key..., order, type, level, text, source)`` blocks of each page text."""
-    lines = pages.select(*key, F.posexplode(F.transform(F.split(text, LINE_BREAK), _trim)).alias("pos", "line"))
+    lines = pages.select(*key, F.posexplode(F.transform(F.split(text, LINE_BREAK), strip)).alias("pos", "line"))
     line = F.col("line")
     heading = F.regexp_extract(line, r"^(#{1,6})", 1)
     kind = (
@@ -48,7 +45,7 @@ def markdown_blocks(pages: DataFrame, key: list[str], text: str, source: str = "
     islands = classified.withColumn("island", F.sum(breaks.cast("int")).over(by_page)).where("kind <> 'blank'")
     body = (
         F.when(F.col("kind") == "table", _table_row(line))
-        .when(F.col("kind") == "heading", _trim(F.regexp_replace(_trim(F.regexp_replace(line, r"^#{1,6}", "")), "#+$", "")))
+        .when(F.col("kind") == "heading", strip(F.regexp_replace(strip(F.regexp_replace(line, r"^#{1,6}", "")), "#+$", "")))
         .otherwise(line)
     )
     merged = (
@@ -60,7 +57,7 @@ def markdown_blocks(pages: DataFrame, key: list[str], text: str, source: str = "
             F.first("level").alias("level"),
             F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("body").isNotNull(), F.struct("pos", "body")))), lambda p: p["body"]), "\n").alias("text"),
         )
-        .where(_trim(F.col("text")) != "")
+        .where(strip(F.col("text")) != "")
     )
     ordered = Window.partitionBy(*key).orderBy("island")
     return merged.select(
@@ -79,7 +76,7 @@ def blocks_by_document(blocks: DataFrame, key: str, page: Column | None = None)
 
 def serialize_table(rows: Column) -> Column:
     """Table cells (array of rows) as ``header: value`` lines; a lone row is its cells joined."""
-    cleaned = F.filter(F.transform(rows, lambda r: F.transform(r, _trim)), lambda r: F.exists(r, lambda c: c != ""))
+    cleaned = F.filter(F.transform(rows, lambda r: F.transform(r, strip)), lambda r: F.exists(r, lambda c: c != ""))
     header = F.get(cleaned, 0)
 
     def pairs(row: Column) -> Column:
