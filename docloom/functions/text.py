@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,19 +49,22 @@ def words(text: Column) -> Column:
     return F.filter(F.split(normalize(text), " "), lambda w: w != "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it in ``body``; a plain reference inside a lambda would redo it per element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def shingles(text: Column, size: int = 5) -> Column:
     """Distinct word n-grams; a shorter text is its own single shingle, an empty one has none."""
-    tokens = words(text)
-    count = F.size(tokens)
-    grams = F.transform(
-        F.sequence(F.lit(1), F.greatest(count - (size - 1), F.lit(1))),
-        lambda i: F.array_join(F.slice(tokens, i, size), " "),
-    )
-    return (
-        F.when(count == 0, F.array().cast("array<string>"))
-        .when(count < size, F.array(F.array_join(tokens, " ")))
-        .otherwise(F.array_distinct(grams))
-    )
+
+    def grams(tokens: Column) -> Column:
+        count = F.size(tokens)
+        windows = F.transform(
+            F.sequence(F.lit(1), F.greatest(count - (size - 1), F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, size), " ")
+        )
+        return F.when(count == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(windows))
+
+    return let(words(text), grams)
 
 
 # --- analyzers -------------------------------------------------------------
@@ -120,18 +125,16 @@ def char_grams(terms: Column, size: int = 3) -> Column:
 
 def term_shingles(terms: Column, low: int = 2, high: int = 3) -> Column:
     """Unigrams followed by word n-grams of every size in ``low..high``."""
-    parts = [terms]
-    for size in range(low, high + 1):
-        parts.append(
-            F.when(
-                F.size(terms) >= size,
-                F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.size(terms) - (size - 1), F.lit(1))),
-                    lambda i, n=size: F.array_join(F.slice(terms, i, n), " "),
-                ),
-            ).otherwise(F.array().cast("array<string>"))
-        )
-    return F.concat(*parts)
+
+    def grams(tokens: Column) -> Column:
+        parts = [tokens]
+        for size in range(low, high + 1):
+            starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - (size - 1), F.lit(1)))
+            joined = F.transform(starts, lambda i, n=size: F.array_join(F.slice(tokens, i, n), " "))
+            parts.append(F.when(F.size(tokens) >= size, joined).otherwise(F.array().cast("array<string>")))
+        return F.concat(*parts)
+
+    return let(terms, grams)
 
 
 def auto_distance(term: Column) -> Column:

@@ -95,13 +95,3 @@ def hash_embedder(dim: int):
         return pd.Series(list(embed_texts(texts.fillna("").tolist(), dim)))
 
     return embed
-
-
-def sparse_grams(text: Column) -> Column:
-    """Words followed by adjacent word pairs: the features behind :func:`hash_embedder`, JVM-side."""
-    tokens = F.regexp_extract_all(F.regexp_replace(F.lower(text), "([一-鿿])", " $1 "), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    pairs = F.when(
-        F.size(tokens) > 1,
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, 2), " ")),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.concat(tokens, pairs)

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from docloom.functions.skew import attach_per_key, top_per_key
-from docloom.functions.text import normalize, shingles
+from docloom.functions.text import normalize, words
+from docloom.session import cut_lineage
 from docloom.settings import DEFAULTS, Settings
 
 PRIME = 2_147_483_647
@@ -33,33 +34,34 @@ def permutation(i: int) -> tuple[int, int]:
     return first_bits(f"a{i}") % (PRIME - 1) + 1, first_bits(f"b{i}") % PRIME
 
 
-def shingle_hashes(text: Column) -> Column:
-    return F.transform(shingles(text), lambda s: F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long") % PRIME)
-
-
-def minhash(permutations: int = DEFAULTS.minhash_perm):
-    """UDF from shingle hashes to the signature; null for a text without words."""
+def minhash(permutations: int = DEFAULTS.minhash_perm, size: int = 5):
+    """UDF from normalised text to the signature of its word shingles; null for a text without words."""
     factors = np.array([permutation(i) for i in range(permutations)], dtype=np.int64)
     a, b = factors[:, :1], factors[:, 1:]
 
-    def one(hashes: np.ndarray | None) -> np.ndarray | None:
-        if hashes is None or not len(hashes):
+    def one(text: str | None) -> np.ndarray | None:
+        tokens = (text or "").split()
+        if not tokens:
             return None
+        grams = {" ".join(tokens[i : i + size]) for i in range(max(1, len(tokens) - size + 1))}
+        digests = b"".join(hashlib.md5(g.encode()).digest()[:4] for g in grams)
+        hashes = np.frombuffer(digests, dtype=">u4").astype(np.int64) % PRIME
         lowest = np.full(permutations, PRIME, dtype=np.int64)
         for start in range(0, len(hashes), 4096):
             lowest = np.minimum(lowest, ((a * hashes[start : start + 4096] + b) % PRIME).min(axis=1))
         return lowest
 
     @F.pandas_udf(ArrayType(LongType()))
-    def signature(hashes: pd.Series) -> pd.Series:
-        return hashes.map(one)
+    def signature(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
 
-    return signature
+    # Keeps the planner from evaluating it again inside later expressions.
+    return signature.asNondeterministic()
 
 
 def with_signatures(documents: DataFrame, text: str = "text", settings: Settings = DEFAULTS) -> DataFrame:
     """Add ``signature``; documents without any word have none and can never match."""
-    return documents.withColumn("signature", minhash(settings.minhash_perm)(shingle_hashes(F.col(text))))
+    return documents.withColumn("signature", minhash(settings.minhash_perm)(normalize(F.col(text))))
 
 
 def bands(signature: Column, settings: Settings = DEFAULTS) -> Column:
@@ -75,8 +77,8 @@ def bands(signature: Column, settings: Settings = DEFAULTS) -> Column:
 
 def band_rows(signed: DataFrame, key: str, settings: Settings = DEFAULTS) -> DataFrame:
     """``(key, band, bucket)``: what saving a document's signature writes."""
-    usable = signed.where(F.col("signature").isNotNull())
-    return usable.select(key, F.explode(F.array_distinct(bands(F.col("signature"), settings))).alias("b")).select(key, "b.band", "b.bucket")
+    rows = signed.select(key, F.explode(bands(F.col("signature"), settings)).alias("b")).select(key, "b.band", "b.bucket")
+    return rows.where(F.col("bucket").isNotNull())
 
 
 def signature_similarity(left: Column, right: Column) -> Column:
@@ -173,9 +175,9 @@ def duplicate_tiers(
     keyed = documents.withColumn("_copy", F.sha2(normalize(F.col(text)).cast("binary"), 256))
     vector_column = F.col(vector).cast("array<double>") if vector else F.lit(None).cast("array<double>")
     firsts = keyed.groupBy("_copy").agg(F.min(key).alias(key))
-    units = with_signatures(
-        keyed.select(key, "_copy", text, vector_column.alias("vector")).join(firsts, ["_copy", key], "left_semi"), text, settings
-    ).where(F.col("signature").isNotNull()).select(F.col(key).alias("unit"), "_copy", "signature", "vector")
+    wordy = keyed.where(F.size(words(F.col(text))) > 0).select(key, "_copy", text, vector_column.alias("vector"))
+    signed = with_signatures(wordy.join(firsts, ["_copy", key], "left_semi"), text, settings)
+    units = cut_lineage(signed.select(F.col(key).alias("unit"), "_copy", "signature", "vector"))
 
     cells = _cell_members(units, settings).join(units.select("unit", "signature", "vector"), "unit")
     output = f"unit {key_type}, partner {key_type}, similarity double, close_partner {key_type}, close_similarity double"
@@ -190,7 +192,7 @@ def duplicate_tiers(
     by_copy = units.select("unit", "_copy").join(partners, "unit").select(F.col("_copy").alias("copy_key"), "near", "close")
 
     copies = first_copies(keyed, key, F.col("_copy"), settings)
-    everything = keyed.select(key, F.col("_copy").alias("copy_key"), (F.size(shingles(F.col(text))) > 0).alias("_words"))
+    everything = keyed.select(key, F.col("_copy").alias("copy_key"), (F.size(words(F.col(text))) > 0).alias("_words"))
     # How many rows share a text decides whether its facts go by broadcast or by shuffle.
     sizes = everything.groupBy("copy_key").agg(F.count(F.lit(1)).alias("_rows"))
     facts = by_copy.join(sizes, "copy_key")

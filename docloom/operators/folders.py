@@ -109,7 +109,7 @@ def auto_file(documents: DataFrame, folders: DataFrame) -> DataFrame:
     """File documents still in no folder or the inbox into their first existing candidate."""
     existing = folders.agg(F.collect_set("folder_id").alias("ids")).scalar()  # folder table: one row per folder
     candidates = folder_candidates(F.col("doctype"), F.col("department_id"), F.col("effective_date"))
-    first = F.get(F.filter(candidates, lambda c: F.array_contains(existing, c)), 0)
+    first = F.get(F.array_intersect(candidates, existing), 0)
     unfiled = F.col("folder_id").isNull() | (F.col("folder_id") == INBOX)
     fallback = F.coalesce("folder_id", F.when(F.array_contains(existing, F.lit(INBOX)), F.lit(INBOX)))
     return documents.withColumn("folder_id", F.when(unfiled, F.coalesce(first, fallback)).otherwise(F.col("folder_id")))

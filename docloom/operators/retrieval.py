@@ -119,7 +119,7 @@ def lexical_topk(
 
 def vector_topk(index: DataFrame, visible: Column, queries: DataFrame, k: int, settings: Settings = DEFAULTS) -> DataFrame:
     """Exact cosine search after filtering: ``queries`` is ``(query_id, vector)``."""
-    corpus = index.where(visible & F.col("embedding").isNotNull()).select("chunk_id", "embedding")
+    corpus = index.where(visible).select("chunk_id", "embedding")
     return batch_topk(corpus, queries, cosine_queries, k, None, settings)
 
 

@@ -38,7 +38,7 @@ class _Best:
         scores = np.round(scores, ROUND)
         for column, kept in enumerate(self.kept):
             values = scores[:, column]
-            candidates = np.arange(len(values)) if self.floor is None else np.flatnonzero(values > self.floor)
+            candidates = np.flatnonzero(np.isfinite(values) if self.floor is None else values > self.floor)
             if len(candidates) > self.k:
                 edge = -np.partition(-values[candidates], self.k - 1)[self.k - 1]
                 candidates = candidates[values[candidates] >= edge]
@@ -177,7 +177,11 @@ def cosine_queries(table: pa.Table) -> tuple[list[Any], Scorer]:
     asked = _unit_rows(matrix(table.column(1)))
 
     def scorer(part: pa.Table) -> np.ndarray:
-        return _unit_rows(matrix(part.column(1))) @ asked.T
+        present = pc.is_valid(part.column(1)).to_numpy()
+        scores = np.full((part.num_rows, len(asked)), -np.inf)
+        if present.any():
+            scores[present] = _unit_rows(matrix(part.column(1).filter(pa.array(present)))) @ asked.T
+        return scores
 
     return table.column(0).to_pylist(), scorer
 

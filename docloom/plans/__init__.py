@@ -1 +1,6 @@
+"""Named query plans."""
 
+from docloom.plans import text_queries  # noqa: F401
+from docloom.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

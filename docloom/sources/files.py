@@ -11,6 +11,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from docloom.settings import DEFAULTS, Settings
 from docloom.sources.markdown import blocks_by_document, markdown_blocks, serialize_table
@@ -66,7 +67,7 @@ def get_blob(spark: SparkSession, folder: str, sha256: str) -> bytes:
 # --- type sniffing ------------------------------------------------------------
 
 
-@F.udf("string")
+@F.udf(StringType())
 def _zip_type(content: bytes) -> str | None:
     try:
         names = set(zipfile.ZipFile(io.BytesIO(content)).namelist())

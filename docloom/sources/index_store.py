@@ -43,11 +43,10 @@ def title_rows(documents: DataFrame, tags: DataFrame) -> DataFrame:
 
 def postings(analyzed: DataFrame) -> DataFrame:
     """``(field, term, chunk_id, tf, length)``, ready to be written clustered by term."""
-    parts = [
-        F.transform(F.col(f"terms_{name}"), lambda t, i=i, name=name: F.struct(F.lit(i).alias("field"), t.alias("term"), F.size(f"terms_{name}").alias("length")))
-        for i, (name, _) in enumerate(FIELDS)
-    ]
-    exploded = analyzed.select("chunk_id", F.explode(F.concat(*parts)).alias("p")).select("chunk_id", "p.field", "p.term", "p.length")
+    fields = F.array(*[F.struct(F.lit(i).alias("field"), F.col(f"terms_{name}").alias("terms")) for i, (name, _) in enumerate(FIELDS)])
+    exploded = analyzed.select("chunk_id", F.explode(fields).alias("f")).select(
+        "chunk_id", "f.field", F.size("f.terms").alias("length"), F.explode("f.terms").alias("term")
+    )
     return exploded.groupBy("field", "term", "chunk_id", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
