@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import strip
+from docloom.session import cut_lineage
 from docloom.settings import DEFAULTS, Settings
 
 FALLBACK_CITATIONS = 3
@@ -23,6 +24,7 @@ def map_citations(answers: DataFrame, hits: DataFrame, settings: Settings = DEFA
 
     An answer with no valid mark cites its first three sources.
     """
+    hits = cut_lineage(hits.drop("position"))  # a few rows per query, read twice
     marks = answers.select("query_id", F.posexplode(cited_numbers(F.col("answer"))).alias("position", "rank"))
     valid = marks.join(hits, ["query_id", "rank"])
     silent = answers.select("query_id").join(valid.select("query_id").distinct(), "query_id", "left_anti")

@@ -126,15 +126,12 @@ def char_grams(terms: Column, size: int = 3) -> Column:
 def term_shingles(terms: Column, low: int = 2, high: int = 3) -> Column:
     """Unigrams followed by word n-grams of every size in ``low..high``."""
 
-    def grams(tokens: Column) -> Column:
-        parts = [tokens]
-        for size in range(low, high + 1):
-            starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - (size - 1), F.lit(1)))
-            joined = F.transform(starts, lambda i, n=size: F.array_join(F.slice(tokens, i, n), " "))
-            parts.append(F.when(F.size(tokens) >= size, joined).otherwise(F.array().cast("array<string>")))
-        return F.concat(*parts)
+    def sized(tokens: Column, size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - (size - 1), F.lit(1)))
+        joined = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, size), " "))
+        return F.when(F.size(tokens) >= size, joined).otherwise(F.array().cast("array<string>"))
 
-    return let(terms, grams)
+    return let(terms, lambda tokens: F.concat(tokens, *[sized(tokens, size) for size in range(low, high + 1)]))
 
 
 def auto_distance(term: Column) -> Column:
@@ -147,25 +144,50 @@ def within_edits(left: Column, right: Column, limit: Column) -> Column:
     return (F.abs(F.length(left) - F.length(right)) <= limit) & (F.levenshtein(left, right) <= limit)
 
 
-def deletion_keys(term: Column, limit: Column) -> Column:
-    """All strings left after removing up to ``limit`` (0, 1 or 2) characters.
+def _segment(length: Column, parts: int, j: int) -> tuple[Column, Column]:
+    """(start, size) of the j-th of ``parts`` nearly equal pieces of a word; longer pieces come last."""
+    base = F.floor(length / parts).cast("int")
+    longer_from = parts - F.pmod(length, F.lit(parts))
+    return base * j + F.greatest(F.lit(j) - longer_from, F.lit(0)) + 1, base + (F.lit(j) >= longer_from).cast("int")
+
+
+def segment_keys(word: Column) -> Column:
+    """Keys of a vocabulary word: its pieces when cut in one, two and three, with its length."""
+    keys = []
+    for edits in (0, 1, 2):
+        for j in range(edits + 1):
+            start, size = _segment(F.length(word), edits + 1, j)
+            keys.append(_key(edits, F.length(word), j, F.substr(word, start, size)))
+    return F.array(*keys)
 
-    Two terms within ``n`` edits always share a key made with up to ``n`` deletions from each, so
-    equality on these keys finds every fuzzy match through a plain equi-join.
+
+def probe_keys(word: Column, limit: Column) -> Column:
+    """Keys of a searched word that meet every vocabulary word within ``limit`` (0, 1 or 2) edits.
+
+    Of ``limit + 1`` pieces of a word at least one survives that many edits, moved by at most
+    ``limit`` places, so equality of keys finds every match through a plain equi-join.
     """
+    probes = F.array().cast("array<string>")
+    for edits in (0, 1, 2):
+        found = []
+        for j in range(edits + 1):
 
-    def drop_one(word: Column) -> Column:
-        return F.when(
-            F.length(word) > 0,
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))),
-                lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1)),
-            ),
-        ).otherwise(F.array().cast("array<string>"))
+            def at_length(other: Column, edits: int = edits, j: int = j) -> Column:
+                start, size = _segment(other, edits + 1, j)
+                low, high = F.greatest(F.lit(1), start - edits), F.least(F.length(word) - size + 1, start + edits)
+                places = F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
+                return F.transform(places, lambda p: _key(edits, other, j, F.substr(word, p, size)))
 
-    zero = F.array(term)
-    one = drop_one(term)
-    two = F.flatten(F.transform(one, drop_one))
-    return F.array_distinct(
-        F.when(limit <= 0, zero).when(limit == 1, F.concat(zero, one)).otherwise(F.concat(zero, one, two))
-    )
+            lengths = F.sequence(F.greatest(F.length(word) - edits, F.lit(edits + 1)), F.greatest(F.length(word) + edits, F.lit(edits + 1)))
+            found.append(F.flatten(F.transform(lengths, _one_argument(at_length))))
+        probes = F.when(limit == edits, F.concat(*found)).otherwise(probes)
+    return F.array_distinct(probes)
+
+
+def _one_argument(function: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """Hide default arguments, which a lambda for Spark would take for the element index."""
+    return lambda element: function(element)
+
+
+def _key(edits: int, length: Column, j: int, piece: Column) -> Column:
+    return F.concat(F.lit(f"{edits}:{j}:"), length.cast("string"), F.lit(":"), piece)

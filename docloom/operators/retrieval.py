@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions.skew import top_per_key
-from docloom.functions.text import auto_distance, cjk_terms, collapse, deletion_keys, normalize, standard_terms, within_edits
+from docloom.functions.text import auto_distance, cjk_terms, collapse, normalize, probe_keys, segment_keys, standard_terms, within_edits
 from docloom.functions.vectors import hash_embedder
 from docloom.operators.access import Filters, readable, search_filter
 from docloom.operators.topk import batch_topk, bm25_queries, cosine_queries
@@ -45,12 +45,13 @@ def field_statistics(analyzed: DataFrame) -> DataFrame:
     return lengths.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_len"))
 
 
+def _fielded(terms: Column, field: int) -> Column:
+    return F.transform(terms, lambda t: F.struct(F.lit(field).alias("field"), t.alias("term")))
+
+
 def vocabulary(analyzed: DataFrame) -> DataFrame:
     """``(field, term, df)``; counts are combined inside each task before the shuffle."""
-    parts = [
-        F.transform(F.array_distinct(f"terms_{name}"), lambda t, i=i: F.struct(F.lit(i).alias("field"), t.alias("term")))
-        for i, (name, _) in enumerate(FIELDS)
-    ]
+    parts = [_fielded(F.array_distinct(f"terms_{name}"), i) for i, (name, _) in enumerate(FIELDS)]
     terms = analyzed.select(F.explode(F.concat(*parts)).alias("p")).select("p.field", "p.term")
     return terms.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
 
@@ -58,10 +59,7 @@ def vocabulary(analyzed: DataFrame) -> DataFrame:
 def query_terms(queries: DataFrame) -> DataFrame:
     """``(query_id, field, term, qtf)`` for every searched field."""
     standard, cjk = standard_terms(F.col("query")), cjk_terms(F.col("query"))
-    parts = [
-        F.transform(cjk if name == "cjk" else standard, lambda t, i=i: F.struct(F.lit(i).alias("field"), t.alias("term")))
-        for i, (name, _) in enumerate(FIELDS)
-    ]
+    parts = [_fielded(cjk if name == "cjk" else standard, i) for i, (name, _) in enumerate(FIELDS)]
     exploded = queries.select("query_id", F.explode(F.concat(*parts)).alias("p")).select("query_id", "p.field", "p.term")
     return exploded.groupBy("query_id", "field", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
@@ -69,15 +67,15 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def fuzzy_terms(words: DataFrame, asked: DataFrame) -> DataFrame:
     """``(asked, term, distance)``: every vocabulary word within the automatic edit distance.
 
-    Both sides have one string column. Matches meet on shared deletion keys (an equi-join), then the
-    true distance decides.
+    Both sides have one string column. Matches meet on a shared piece of the word (an equi-join), then
+    the true distance decides.
     """
     left = asked.toDF("asked").distinct()
     right = words.toDF("term").distinct()
     left_keys = left.withColumn("limit", auto_distance(F.col("asked"))).select(
-        "asked", "limit", F.explode(deletion_keys(F.col("asked"), F.col("limit"))).alias("key")
+        "asked", "limit", F.explode(probe_keys(F.col("asked"), F.col("limit"))).alias("key")
     )
-    right_keys = right.select("term", F.explode(deletion_keys(F.col("term"), F.lit(2))).alias("key"))
+    right_keys = right.select("term", F.explode(segment_keys(F.col("term"))).alias("key"))
     matched = left_keys.join(right_keys, "key").where(within_edits(F.col("asked"), F.col("term"), F.col("limit")))
     return matched.select("asked", "term", F.levenshtein("asked", "term").alias("distance")).distinct()
 

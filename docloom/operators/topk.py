@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.skew import top_per_key
+from docloom.session import cut_lineage
 from docloom.settings import DEFAULTS, Settings
 
 Scorer = Callable[[pa.Table], np.ndarray]
@@ -82,7 +83,8 @@ def batch_topk(
         local = _local_topk(corpus, shipped, prepare, k, floor, output)
     else:
         local = _grid_topk(corpus, queries, prepare, k, floor, output, settings)
-    return top_per_key(local, ["query_id"], [F.col("score").desc(), F.col("id")], k)
+    # k rows per query, written once: callers read rankings several times and a lost executor must not cost a rescan.
+    return cut_lineage(top_per_key(local, ["query_id"], [F.col("score").desc(), F.col("id")], k))
 
 
 def _collect_bounded(queries: DataFrame, settings: Settings) -> pa.Table | None:
