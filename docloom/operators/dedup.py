@@ -9,10 +9,12 @@ returns only the best partner of each member.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
@@ -20,6 +22,7 @@ from pyspark.sql.types import ArrayType, LongType
 from docloom.functions.skew import attach_per_key, top_per_key
 from docloom.functions.text import normalize, words
 from docloom.session import cut_lineage
+from docloom.operators.topk import arrow_schema, matrix
 from docloom.settings import DEFAULTS, Settings
 
 PRIME = 2_147_483_647
@@ -121,28 +124,19 @@ def _cell_members(units: DataFrame, settings: Settings) -> DataFrame:
     blocks = F.ceil(F.col("members") / settings.dedup_block_rows).cast("int")
     own = F.pmod(F.xxhash64("unit"), blocks).cast("int")
     others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("low"), F.greatest(own, j).alias("high")))
-    return members.select("unit", "band", "bucket", own.alias("block"), F.explode(others).alias("c")).select(
-        "unit", "band", "bucket", "block", "c.low", "c.high"
-    )
+    placed = members.select("unit", "band", "bucket", own.alias("block"), F.explode(others).alias("c"))
+    return placed.select("unit", F.concat_ws(":", "bucket", "band", "c.low", "c.high").alias("cell"), "block", "c.low", "c.high")
 
 
-def _best_in_cell(threshold: float):
-    """Best partner of each member by signature, and best one among those with a close vector."""
+def _best_in_cells(threshold: float, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Best partner of each member by signature, and best one among those with a close vector.
 
-    def unit_rows(column: pa.ChunkedArray) -> np.ndarray:
-        return np.stack([np.asarray(v) for v in column.to_pylist()])
+    Rows arrive sorted by cell; only the rows of one batch and one unfinished cell are held.
+    """
 
-    def compare(cell: pa.Table) -> pa.Table:
-        ids = np.array(cell.column("unit").to_pylist(), dtype=object)
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        block = cell.column("block").to_numpy()[order]
-        same_block = cell.column("low")[0] == cell.column("high")[0]
-        signatures = unit_rows(cell.column("signature"))[order]
-        vectors = unit_rows(cell.column("vector"))[order] if cell.column("vector").null_count == 0 else None
-        found: dict[str, list] = {"unit": [], "partner": [], "similarity": [], "close_partner": [], "close_similarity": []}
+    def compare(ids: np.ndarray, block: np.ndarray, same: bool, signatures: np.ndarray, vectors: np.ndarray | None) -> Iterator[tuple]:
         for i in range(len(ids)):
-            allowed = np.ones(len(ids), bool) if same_block else block != block[i]
+            allowed = np.ones(len(ids), bool) if same else block != block[i]
             allowed[i] = False
             if not allowed.any():
                 continue
@@ -152,14 +146,42 @@ def _best_in_cell(threshold: float):
             if vectors is not None:
                 near = np.where(np.round(vectors @ vectors[i], 9) >= threshold, agreement, -1.0)
                 close = int(near.argmax()) if near.max() > 0 else None
-            found["unit"].append(ids[i])
-            found["partner"].append(ids[best] if agreement[best] > 0 else None)
-            found["similarity"].append(float(agreement[best]))
-            found["close_partner"].append(None if close is None else ids[close])
-            found["close_similarity"].append(None if close is None else float(near[close]))
-        return pa.table(found)
+            found = (None, None) if close is None else (ids[close], float(near[close]))
+            yield (ids[i], ids[best] if agreement[best] > 0 else None, float(agreement[best]), *found)
+
+    def cells_of(part: pa.Table) -> Iterator[tuple]:
+        ids = np.array(part.column("unit").to_pylist(), dtype=object)
+        cell = part.column("cell").to_numpy()
+        block = part.column("block").to_numpy()
+        same = pc.equal(part.column("low"), part.column("high")).to_numpy()
+        signatures = matrix(part.column("signature")).astype(np.int64)
+        vectors = matrix(part.column("vector")) if part.column("vector").null_count == 0 else None
+        edges = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
+        for low, high in zip(edges[:-1], edges[1:]):
+            yield from compare(ids[low:high], block[low:high], bool(same[low]), signatures[low:high], None if vectors is None else vectors[low:high])
+
+    def emit(part: pa.Table) -> pa.RecordBatch:
+        columns = list(zip(*cells_of(part))) or [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell = batch.column("cell").to_numpy(zero_copy_only=False)
+            cut = int(np.searchsorted(cell, cell[-1]))  # where this batch's last cell starts
+            starts_new = not held or held[-1].column("cell")[-1].as_py() != cell[-1]
+            if cut or starts_new:
+                done = held + [batch.slice(0, cut)]
+                if sum(p.num_rows for p in done):
+                    yield emit(pa.Table.from_batches(done))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield emit(pa.Table.from_batches(held))
 
-    return compare
+    return run
 
 
 def duplicate_tiers(
@@ -181,9 +203,9 @@ def duplicate_tiers(
 
     cells = _cell_members(units, settings).join(units.select("unit", "signature", "vector"), "unit")
     output = f"unit {key_type}, partner {key_type}, similarity double, close_partner {key_type}, close_similarity double"
-    schema = _arrow(output)
-    kernel = _best_in_cell(settings.semantic_dup_threshold)
-    compared = cells.groupBy("band", "bucket", "low", "high").applyInArrow(lambda t: kernel(t).cast(schema), output)
+    # Members of a cell follow each other in id order, so ties go to the earliest document.
+    gathered = cells.repartition("cell").sortWithinPartitions("cell", "unit")
+    compared = gathered.mapInArrow(_best_in_cells(settings.semantic_dup_threshold, arrow_schema(output)), output)
 
     def best(score: str, partner: str) -> Column:
         return F.max_by(F.struct(F.col(partner).alias("partner"), F.col(score).alias("score")), F.when(F.col(partner).isNotNull(), F.struct(F.col(score), _descending(partner, key_type))))
@@ -223,10 +245,3 @@ def _descending(column: str, key_type: str) -> Column:
     if key_type == "string":
         return F.translate(F.hex(F.col(column).cast("binary")), "0123456789ABCDEF", "FEDCBA9876543210")
     return -F.col(column)
-
-
-def _arrow(ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(ddl))

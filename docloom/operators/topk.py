@@ -96,7 +96,7 @@ def _collect_bounded(queries: DataFrame, settings: Settings) -> pa.Table | None:
     return table
 
 
-def _arrow_schema(output: str) -> pa.Schema:
+def arrow_schema(output: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -104,7 +104,7 @@ def _arrow_schema(output: str) -> pa.Schema:
 
 
 def _local_topk(corpus, table, prepare, k, floor, output) -> DataFrame:
-    schema = _arrow_schema(output)
+    schema = arrow_schema(output)
     shared = corpus.sparkSession.sparkContext.broadcast(table)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +123,7 @@ def _local_topk(corpus, table, prepare, k, floor, output) -> DataFrame:
 
 def _grid_topk(corpus, queries, prepare, k, floor, output, settings) -> DataFrame:
     """Block-by-block form: every (corpus cell, query block) pair is one bounded group."""
-    schema = _arrow_schema(output)
+    schema = arrow_schema(output)
     query_id = queries.columns[0]
     distinct = queries.select(query_id).distinct().count()
     total = queries.count()
