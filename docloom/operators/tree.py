@@ -36,28 +36,39 @@ def _principal(data: np.ndarray) -> np.ndarray:
     return u[:, :keep] * s[:keep]
 
 
+def _start(data: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Hard k-means memberships as a 0/1 matrix."""
+    random = np.random.default_rng(seed)
+    centres = data[[random.integers(len(data))]]
+    while len(centres) < k:
+        gap = ((data[:, None] - centres) ** 2).sum(axis=2).min(axis=1)
+        pick = random.choice(len(data), p=gap / gap.sum()) if gap.sum() > 0 else random.integers(len(data))
+        centres = np.vstack([centres, data[pick]])
+    labels = None
+    for _ in range(100):
+        nearest = ((data[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+        if labels is not None and (nearest == labels).all():
+            break
+        labels = nearest
+        centres = np.array([data[labels == c].mean(axis=0) if (labels == c).any() else centres[c] for c in range(k)])
+    return np.eye(k)[labels]
+
+
 def _mixture(data: np.ndarray, k: int, seed: int) -> tuple[float, np.ndarray]:
     """(BIC, labels) of a diagonal Gaussian mixture fitted by expectation maximisation."""
     n, d = data.shape
-    random = np.random.default_rng(seed)
-    centres = [data[random.integers(n)]]
-    while len(centres) < k:
-        gap = np.min([((data - c) ** 2).sum(axis=1) for c in centres], axis=0)
-        centres.append(data[random.choice(n, p=gap / gap.sum())] if gap.sum() > 0 else data[random.integers(n)])
-    means, spread, share = np.array(centres), np.tile(data.var(axis=0) + FLOOR, (k, 1)), np.full(k, 1 / k)
-    before = -np.inf
+    weight, before = _start(data, k, seed), -np.inf
     for _ in range(100):
-        logs = np.log(share) - 0.5 * (np.log(2 * np.pi * spread).sum(axis=1) + ((data[:, None] - means) ** 2 / spread).sum(axis=2))
+        mass = weight.sum(axis=0) + 10 * np.finfo(float).eps
+        means = weight.T @ data / mass[:, None]
+        spread = np.maximum(weight.T @ data**2 / mass[:, None] - means**2, 0) + FLOOR
+        logs = np.log(mass / mass.sum()) - 0.5 * (np.log(2 * np.pi * spread).sum(axis=1) + ((data[:, None] - means) ** 2 / spread).sum(axis=2))
         top = logs.max(axis=1, keepdims=True)
         total = top[:, 0] + np.log(np.exp(logs - top).sum(axis=1))
         weight = np.exp(logs - total[:, None])
         if abs(total.mean() - before) < 1e-3:
             break
         before = total.mean()
-        mass = weight.sum(axis=0) + 10 * np.finfo(float).eps
-        means = weight.T @ data / mass[:, None]
-        spread = np.maximum(weight.T @ data**2 / mass[:, None] - means**2, 0) + FLOOR
-        share = mass / mass.sum()
     return -2 * total.sum() + (2 * k * d + k - 1) * np.log(n), weight.argmax(axis=1)
 
 
