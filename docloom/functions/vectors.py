@@ -7,6 +7,8 @@ import re
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -39,19 +41,13 @@ def unit(vector: Column) -> Column:
 
 
 def mean_vectors(df: DataFrame, key: list[str], vector: str, output: str = "mean_vector") -> DataFrame:
-    """Element-wise mean per key.
+    """Element-wise mean per key; missing vectors do not count.
 
-    Sums are taken per (key, position) with map-side combining, so a key with very many rows still
-    shuffles only one partial sum per task and position.
+    One running mean per key is kept in each task and only those travel, so neither a key with very
+    many rows nor long vectors make the shuffle grow.
     """
-    sums = (
-        df.where(F.col(vector).isNotNull())
-        .select(*key, F.posexplode(vector).alias("_pos", "_value"))
-        .groupBy(*key, "_pos")
-        .agg(F.avg(F.col("_value").cast("double")).alias("_mean"))
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("_pos", "_mean")))
-    return sums.groupBy(*key).agg(F.transform(ordered, lambda p: p["_mean"]).alias(output))
+    present = df.where(F.col(vector).isNotNull()).select(*key, array_to_vector(F.col(vector).cast("array<double>")).alias("_vector"))
+    return present.groupBy(*key).agg(Summarizer.mean(F.col("_vector")).alias("_mean")).select(*key, vector_to_array("_mean").alias(output))
 
 
 def embed_texts(texts: list[str], dim: int) -> np.ndarray:

@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators.jobs import STAGES
 from docloom.plans.registry import register
+from docloom.session import shared_folder
 from docloom.streaming.ingest import first_arrivals, read_stream, start_indexing, start_table
 from docloom.streaming.jobs import job_transitions
 from docloom.settings import Settings
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below the one the cluster shares; a private one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        return tempfile.mkdtemp(prefix="docloom-stream-")
-    return os.path.join(base, f"docloom-stream-{uuid.uuid4().hex}")
-
-
 def _source(spark, folder, name):
     return read_stream(spark, folder, spark.read.parquet(f"{folder}/{name}.parquet").schema, f"{name}.parquet")
 

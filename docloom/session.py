@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,20 +29,27 @@ def build_session(app: str = "docloom", master: str | None = None, shuffle_parti
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder every executor can reach.
+
+    It lies below the folder the cluster names in ``spark.checkpoint.dir``; a private one is made only
+    where that is unset (single-machine tests).
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        base = tempfile.mkdtemp(prefix="docloom-", dir=os.environ.get("TMPDIR", "/tmp"))
+    return f"{base.rstrip('/')}/docloom-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise into the shared checkpoint folder so lost executors cost a re-read, not a recompute.
+    """Write the rows once to a table in the shared folder and go on from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a private one is made
-    only where that is unset (single-machine tests).
+    Lost executors then cost a re-read instead of a recompute, later reads take only the columns they
+    need, and nothing is computed twice to be saved.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="docloom-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def ship_package(spark: SparkSession) -> None:
