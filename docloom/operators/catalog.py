@@ -77,7 +77,7 @@ def find_by_reference(documents: DataFrame, requests: DataFrame) -> DataFrame:
     )
     asked = requests.select("document_id", "department_id", F.lower("reference_no").alias("ref")).where(F.col("ref").isNotNull())
     sizes = asked.groupBy("department_id", "ref").agg(F.count(F.lit(1)).alias("_asked"))
-    facts = per_reference.join(sizes, ["department_id", "ref"])
+    facts = sizes.join(per_reference, ["department_id", "ref"], "left")
     joined = attach_per_key(asked, facts, ["department_id", "ref"], "_asked", "document_id")
     target = F.when(F.col("_first") == F.col("document_id"), F.col("_second")).otherwise(F.col("_first"))
     return joined.withColumn("found_id", target).where(F.col("found_id").isNotNull()).select("document_id", "department_id", "found_id")

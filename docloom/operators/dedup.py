@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from docloom.functions.skew import attach_per_key, top_per_key
-from docloom.functions.text import normalize, words
+from docloom.functions.text import normalize
 from docloom.session import cut_lineage
 from docloom.operators.topk import arrow_schema, matrix
 from docloom.settings import DEFAULTS, Settings
@@ -119,8 +119,10 @@ def _cell_members(units: DataFrame, settings: Settings) -> DataFrame:
         .where("members > 1")
     )
     # Buckets holding exactly the same members lead to the same comparisons: keep one of them.
-    once = stats.groupBy("members", "_sum", "_xor").agg(F.min(F.struct("band", "bucket")).alias("b")).select("b.band", "b.bucket", "members")
-    members = attach_per_key(rows, once, ["band", "bucket"], "members", "unit", settings.hot_key_share)
+    once = stats.groupBy("members", "_sum", "_xor").agg(F.min(F.struct("band", "bucket")).alias("b")).select("b.band", "b.bucket", F.lit(True).alias("_visit"))
+    # Every shared bucket stays in the facts, visited or not, so that none of the large ones is shuffled by key alone.
+    facts = stats.select("band", "bucket", "members").join(once, ["band", "bucket"], "left")
+    members = attach_per_key(rows, facts, ["band", "bucket"], "members", "unit", settings.hot_key_share).where("_visit")
     blocks = F.ceil(F.col("members") / settings.dedup_block_rows).cast("int")
     own = F.pmod(F.xxhash64("unit"), blocks).cast("int")
     others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("low"), F.greatest(own, j).alias("high")))
@@ -194,12 +196,16 @@ def duplicate_tiers(
     length) vector has cosine ``semantic_dup_threshold`` or more.
     """
     key_type = documents.schema[key].dataType.simpleString()
-    keyed = documents.withColumn("_copy", F.sha2(normalize(F.col(text)).cast("binary"), 256))
     vector_column = F.col(vector).cast("array<double>") if vector else F.lit(None).cast("array<double>")
-    firsts = keyed.groupBy("_copy").agg(F.min(key).alias(key))
-    wordy = keyed.where(F.size(words(F.col(text))) > 0).select(key, "_copy", text, vector_column.alias("vector"))
-    signed = with_signatures(wordy.join(firsts, ["_copy", key], "left_semi"), text, settings)
-    units = cut_lineage(signed.select(F.col(key).alias("unit"), "_copy", "signature", "vector"))
+    # The only pass over the texts, without a shuffle; everything below works on keys, hashes and signatures.
+    keyed = cut_lineage(
+        with_signatures(documents, text, settings).select(
+            key, F.sha2(normalize(F.col(text)).cast("binary"), 256).alias("_copy"), "signature", vector_column.alias("vector")
+        )
+    )
+    wordy = keyed.where(F.col("signature").isNotNull())
+    firsts = wordy.groupBy("_copy").agg(F.min(key).alias(key))
+    units = cut_lineage(wordy.join(firsts, ["_copy", key], "left_semi").select(F.col(key).alias("unit"), "_copy", "signature", "vector"))
 
     cells = _cell_members(units, settings).join(units.select("unit", "signature", "vector"), "unit")
     output = f"unit {key_type}, partner {key_type}, similarity double, close_partner {key_type}, close_similarity double"
@@ -213,14 +219,14 @@ def duplicate_tiers(
     partners = compared.groupBy("unit").agg(best("similarity", "partner").alias("near"), best("close_similarity", "close_partner").alias("close"))
     by_copy = units.select("unit", "_copy").join(partners, "unit").select(F.col("_copy").alias("copy_key"), "near", "close")
 
-    copies = first_copies(keyed, key, F.col("_copy"), settings)
-    everything = keyed.select(key, F.col("_copy").alias("copy_key"), (F.size(words(F.col(text))) > 0).alias("_words"))
+    everything = wordy.select(key, F.col("_copy").alias("copy_key"))
+    copies = first_copies(everything, key, F.col("copy_key"), settings)
     # How many rows share a text decides whether its facts go by broadcast or by shuffle.
     sizes = everything.groupBy("copy_key").agg(F.count(F.lit(1)).alias("_rows"))
-    facts = by_copy.join(sizes, "copy_key")
+    facts = sizes.join(by_copy, "copy_key", "left").where("_rows > 1 OR near IS NOT NULL")
     matched = attach_per_key(everything, facts, ["copy_key"], "_rows", key, settings.hot_key_share, keep_unmatched=True)
     joined = matched.join(copies.select(key, "first_id", "second_id"), key, "left")
-    twin = F.when(F.col("_words"), F.when(F.col("first_id") == F.col(key), F.col("second_id")).otherwise(F.col("first_id")))
+    twin = F.when(F.col("first_id") == F.col(key), F.col("second_id")).otherwise(F.col("first_id"))
     options = F.array_sort(
         F.filter(
             F.array(

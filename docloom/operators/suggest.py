@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.skew import top_per_key
 from docloom.functions.text import (
-    auto_distance, char_grams, cjk_terms, edge_grams, normalize, plain_terms, term_shingles, within_edits,
+    auto_distance, char_grams, cjk_terms, edge_grams, let, normalize, plain_terms, term_shingles, within_edits,
 )
 from docloom.operators.access import allowed
 from docloom.settings import DEFAULTS, Settings
@@ -38,7 +38,7 @@ def title_index(documents: DataFrame) -> DataFrame:
 
 def _share(asked: Column, have: Column) -> Column:
     """Which part of the asked terms the title has."""
-    hits = F.size(F.filter(asked, lambda t: F.array_contains(have, t)))
+    hits = let(have, lambda known: F.size(F.filter(asked, lambda t: F.array_contains(known, t))))
     return F.when(F.size(asked) > 0, hits / F.size(asked)).otherwise(F.lit(0.0))
 
 
