@@ -17,6 +17,9 @@ from docloom.operators.folders import auto_file
 from docloom.settings import DEFAULTS, Settings
 
 
+TAG_BLOCK = 5_000
+
+
 def preliminary_titles(documents: DataFrame) -> DataFrame:
     """Give still-untitled documents the best heuristic title right after indexing."""
     found = suggest_title(F.col("embedded_title"), F.col("blocks"), F.col("filename"))
@@ -99,8 +102,11 @@ def centroid_suggestions(vectors: DataFrame, tags: DataFrame, settings: Settings
     shared = usable.where(F.col("department_id").isNull()).select("tag_id", "centroid").withColumn("_any", F.lit(1))
     spread = departments.withColumn("_any", F.lit(1)).join(shared, "_any").select("tag_id", "department_id", "centroid")
     offered = own.unionByName(spread)
-    per_department = offered.groupBy("department_id").agg(F.collect_list(F.struct("tag_id", "centroid")).alias("offers"))
-    if offered.limit(largest_broadcast + 1).count() <= largest_broadcast:
+    total = offered.count()
+    blocks = max(1, -(-total // TAG_BLOCK))  # a department's tags come in lists of about TAG_BLOCK at most
+    block = F.pmod(F.xxhash64("tag_id"), F.lit(blocks)).alias("_block")
+    per_department = offered.groupBy("department_id", block).agg(F.collect_list(F.struct("tag_id", "centroid")).alias("offers")).drop("_block")
+    if total <= largest_broadcast:
         per_department = F.broadcast(per_department)
     scored = vectors.join(per_department, "department_id").select(
         "document_id",

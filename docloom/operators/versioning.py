@@ -115,5 +115,5 @@ def manifest_chunks(versions: DataFrame, chunks: DataFrame, key: str = "document
 
 def delta_chunks(new_chunks: DataFrame, stored: DataFrame) -> DataFrame:
     """New chunks with the vectors already known for their ids; the rest stay null for embedding."""
-    known = stored.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding")
+    known = stored.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding").dropDuplicates(["chunk_id"])
     return new_chunks.drop("embedding").join(known, "chunk_id", "left")
