@@ -153,8 +153,6 @@ def upsert_chunks(spark, folder):
     return catalog.upsert(old, new, ["chunk_id"], ("embedding",))
 
 
-_SUCCESSION = "'ref/' || CASE doc_id % 3 WHEN 0 THEN lower(source) ELSE upper(source) END || '/'"
-
 
 @register(
     "supersedes_links",

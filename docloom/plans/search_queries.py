@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from docloom.functions.citations import map_citations
-from docloom.functions.vectors import hash_embedder, mean_vectors, unit
+from docloom.functions.vectors import mean_vectors, unit
 from docloom.operators import answer, evaluation, retrieval, suggest
 from docloom.operators.access import Filters, search_filter
 from docloom.operators.enrich import centroid_suggestions, tag_centroids
@@ -18,7 +18,7 @@ from docloom.plans.corpus import (
 )
 from docloom.plans.registry import register
 from docloom.settings import DEFAULTS
-from docloom.sources.tables import spread, table
+from docloom.sources.tables import table
 
 # --- vectors -----------------------------------------------------------------
 
@@ -458,5 +458,3 @@ def did_you_mean(spark, folder):
     regions = table(spark, folder, "region").select((F.col("r_regionkey") + 100).alias("query_id"), F.concat(F.col("r_name"), F.lit(" meant eaux")).alias("query"))
     return suggest.did_you_mean(_titles(spark, folder), nations.unionByName(regions), GROUPS)
 
-
-__all__ = ["hash_embedder", "spread"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import metadata, titles
 from docloom.functions.citations import cited_numbers, numbered_sections
-from docloom.functions.text import chunk_id, collapse, estimate_tokens, normalize, sentences, shingles, strip, words
+from docloom.functions.text import chunk_id, estimate_tokens, normalize, sentences, shingles, strip, words
 from docloom.functions.vectors import hash_embedder
 from docloom.operators import dedup, folders
 from docloom.operators.chunking import unique_id
@@ -340,5 +340,3 @@ def offline_enrichment(spark, folder):
     read = documents(spark, folder).select("doc_id", metadata.offline_enrichment(text, F.lit("scan.docx")).alias("e"))
     return read.select("doc_id", *[f"e.{c}" for c in ("doctype", "reference_no", "effective_date", "supersedes_ref", "language")])
 
-
-__all__ = ["collapse"]
