@@ -321,6 +321,37 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool
     )
 
 
+def _rewrite(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """Texts without the stretches found in them, and their length where it is a column."""
+    for batch in batches:
+        data, offsets = buffers(batch.column("text"))
+        found, old = batch.column("spans").to_pylist(), batch.column("text")
+        texts: list[str | None] = []
+        for at, spans_ in enumerate(found):
+            text = old[at].as_py()
+            if spans_ and text is not None:
+                raw = data[offsets[at] : offsets[at + 1]].tobytes()
+                cuts = [_whole_characters(raw, a, b) for a, b in merged(np.array([s["start"] for s in spans_]), np.array([s["stop"] for s in spans_]))]
+                text = b"".join(raw[a:b] for a, b in zip([0, *(b for _, b in cuts)], [*(a for a, _ in cuts), len(raw)])).decode()
+            texts.append(text)
+        changed = {"text": pa.array(texts, pa.string())}
+        if "n_chars" in columns:
+            changed["n_chars"] = pa.array([n if t is None or not s else len(t) for n, t, s in zip(batch.column("n_chars").to_pylist(), texts, found)], pa.int64())
+        yield pa.RecordBatch.from_arrays([changed.get(c, batch.column(c)) for c in columns], names=columns)
+
+
+def cut_repeats(docs: DataFrame, length: int = LENGTH, bucket_runs: int = BUCKET_RUNS) -> DataFrame:
+    """docs with the repeated strings cut out of text (whole characters only) and n_chars following; all rows and columns stay."""
+    keyed = docs.mapInArrow(_keyed, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", text_key binary")
+    joined = keyed.join(spans(docs, length, bucket_runs), "text_key", "left")
+    return joined.mapInArrow(partial(_rewrite, columns=docs.columns), docs.schema)
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns, binary(_text_keys(*buffers(batch.column("text"))))], names=[*batch.schema.names, "text_key"])
+
+
 @register("op9_difference_cover")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
