@@ -1,7 +1,8 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse text features.
 
 P(grade > j) = sigmoid(w.x - b_j) with one weight vector for all ordered thresholds b_0 < b_1; the severity is the expected
-grade, the sum of these probabilities. Features are the hashed lower-cased words that a text has. The labels only
+grade, the sum of these probabilities. Features are the hashed lower-cased words that a text
+has, and their beginnings; only those that tell the classes apart in the sample take part. The labels only
 say toxic or not, so grades of the training rows are made from them: 0 is not toxic, and toxic texts are 1 or 2 by how
 many of the words that set toxic texts apart they have, split at the median.
 
@@ -20,12 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.columnar import buffers, distinct, slices, words_of
+from docloom.llm.columnar import Prefix, buffers, distinct, mix, slices, words_of
 from docloom.llm.tables import at_least, register, table
 
 SAMPLE = 8000  # labelled rows at most
 FEATURE_BITS = 18
-STEPS, RATE, DECAY = 150, 0.05, 1e-4
+BEGINNINGS = (4, 5, 6)  # bytes
+STEPS, RATE, DECAY = 300, 0.1, 1e-5
+TOXIC_SHARE = 0.25  # of the loss, whatever share of the sample is toxic
+LEAST_ROWS, CHI_SQUARED = 3, 40.0  # a feature takes part if so many rows have it and it tells the classes apart
 
 
 @dataclass(frozen=True)
@@ -41,7 +45,13 @@ class Model:
 
 def _features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     words = words_of(_letters(data), offsets)
-    doc, hashes = distinct(words.doc, words.hash >> np.uint64(64 - bits))
+    prefix, low = Prefix(words.data), np.uint64(64 - bits)
+    docs, hashes = [words.doc], [words.hash]
+    for size in BEGINNINGS:  # beginnings of longer words, for languages that put words together
+        longer = words.stop - words.start > size
+        docs.append(words.doc[longer])
+        hashes.append(mix(prefix.of(words.start[longer], words.start[longer] + size) + np.uint64(size)))
+    doc, hashes = distinct(np.concatenate(docs), np.concatenate(hashes) >> low)
     return doc, hashes.astype(np.int64)
 
 
@@ -64,12 +74,21 @@ def grades(toxic: np.ndarray, doc: np.ndarray, feature: np.ndarray, size: int) -
     often = np.bincount(feature[toxic[doc] == 1], minlength=size)
     rest = np.bincount(feature[toxic[doc] == 0], minlength=size)
     bad, good = max(1, int(toxic.sum())), max(1, int((toxic == 0).sum()))
-    typical = (often >= 5) & ((often + 0.5) / bad > 10 * (rest + 0.5) / good)
+    typical = (often >= LEAST_ROWS) & ((often + 0.5) / bad > 10 * (rest + 0.5) / good)
     found = np.bincount(doc, typical[feature], len(toxic))
     middle = np.median(found[toxic == 1]) if toxic.any() else 0
     return np.where(toxic == 1, 1 + (found > middle), 0)
 
 
+def telling(toxic: np.ndarray, doc: np.ndarray, feature: np.ndarray, size: int) -> np.ndarray:
+    """Features whose presence depends on toxicity (chi-squared with one degree of freedom); others would only be learned by heart."""
+    seen = np.bincount(feature, minlength=size).astype(np.float64)
+    bad = np.bincount(feature, toxic[doc].astype(np.float64), size)
+    share, rows = toxic.mean(), len(toxic)
+    spread = np.maximum(seen * share * (1 - share) * (1 - seen / rows), 1e-9)
+    return (seen >= LEAST_ROWS) & ((bad - seen * share) ** 2 / spread >= CHI_SQUARED)
+
+
 def fit(grade: np.ndarray, doc: np.ndarray, feature: np.ndarray, size: int, steps: int = STEPS) -> Model:
     """Maximum likelihood with all-threshold logistic loss (Adam); without both kinds of rows nothing is severe."""
     levels = 2
@@ -77,9 +96,8 @@ def fit(grade: np.ndarray, doc: np.ndarray, feature: np.ndarray, size: int, step
     if not (grade > 0).any() or not (grade == 0).any():
         return Model(weights, np.array([30.0, 31.0]) if not (grade > 0).any() else np.array([-30.0, 30.0]))
     target = (grade[:, None] > np.arange(levels)[None, :]).astype(np.float64)
-    share = np.where(grade > 0, 0.5 / (grade > 0).sum(), 0.5 / (grade == 0).sum())[:, None]  # both kinds weigh alike
-    common = np.bincount(feature, minlength=size) >= 3  # rarer words teach nothing that carries over
-    keep = common[feature]
+    share = np.where(grade > 0, TOXIC_SHARE / (grade > 0).sum(), (1 - TOXIC_SHARE) / (grade == 0).sum())[:, None]
+    keep = telling(grade > 0, doc, feature, size)[feature]
     doc, feature = doc[keep], feature[keep]
     state = [np.zeros(size), np.zeros(size), np.zeros(levels), np.zeros(levels)]
     for step in range(1, steps + 1):
