@@ -1,6 +1,6 @@
 """All queries of this package and their SQL; importing it registers them."""
 
-from docloom.llm import backoff, containment, ordinal, packing, repeats, superminhash  # noqa: F401
+from docloom.llm import backoff, containment, crf, ordinal, packing, repeats, superminhash, templates  # noqa: F401
 from docloom.llm.tables import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
