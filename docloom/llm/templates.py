@@ -7,7 +7,8 @@ adverts, forms, comments, scripts, styles, hidden parts) go by tag, class, id or
 article, the text comes from there, and passages that articles share are content, never template.
 
 Subtrees are counted with map-side aggregation; what recurs on a given share of a host's pages is bounded by the
-size of one page over that share, so the list that meets each page of a host is short however large the host.
+size of one page over that share, so the list that meets each page of a host is short however large the host. The lists of
+hosts with over a thousandth of all pages (fewer than a thousand hosts) are broadcast, and their pages stay spread.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions.skew import attach_per_key
 from docloom.llm.columnar import binary
 from docloom.llm.tables import at_least, register, table
 
@@ -244,7 +246,8 @@ def main_text(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE)
     pages = at_least(pages, ["page_id", "url", "html"])
     pages = pages.withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1), F.lit(""))))
     packed = pages.mapInArrow(_packed, "page_id bigint, url string, host string, packed binary, size bigint")
-    joined = packed.join(template_parts(pages, least, share), "host", "left")
+    facts = pages.groupBy("host").agg(F.count("*").alias("rows")).join(template_parts(pages, least, share), "host", "left")
+    joined = attach_per_key(packed, facts, ["host"], "rows", "page_id", keep_unmatched=True)
     return joined.select("page_id", "url", "packed", "size", "template").mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")
 
 

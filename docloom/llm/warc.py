@@ -136,15 +136,22 @@ def members_of(pieces: Iterator[bytes]) -> Iterator[tuple[str, bytes]]:
     started = False
     for piece in pieces:
         if held is not None:
-            held.add(piece)
-        else:
+            before = held.raw
+            try:
+                held.add(piece)
+            except zlib.error:
+                if started:
+                    raise
+                yield "orphan", before  # bytes of a member that began before this range, which only looked like a start
+                held = None
+        if held is None:
             held = _candidate(piece)
             if held is None:
                 if started:
                     raise ValueError("bytes between the members of an archive")
                 yield "orphan", piece
                 continue
-            started = True
+        started = started or held.done or len(held.data) >= 5
         if held.done:
             if held.data:
                 yield "record", held.data
