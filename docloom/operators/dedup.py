@@ -115,11 +115,12 @@ def _cell_members(units: DataFrame, settings: Settings) -> DataFrame:
             F.count(F.lit(1)).alias("members"),
             F.sum(F.hash("unit").cast("decimal(20,0)")).alias("_sum"),
             F.bit_xor(F.xxhash64("unit")).alias("_xor"),
+            F.bit_xor(F.xxhash64("unit", F.lit(1))).alias("_xor2"),
         )
         .where("members > 1")
     )
     # Buckets holding exactly the same members lead to the same comparisons: keep one of them.
-    once = stats.groupBy("members", "_sum", "_xor").agg(F.min(F.struct("band", "bucket")).alias("b")).select("b.band", "b.bucket", F.lit(True).alias("_visit"))
+    once = stats.groupBy("members", "_sum", "_xor", "_xor2").agg(F.min(F.struct("band", "bucket")).alias("b")).select("b.band", "b.bucket", F.lit(True).alias("_visit"))
     # Every shared bucket stays in the facts, visited or not, so that none of the large ones is shuffled by key alone.
     facts = stats.select("band", "bucket", "members").join(once, ["band", "bucket"], "left")
     members = attach_per_key(rows, facts, ["band", "bucket"], "members", "unit", settings.hot_key_share).where("_visit")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.merkle import merkle_root
 from docloom.functions.skew import previous_value, running_number
+from docloom.session import cut_lineage
 from docloom.settings import DEFAULTS, Settings
 
 VERSION_BLOCK = 10_000
@@ -69,20 +70,23 @@ def needs_enrichment(added_count: Column, new_count: Column, settings: Settings
     return F.when(new_count > 0, added_count / new_count > settings.reenrich_added_fraction).otherwise(F.lit(False))
 
 
-def dirty_nodes(nodes: DataFrame, changed: DataFrame, key: str = "document_id", depth: int | None = None) -> DataFrame:
+def dirty_nodes(nodes: DataFrame, changed: DataFrame, key: str = "document_id") -> DataFrame:
     """Tree nodes above any changed chunk: ``(key, node_id)``.
 
-    ``nodes`` has ``node_id`` and ``children``; ``changed`` has ``chunk_id``. One join per tree level,
-    and trees are at most ``depth`` levels high.
+    ``nodes`` has ``node_id`` and ``children``; ``changed`` has ``chunk_id``. One join per tree level on edges
+    written once, until a level finds no node that is new (so a cycle ends too).
     """
-    edges = nodes.select(key, F.explode("children").alias("child"), F.col("node_id").alias("parent"))
+    edges = cut_lineage(nodes.select(key, F.explode("children").alias("child"), F.col("node_id").alias("parent")))
     frontier = changed.select(key, F.col("chunk_id").alias("child")).distinct()
     found = None
-    for _ in range(depth or DEFAULTS.tree_max_depth):
+    while True:
         parents = edges.join(frontier, [key, "child"], "left_semi").select(key, F.col("parent").alias("child")).distinct()
-        found = parents if found is None else found.unionByName(parents)
-        frontier = parents
-    return found.select(key, F.col("child").alias("node_id")).distinct()
+        if found is not None:
+            parents = parents.join(found, [key, "child"], "left_anti")
+        frontier = cut_lineage(parents)
+        found = frontier if found is None else found.unionByName(frontier)
+        if frontier.isEmpty():
+            return found.select(key, F.col("child").alias("node_id"))
 
 
 def next_version_numbers(uploads: DataFrame, key: str, order: str, block: Column) -> DataFrame:

@@ -21,7 +21,7 @@ def catalogue(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document with the metadata the table itself does not carry, derived from its key."""
     d = F.col("doc_id")
     kinds = F.array(*[F.lit(k) for k in ("policy", "sop", "circular", "guideline", "report", "minutes", "other")])
-    first_line = F.substring(F.trim(F.get(F.split("text", "\n"), 0)), 1, 120)
+    first_line = F.trim(F.get(F.split("text", "\n"), 0))
     return spread(table(spark, folder, "documents")).select(
         d.alias("document_id"),
         F.col("source").alias("department_id"),
@@ -40,8 +40,8 @@ def catalogue(spark: SparkSession, folder: str) -> DataFrame:
 CATALOGUE_SQL = """
 cat AS (
   SELECT doc_id AS document_id, source AS department_id, lang AS language,
-    CASE WHEN substr(trim(split_part(text, chr(10), 1)), 1, 120) = '' THEN 'Untitled document'
-         ELSE substr(trim(split_part(text, chr(10), 1)), 1, 120) END AS title,
+    CASE WHEN trim(split_part(text, chr(10), 1)) = '' THEN 'Untitled document'
+         ELSE trim(split_part(text, chr(10), 1)) END AS title,
     (['policy','sop','circular','guideline','report','minutes','other'])[doc_id % 7 + 1] AS doctype,
     CAST(DATE '2023-01-01' + CAST(doc_id % 1000 AS INTEGER) AS VARCHAR) AS effective_date,
     CASE WHEN doc_id % 5 = 0 THEN doc_id + 1 END AS superseded_by,

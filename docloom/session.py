@@ -33,10 +33,13 @@ def shared_folder(spark: SparkSession) -> str:
     """A fresh folder every executor can reach.
 
     It lies below the folder the cluster names in ``spark.checkpoint.dir``; a private one is made only
-    where that is unset (single-machine tests).
+    where that is unset and the master is local; a cluster without the setting is an error, since each
+    machine would read back only what it wrote itself.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="docloom-", dir=os.environ.get("TMPDIR", "/tmp"))
     return f"{base.rstrip('/')}/docloom-{uuid.uuid4().hex}"
 

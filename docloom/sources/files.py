@@ -259,13 +259,13 @@ def extract_office(files: DataFrame) -> DataFrame:
 # --- page-oriented formats ------------------------------------------------------
 
 
-def classify_pdf_blocks(spans: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def classify_pdf_blocks(spans: DataFrame, settings: Settings = DEFAULTS, transcribed: bool = True) -> DataFrame:
     """Headings of a PDF text layer from print sizes.
 
     ``spans`` is ``(doc, page, block, text, size)``, the output of whatever reads the PDF. A block takes
     the size most of its characters have; a heading is at least 1.3 times the document's
     character-weighted median size, level 1 for the largest such size only. Pages with fewer than
-    ``ocr_text_threshold`` characters are left to transcription.
+    ``ocr_text_threshold`` characters are left to transcription; without a transcriber (``transcribed=False``) they are kept.
     """
     sized = spans.groupBy("doc", "page", "block", F.round("size", 1).alias("size")).agg(
         F.sum(F.length(F.trim("text"))).alias("chars"), F.min("line").alias("line")
@@ -276,7 +276,7 @@ def classify_pdf_blocks(spans: DataFrame, settings: Settings = DEFAULTS) -> Data
     )
     blocks = texts.join(dominant, ["doc", "page", "block"]).where("text <> ''")
     page_length = texts.groupBy("doc", "page").agg(F.sum(F.length("text")).alias("page_chars"))
-    kept = blocks.join(page_length, ["doc", "page"]).where(F.col("page_chars") >= settings.ocr_text_threshold)
+    kept = blocks.join(page_length, ["doc", "page"]).where((F.col("page_chars") >= settings.ocr_text_threshold) | F.lit(not transcribed))
     body = kept.groupBy("doc").agg(F.percentile("size", F.lit(0.5), F.greatest(F.lit(1), F.length("text"))).alias("body"))
     marked = kept.join(body, "doc").withColumn("heading", (F.col("body") > 0) & (F.col("size") >= F.col("body") * HEADING_SIZE_RATIO))
     largest = marked.where("heading").groupBy("doc").agg(F.max("size").alias("largest"))
