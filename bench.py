@@ -13,6 +13,7 @@ HEADLINE = [
     "text_scalars", "exact_duplicates", "minhash_bands", "near_duplicates", "chunk_documents", "markdown_blocks", "merkle_roots", "delta_stats",
     "knn_topk", "knn_documents", "bm25_topk", "hybrid_search", "hybrid_retrieve", "search_facets", "suggest_titles", "did_you_mean",
     "list_orders_page", "folder_counts", "multi_get_ordered", "previous_version", "dirty_ancestors", "job_backoff", "conversation_history",
+    "bm25_fuzzy", "duplicate_tiers", "eval_hit_rate",
 ]
 
 
