@@ -76,7 +76,7 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int, piece: int) -> Iterato
     for batch in batches:
         data, offsets = buffers(batch.column("text"))
         ids = batch.column("doc_id")
-        for first, last in slices(offsets):
+        for first, last in slices(offsets, SORT_BYTES):
             own = offsets[first : last + 1]
             part = data[own[0] : own[-1]]
             doc, anchor, run, start, count = runs_of(part, own - own[0], length, piece)
@@ -253,7 +253,8 @@ def spans(docs: DataFrame, length: int = LENGTH, bucket_runs: int = BUCKET_RUNS)
     piece = min(PIECE, length)
     docs = at_least(docs, ["doc_id", "text"])
     runs = cut_lineage(docs.mapInArrow(partial(_runs, length=length, piece=piece), "doc_id bigint, text_key binary, anchor bigint, run bigint, start bigint, count bigint"))
-    shared = runs.groupBy("anchor").count().where("count > 1").select("anchor")
+    # Written, so that the join deals out plain rows and an anchor with very many of them can be split.
+    shared = cut_lineage(runs.groupBy("anchor").count().where("count > 1").select("anchor"))
     runs = cut_lineage(runs.join(shared, "anchor"))
     first = F.min(F.struct("doc_id", "text_key", "start", "count")).alias("first")
     kinds = cut_lineage(runs.groupBy("anchor", "run").agg(F.count("*").alias("n"), first))
