@@ -44,7 +44,7 @@ def apply_versions(previous: DataFrame, new_chunks: DataFrame, stored: DataFrame
     added = moving.select("document_id", F.explode("added").alias("chunk_id"))
     removed = moving.select("document_id", F.explode("removed").alias("chunk_id"))
     old_nodes = nodes.join(moving.select("document_id"), "document_id", "left_semi")
-    dirty = dirty_nodes(old_nodes, added.unionByName(removed), depth=settings.tree_max_depth)
+    dirty = dirty_nodes(old_nodes, added.unionByName(removed))
     leaves = chunks.join(moving.select("document_id"), "document_id", "left_semi").select("document_id", "chunk_id", "ord", "text", "embedding")
     refreshed = refresh_tree(old_nodes.select(NODE_COLUMNS), leaves, dirty, added, removed, settings=settings)
     same = nodes.join(kept, "document_id", "left_semi").select(NODE_COLUMNS).withColumn("refreshed", F.lit(False))
