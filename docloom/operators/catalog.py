@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.skew import attach_per_key, top_per_key
+from docloom.functions.skew import attach_per_key, running_number, top_per_key
 from docloom.functions.text import collapse
 from docloom.operators.access import live, readable
 
@@ -161,7 +161,7 @@ def soft_delete(documents: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
 def get_or_create_tags(tags: DataFrame, wanted: DataFrame) -> DataFrame:
     """Existing tags plus one new row per unseen (name, department), names compared without case.
 
-    New ids continue after the largest id. A null department only equals a null department.
+    New ids continue after the largest id, in the order of the names. A null department only equals a null department.
     """
     asked = (
         wanted.select(collapse(F.col("name")).alias("name"), "department_id")
@@ -172,7 +172,7 @@ def get_or_create_tags(tags: DataFrame, wanted: DataFrame) -> DataFrame:
     existing = tags.select(F.lower("name").alias("_have"), F.col("department_id").alias("_department"))
     fresh = asked.join(existing, (F.col("_key") == F.col("_have")) & F.col("department_id").eqNullSafe(F.col("_department")), "left_anti")
     top = tags.agg(F.coalesce(F.max("tag_id"), F.lit(0)).alias("top"))
-    numbered = fresh.withColumn("tag_id", (F.monotonically_increasing_id() + 1 + top.scalar()).cast("long"))
+    numbered = running_number(fresh, [], F.substring("_key", 1, 2), [F.col("_key"), F.col("department_id")], "_n").withColumn("tag_id", F.col("_n") + top.scalar())
     return tags.unionByName(numbered.select("tag_id", "name", "department_id"), allowMissingColumns=True)
 
 

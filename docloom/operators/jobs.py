@@ -16,10 +16,11 @@ REPORT_CHARS = 2000
 
 
 def enqueue(jobs: DataFrame, requests: DataFrame) -> DataFrame:
-    """Append queued jobs; ids continue after the largest one."""
+    """Append queued jobs; ids continue after the largest one, by document and stage, without gaps."""
     top = jobs.agg(F.coalesce(F.max("job_id"), F.lit(0)).alias("top")).scalar()
-    fresh = requests.select(
-        (F.monotonically_increasing_id() + 1 + top).cast("long").alias("job_id"), "document_id", "version_id", "stage",
+    numbered = running_number(requests, [], F.col("document_id"), [F.col("stage"), F.col("version_id")], "_n")
+    fresh = numbered.select(
+        (F.col("_n") + top).cast("long").alias("job_id"), "document_id", "version_id", "stage",
         F.lit("queued").alias("status"), F.lit(0).alias("attempts"), F.current_timestamp().alias("run_after"), F.lit(None).cast("string").alias("last_error"),
     )
     return jobs.unionByName(fresh, allowMissingColumns=True)

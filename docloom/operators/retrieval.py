@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from docloom.functions.skew import top_per_key
 from docloom.functions.text import auto_distance, cjk_terms, collapse, normalize, probe_keys, segment_keys, standard_terms, within_edits
-from docloom.functions.vectors import hash_embedder
+from docloom.functions.vectors import hash_embedder, mean_vectors
 from docloom.operators.access import Filters, readable, search_filter
 from docloom.operators.topk import batch_topk, bm25_queries, cosine_queries
 from docloom.session import cut_lineage
@@ -294,6 +294,17 @@ def one_query(spark, text: str, dim: int = DEFAULTS.embed_dim) -> DataFrame:
     return spark.createDataFrame([(0, text, vector)], "query_id int, query string, vector array<double>")
 
 
+def document_vectors(chunks: DataFrame, current: DataFrame) -> DataFrame:
+    """``(document_id, vector)``: the mean over the chunks of the current manifest, over all chunks where none of those has a vector.
+
+    ``chunks`` is ``(document_id, chunk_id, embedding)``, ``current`` the ``(document_id, chunk_id)`` of the manifests.
+    """
+    known = chunks.where(F.col("embedding").isNotNull()).select("document_id", "chunk_id", "embedding")
+    listed = known.join(current.select("document_id", "chunk_id").distinct(), ["document_id", "chunk_id"], "left_semi")
+    inside = mean_vectors(listed, ["document_id"], "embedding").select("document_id", F.col("mean_vector").alias("_inside"))
+    return mean_vectors(known, ["document_id"], "embedding").join(inside, "document_id", "left").select("document_id", F.coalesce("_inside", "mean_vector").alias("vector"))
+
+
 def fill_embeddings(rows: DataFrame, text: str = "text", dim: int = DEFAULTS.embed_dim) -> DataFrame:
     """Embed only rows whose vector is missing, keeping the others untouched; flags what was computed."""
     flagged = rows.withColumn("reembedded", F.col("embedding").isNull())
@@ -302,7 +313,7 @@ def fill_embeddings(rows: DataFrame, text: str = "text", dim: int = DEFAULTS.emb
 
 
 __all__ = [
-    "analyze_index", "best_per_document", "collapse", "embed_queries", "facets", "fill_embeddings", "fuse", "fuzzy_terms",
+    "analyze_index", "best_per_document", "collapse", "document_vectors", "embed_queries", "facets", "fill_embeddings", "fuse", "fuzzy_terms",
     "highlight", "hybrid", "lexical_topk", "one_query", "retrieve", "search", "snippet", "term_weights", "vector_topk",
     "vocabulary",
 ]

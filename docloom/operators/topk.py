@@ -21,7 +21,8 @@ from docloom.session import cut_lineage
 from docloom.settings import DEFAULTS, Settings
 
 Scorer = Callable[[pa.Table], np.ndarray]
-ROUND = 6
+TIE = 9  # places that scores are compared on, so that the order of a sum decides no rank
+ROUND = 6  # places that are given back
 QUERY_GROUP = 256  # queries weighed together
 DENSE_CELLS = 4_000_000  # largest dense block a task builds
 
@@ -36,7 +37,7 @@ class _Best:
         self.kept: list[list[tuple[float, Any]]] = [[] for _ in queries]
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        scores = np.round(scores, ROUND)
+        scores = np.round(scores, TIE)
         for column, kept in enumerate(self.kept):
             values = scores[:, column]
             candidates = np.flatnonzero(np.isfinite(values) if self.floor is None else values > self.floor)
@@ -84,7 +85,17 @@ def batch_topk(
     else:
         local = _grid_topk(corpus, queries, prepare, k, floor, output, settings)
     # k rows per query, written once: callers read rankings several times and a lost executor must not cost a rescan.
-    return cut_lineage(top_per_key(local, ["query_id"], [F.col("score").desc(), F.col("id")], k))
+    return cut_lineage(_merge(local, k).withColumn("score", F.round("score", ROUND)))
+
+
+def _merge(local: DataFrame, k: int) -> DataFrame:
+    """The best k of what all tasks kept, in two steps, so that no task receives the rows of every task for one query.
+
+    Task n belongs to group floor(sqrt(n)): about sqrt(tasks) groups, each of at most twice as many tasks.
+    """
+    order = [F.col("score").desc(), F.col("id")]
+    grouped = local.withColumn("_group", F.floor(F.sqrt(F.spark_partition_id())))
+    return top_per_key(top_per_key(grouped, ["query_id", "_group"], order, k, "_n").drop("_n", "_group"), ["query_id"], order, k)
 
 
 def _collect_bounded(queries: DataFrame, settings: Settings) -> pa.Table | None:

@@ -52,9 +52,9 @@ def centroids(spark, folder):
     "knn_topk",
     f"""
 WITH {_CENTROIDS_SQL},
-sims AS (SELECT m.label AS query_id, u.vec_id AS id, round(sum(u.x * m.m / n), 6) AS score FROM units u JOIN means m ON m.i = u.i JOIN norms USING (label) GROUP BY ALL),
+sims AS (SELECT m.label AS query_id, u.vec_id AS id, round(sum(u.x * m.m / n), 9) AS score FROM units u JOIN means m ON m.i = u.i JOIN norms USING (label) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sims)
-SELECT query_id, id, score, rank FROM r WHERE rank <= 50
+SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 50
 """,
 )
 def knn_topk(spark, folder):
@@ -107,7 +107,7 @@ parts AS (
     sum(CASE t.field WHEN 0 THEN 3.0 ELSE 1.0 END::DOUBLE * q.qtf * ln(1 + (s.n - d.df + 0.5) / (d.df + 0.5)) * t.tf / (t.tf + 1.2 * (1 - 0.75 + 0.75 * l.dl / s.avgdl))) AS score
   FROM qt q JOIN tfs t ON t.term = q.term JOIN dfs d ON d.field = t.field AND d.term = t.term JOIN stats s ON s.field = t.field
     JOIN lens l ON l.document_id = t.document_id AND l.field = t.field GROUP BY ALL),
-best AS (SELECT query_id, id, round(max(score), 6) AS score FROM parts WHERE id IN (SELECT document_id FROM cat WHERE {visible}) GROUP BY ALL),
+best AS (SELECT query_id, id, round(max(score), 9) AS score FROM parts WHERE id IN (SELECT document_id FROM cat WHERE {visible}) GROUP BY ALL),
 bm25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM best WHERE score > 0) WHERE rank <= 50)
 """
 
@@ -117,7 +117,7 @@ def _knn_sql(visible: str = _VISIBLE) -> str:
 {sqltext.embedding('cat', 'document_id', 'text', prefix='d')},
 {sqltext.embedding('benchmark', 'item_id', sqltext.normalize('text'), prefix='q')},
 sims AS (
-  SELECT q.item_id AS query_id, d.document_id AS id, round(coalesce(v.s, 0), 6) AS score
+  SELECT q.item_id AS query_id, d.document_id AS id, round(coalesce(v.s, 0), 9) AS score
   FROM (SELECT item_id FROM benchmark) q CROSS JOIN (SELECT document_id FROM cat WHERE {visible}) d
   LEFT JOIN (SELECT a.k AS qk, b.k AS dk, sum(a.x * b.x) AS s FROM qvec a JOIN dvec b USING (slot) GROUP BY ALL) v ON v.qk = q.item_id AND v.dk = d.document_id),
 knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sims) WHERE rank <= 50)
@@ -146,7 +146,7 @@ def _queries(spark, folder):
     return retrieval.embed_queries(benchmark_queries(spark, folder), VECTOR_DIM)
 
 
-@register("bm25_topk", f"WITH {CATALOGUE_SQL}, {_bm25_sql()} SELECT query_id, id, score, rank FROM bm25")
+@register("bm25_topk", f"WITH {CATALOGUE_SQL}, {_bm25_sql()} SELECT query_id, id, round(score, 6) AS score, rank FROM bm25")
 def bm25_topk(spark, folder):
     return retrieval.lexical_topk(_analyzed(spark, folder), search_filter(GROUPS), benchmark_queries(spark, folder), DEFAULTS.bm25_size)
 
@@ -171,9 +171,9 @@ fparts AS (
     sum(CASE t.field WHEN 0 THEN 3.0 ELSE 1.0 END::DOUBLE * q.qtf * ln(1 + (s.n - d.df + 0.5) / (d.df + 0.5)) * t.tf / (t.tf + 1.2 * (1 - 0.75 + 0.75 * l.dl / s.avgdl))) AS score
   FROM wide q JOIN tfs t ON t.term = q.term JOIN dfs d ON d.field = t.field AND d.term = t.term JOIN stats s ON s.field = t.field
     JOIN lens l ON l.document_id = t.document_id AND l.field = t.field GROUP BY ALL),
-fbest AS (SELECT query_id, id, round(max(score), 6) AS score FROM fparts WHERE id IN (SELECT document_id FROM cat WHERE {_VISIBLE}) GROUP BY ALL),
+fbest AS (SELECT query_id, id, round(max(score), 9) AS score FROM fparts WHERE id IN (SELECT document_id FROM cat WHERE {_VISIBLE}) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fbest WHERE score > 0)
-SELECT query_id, id, score, rank FROM r WHERE rank <= 50
+SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 50
 """,
 )
 def bm25_fuzzy(spark, folder):
@@ -185,7 +185,7 @@ def bm25_fuzzy(spark, folder):
     return retrieval.lexical_topk(_analyzed(spark, folder), search_filter(GROUPS), nations.unionByName(regions), DEFAULTS.bm25_size, fuzzy=True)
 
 
-@register("knn_documents", f"WITH {CATALOGUE_SQL}, {_knn_sql(_FILTERED)} SELECT query_id, id, score, rank FROM knn")
+@register("knn_documents", f"WITH {CATALOGUE_SQL}, {_knn_sql(_FILTERED)} SELECT query_id, id, round(score, 6) AS score, rank FROM knn")
 def knn_documents(spark, folder):
     """Exact vector search under access, type, date and succession filters."""
     filters = Filters(doctype=["policy", "report"], date_from="2023-02-01", date_to="2025-06-30", include_superseded=False)
