@@ -28,7 +28,9 @@ def attach_per_key(
     limit = per_key.agg((F.sum(size_column) / hot_share).alias("limit")).scalar()
     facts = [c for c in per_key.columns if c not in key]
     hot = per_key.where(F.col(size_column) > limit).select(*key, F.struct(*facts).alias("_hot"))
-    cold = per_key.where(F.col(size_column) <= limit).select(*key, F.lit(0).alias("_spread"), F.struct(*facts).alias("_cold"))
+    # Always 0, but no constant: the optimizer would fold a constant into the join condition and deal rows by the key alone.
+    zero = F.least(F.col(size_column), F.lit(0)).cast("int")
+    cold = per_key.where(F.col(size_column) <= limit).select(*key, zero.alias("_spread"), F.struct(*facts).alias("_cold"))
     marked = rows.join(F.broadcast(hot), key, "left").withColumn(
         "_spread",
         F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(row_id), F.lit(HOT_SPREAD)).cast("int") + 1),

@@ -41,3 +41,18 @@ def test_blocked_windows_match_plain_ones(spark):
     frame["pid"], frame["pv"] = grouped.id.shift(), grouped.v.shift()
     assert numbered == dict(zip(frame.id, frame.n))
     assert looked == {r.id: (None, None) if pd.isna(r.pid) else (int(r.pid), r.pv) for r in frame.itertuples()}
+
+
+def test_hot_rows_are_dealt_over_partitions(spark):
+    df = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("key"))
+    facts = df.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    keep = {name: spark.conf.get(name) for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        made = attach_per_key(df, facts, ["key"], "n", "id", keep_unmatched=True)
+        places = made.where("key = 0").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for name, value in keep.items():
+            spark.conf.set(name, value)
+    assert len(places) == 4 and sum(r["count"] for r in places) == 2000
