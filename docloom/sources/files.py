@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -67,8 +68,9 @@ def get_blob(spark: SparkSession, folder: str, sha256: str) -> bytes:
 # --- type sniffing ------------------------------------------------------------
 
 
-@F.udf(StringType())
-def _zip_type(content: bytes) -> str | None:
+def _office_type(content: bytes | None) -> str | None:
+    if content is None:
+        return None
     try:
         names = set(zipfile.ZipFile(io.BytesIO(content)).namelist())
     except zipfile.BadZipFile:
@@ -76,6 +78,11 @@ def _zip_type(content: bytes) -> str | None:
     return DOCX if "word/document.xml" in names else XLSX if "xl/workbook.xml" in names else None
 
 
+@F.pandas_udf(StringType())
+def _zip_type(content: pd.Series) -> pd.Series:
+    return content.map(_office_type).astype(object)
+
+
 def sniff_type(content: Column) -> Column:
     """MIME type from the bytes alone; null when unsupported. Only archives are opened."""
 
@@ -131,12 +138,25 @@ def _word_items(archive: zipfile.ZipFile) -> Iterator[tuple]:
             style = next((_attribute(e, "val") or "" for e in element.iter() if _name(e) == "pStyle"), "")
             yield 1, "text", styles.get(style, style), _text_of(element).strip(), None
         elif _name(element) == "tbl":
-            cells = [
-                ["\n".join(_text_of(p) for p in cell if _name(p) == "p") for cell in row if _name(cell) == "tc"]
-                for row in element
-                if _name(row) == "tr"
-            ]
-            yield 1, "table", "", "", cells
+            yield 1, "table", "", "", _word_rows(element)
+
+
+def _word_rows(table: ElementTree.Element) -> list[list[str]]:
+    """Cell texts by row; a cell that goes on with a vertical merge has the text of the cell above it."""
+    rows: list[list[str]] = []
+    above: dict[int, str] = {}  # grid column -> text of the last cell that began there
+    for row in (e for e in table if _name(e) == "tr"):
+        texts, column = [], 0
+        for cell in (e for e in row if _name(e) == "tc"):
+            marks = {_name(m): _attribute(m, "val") for p in cell if _name(p) == "tcPr" for m in p}
+            goes_on = "vMerge" in marks and marks["vMerge"] != "restart"
+            text = "\n".join(_text_of(p) for p in cell if _name(p) == "p")
+            text = above.get(column, text) if goes_on else text
+            above[column] = text
+            texts.append(text)
+            column += int(marks.get("gridSpan") or 1)
+        rows.append(texts)
+    return rows
 
 
 def _column_number(reference: str) -> int:
@@ -146,6 +166,39 @@ def _column_number(reference: str) -> int:
     return number - 1
 
 
+#: Numbers of the built-in formats that show dates or times; 46 shows a duration.
+DATE_FORMATS, DURATION_FORMAT = {*range(14, 23), 45, 46, 47}, 46
+_UNSHOWN = re.compile(r'"[^"]*"|\\.|_.|\[(?!h+\]|m+\]|s+\])[^\]]*\]', re.I)
+_ELAPSED = re.compile(r"\[(?:h+|m+|s+)\]", re.I)
+
+
+def _date_styles(archive: zipfile.ZipFile) -> dict[int, str]:
+    """Cell styles whose number format shows a date ('date') or an elapsed time ('duration')."""
+    if "xl/styles.xml" not in archive.namelist():
+        return {}
+    root = ElementTree.fromstring(archive.read("xl/styles.xml"))
+    kinds = {n: "duration" if n == DURATION_FORMAT else "date" for n in DATE_FORMATS}
+    for e in root.iter():
+        if _name(e) == "numFmt" and _attribute(e, "numFmtId"):
+            shown = _UNSHOWN.sub("", (_attribute(e, "formatCode") or "").split(";")[0])
+            kind = "duration" if _ELAPSED.search(shown) else "date" if re.search("[dmhys]", shown, re.I) else ""
+            kinds[int(_attribute(e, "numFmtId") or 0)] = kind if shown.lower() != "general" else ""
+    styles = next((list(e) for e in root if _name(e) == "cellXfs"), [])
+    found = {i: kinds.get(int(_attribute(e, "numFmtId") or 0), "") for i, e in enumerate(styles)}
+    return {i: kind for i, kind in found.items() if kind}
+
+
+def _moment(days: float, kind: str, first: datetime) -> str:
+    """A day count as date and time, as a time of day below one day, or as a duration."""
+    span = timedelta(milliseconds=round(days * 86_400_000))
+    if kind == "duration":
+        return str(span)
+    if 0 <= days < 1 and span.days == 0:
+        return str((datetime.min + span).time())
+    early = first.year == 1899 and 0 < days < 60  # the day count has a 29 February 1900
+    return str(first + span + timedelta(days=int(early)))
+
+
 def _sheet_items(archive: zipfile.ZipFile) -> Iterator[tuple]:
     """(page, kind, style, text, cells): one item per sheet, the sheet's name as its style."""
     shared: list[str] = []
@@ -154,7 +207,10 @@ def _sheet_items(archive: zipfile.ZipFile) -> Iterator[tuple]:
     targets = {
         _attribute(e, "Id"): _attribute(e, "Target") for e in ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels"))
     }
-    sheets = [e for e in ElementTree.fromstring(archive.read("xl/workbook.xml")).iter() if _name(e) == "sheet"]
+    book = list(ElementTree.fromstring(archive.read("xl/workbook.xml")).iter())
+    sheets = [e for e in book if _name(e) == "sheet"]
+    late = any(_name(e) == "workbookPr" and _attribute(e, "date1904") in ("1", "true") for e in book)
+    dates, first = _date_styles(archive), datetime(1904, 1, 1) if late else datetime(1899, 12, 30)
     for page, sheet in enumerate(sheets, start=1):
         target = (targets[_attribute(sheet, "id")] or "").lstrip("/")
         rows = []
@@ -165,12 +221,12 @@ def _sheet_items(archive: zipfile.ZipFile) -> Iterator[tuple]:
             for cell in row:
                 at = _column_number(_attribute(cell, "r") or "") if _attribute(cell, "r") else len(values)
                 values.extend([""] * (at - len(values)))
-                values.append(_cell_text(cell, shared))
+                values.append(_cell_text(cell, shared, dates.get(int(_attribute(cell, "s") or 0), ""), first))
             rows.append(values)
         yield page, "sheet", _attribute(sheet, "name") or "", "", rows
 
 
-def _cell_text(cell: ElementTree.Element, shared: list[str]) -> str:
+def _cell_text(cell: ElementTree.Element, shared: list[str], date: str, first: datetime) -> str:
     kind = _attribute(cell, "t") or "n"
     if kind == "inlineStr":
         return _text_of(cell).strip()
@@ -181,6 +237,11 @@ def _cell_text(cell: ElementTree.Element, shared: list[str]) -> str:
         return "True" if raw == "1" else "False"
     if kind == "n" and raw:
         number = float(raw)
+        if date:
+            try:
+                return _moment(number, date, first)
+            except (OverflowError, ValueError):  # no such day: the number itself
+                pass
         return str(int(number)) if number.is_integer() else str(number)
     return raw.strip()
 
@@ -190,10 +251,14 @@ def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for sha, mime, content in zip(batch["sha256"], batch["mime"], batch["content"]):
-            archive = zipfile.ZipFile(io.BytesIO(content))
-            items = list(_word_items(archive) if mime == DOCX else _sheet_items(archive))
+            try:
+                archive = zipfile.ZipFile(io.BytesIO(content))
+                title = _core_title(archive)
+                items = list(_word_items(archive) if mime == DOCX else _sheet_items(archive))
+            except Exception as error:  # whatever a broken file causes concerns that file alone
+                title, items = None, [(1, "error", "", f"{type(error).__name__}: {error}", None)]
             pages = 1 if mime == DOCX else len(items)
-            rows += [(sha, page, i, kind, style, text, cells, _core_title(archive), pages) for i, (page, kind, style, text, cells) in enumerate(items)]
+            rows += [(sha, page, i, kind, style, text, cells, title, pages) for i, (page, kind, style, text, cells) in enumerate(items)]
         yield pd.DataFrame(rows, columns=columns)
 
 
@@ -203,7 +268,7 @@ def _word_blocks(raw: DataFrame) -> DataFrame:
     level = F.when(style == "title", 1).when(number.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(6), number)))
     return raw.where("kind <> 'sheet'").select(
         "sha256", "page", F.array(F.col("order")).alias("place"),
-        F.when(F.col("kind") == "table", "table").when(level.isNotNull(), "heading").otherwise("paragraph").alias("type"),
+        F.when(F.col("kind").isin("table", "error"), F.col("kind")).when(level.isNotNull(), "heading").otherwise("paragraph").alias("type"),
         F.when(F.col("kind") == "text", level).alias("level"),
         F.when(F.col("kind") == "table", serialize_table(F.col("cells"))).otherwise(F.col("text")).alias("text"),
         F.lit("docx").alias("source"),
@@ -245,7 +310,8 @@ def _sheet_blocks(raw: DataFrame) -> DataFrame:
 def extract_office(files: DataFrame) -> DataFrame:
     """Blocks of DOCX and XLSX files: ``(sha256, page, order, type, level, text, source, title, pages)``.
 
-    Opening the archive is the only Python step; headings, tables and numbering are column expressions.
+    Opening the archive is the only Python step; headings, tables and numbering are column expressions. A file that
+    can't be read has one row of type ``error`` whose text says why; the other files are not concerned.
     """
     packed = files.withColumn("mime", sniff_type(F.col("content"))).where(F.col("mime").isin(DOCX, XLSX))
     raw = packed.select("sha256", "mime", "content").mapInPandas(_unpack, RAW_SCHEMA)
@@ -303,12 +369,13 @@ def extract_images(files: DataFrame, transcribe: Callable[[Column], Column] | No
 
 
 def extract(files: DataFrame, transcribe: Callable[[Column], Column] | None = None) -> DataFrame:
-    """One row per supported file with its block array, page count and embedded title."""
+    """One row per supported file with its block array, page count and embedded title, or why it could not be read (``error``)."""
     mime = files.select("sha256", "filename", sniff_type(F.col("content")).alias("mime_type"))
     office = extract_office(files)
-    facts = office.groupBy("sha256").agg(F.first("title").alias("embedded_title"), F.max("pages").alias("page_count"))
+    failed = F.max(F.when(F.col("type") == "error", F.col("text"))).alias("error")
+    facts = office.groupBy("sha256").agg(F.first("title").alias("embedded_title"), F.max("pages").alias("page_count"), failed)
     columns = ["sha256", "page", "order", "type", "level", "text", "source"]
     images = extract_images(files, transcribe).withColumn("page", F.lit(1))
-    blocks = office.select(columns).unionByName(images.select(columns))
+    blocks = office.where("type <> 'error'").select(columns).unionByName(images.select(columns))
     arrays = blocks_by_document(blocks, "sha256", F.col("page"))
     return mime.join(arrays, "sha256", "left").join(facts, "sha256", "left")

@@ -121,3 +121,35 @@ def test_pdf_headings(spark):
     made = files.classify_pdf_blocks(df).orderBy("page", "block").collect()
     assert [(r["page"], r["type"], r["level"]) for r in made] == [(1, "heading", 1), (1, "heading", 2), (1, "paragraph", None)]
     assert [tuple(r) for r in files.pages_for_transcription(df).collect()] == [(1, 2)]
+
+
+def test_merged_cells_dates_and_broken_files(spark):
+    def cell(text, marks=""):
+        return f"<w:tc><w:tcPr>{marks}</w:tcPr><w:p><w:r><w:t>{text}</w:t></w:r></w:p></w:tc>"
+
+    rows = [
+        cell("Unit") + cell("Both", '<w:gridSpan w:val="2"/>') + cell("Note"),
+        cell("HR", '<w:vMerge w:val="restart"/>') + cell("1") + cell("2") + cell("x", '<w:vMerge w:val="restart"/>'),
+        cell("", "<w:vMerge/>") + cell("wide", '<w:gridSpan w:val="2"/>') + cell("", "<w:vMerge/>"),
+    ]
+    table = "<w:tbl>" + "".join(f"<w:tr>{r}</w:tr>" for r in rows) + "</w:tbl>"
+    word = archive({"word/document.xml": f"<w:document {W}><w:body>{table}</w:body></w:document>"})
+    numbers = [("A", 1, 45296), ("B", 1, 45296.5), ("C", 2, 1.25), ("D", 0, 45296), ("E", 3, 45296), ("F", 1, 0.25), ("G", 1, 1e12), ("H", 1, 59)]
+    data = "".join(f'<c r="{c}2" s="{s}"><v>{v}</v></c>' for c, s, v in numbers)
+    head = "".join(f'<c r="{c}1" t="inlineStr"><is><t>{c.lower()}</t></is></c>' for c, _, _ in numbers)
+    styles = '<numFmts><numFmt numFmtId="170" formatCode="[h]:mm"/><numFmt numFmtId="171" formatCode="[Red]0 &quot;days&quot;"/></numFmts>'
+    styles += '<cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs>'
+    sheet = {
+        "xl/workbook.xml": f'<workbook {S} xmlns:r="rel"><sheets><sheet name="P" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="r"><Relationship Id="r1" Target="worksheets/s1.xml"/></Relationships>',
+        "xl/worksheets/s1.xml": f'<worksheet {S}><sheetData><row r="1">{head}</row><row r="2">{data}</row></sheetData></worksheet>',
+    }
+    broken = archive({"word/document.xml": "<w:document"})
+    contents = [("a", "a.docx", word), ("b", "b.xlsx", archive({**sheet, "xl/styles.xml": f"<styleSheet {S}>{styles}</styleSheet>"})), ("c", "c.docx", broken)]
+    df = spark.createDataFrame([(k, n, bytearray(c)) for k, n, c in contents], "sha256 string, filename string, content binary")
+    made = {r["sha256"]: r for r in files.extract(df).collect()}
+    assert [b["text"] for b in made["a"]["blocks"]] == ["Unit: HR | Both: 1 | Note: 2 | col4: x\nUnit: HR | Both: wide | Note: x"]
+    assert [b["text"] for b in made["b"]["blocks"]] == [
+        "P", "a: 2024-01-05 00:00:00 | b: 2024-01-05 12:00:00 | c: 1 day, 6:00:00 | d: 45296 | e: 45296 | f: 06:00:00 | g: 1000000000000 | h: 1900-02-28 00:00:00",
+    ]
+    assert made["a"]["error"] is None and made["c"]["blocks"] is None and made["c"]["error"].startswith("ParseError")
