@@ -13,6 +13,7 @@ Only the histogram (at most W lengths) reaches the driver. Tokens are written on
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -38,13 +39,18 @@ VOCABULARY = "byte_bpe_50k"
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
-    """The public byte-level vocabulary; the ranks give the ids of the vocabulary's JSON form, several times faster."""
+    """The public byte-level vocabulary; ranks and added tokens give the ids of the vocabulary's JSON form, several times faster.
+
+    The added tokens stand in the JSON form only, beside the ranks; each one inside a text is one id.
+    """
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(f"{path.removesuffix('.tiktoken')}.json", encoding="utf-8") as form:
+        added = {token["content"]: token["id"] for token in json.load(form)["added_tokens"]}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def vocabulary_path() -> str:
@@ -54,7 +60,7 @@ def vocabulary_path() -> str:
 
 
 def _tokenise(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    encode = tokenizer(path).encode_ordinary
+    encode = partial(tokenizer(path).encode, allowed_special="all")
     press = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         counts, packed = [], []

@@ -91,6 +91,23 @@ def test_pieces_hold_each_token_once(spark):
     assert padding == 0 and packing.pack(frame(spark, [])).collect() == []
 
 
+ADDED = "<|endoftext|>"
+
+
+def test_added_tokens_get_the_ids_of_the_json_form(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [ADDED, f"a {ADDED} b", f"a{ADDED}b", f"{ADDED}{ADDED}", f"x  {ADDED}  \n {ADDED}\té", f"{ADDED[:-1]} {ADDED.upper()} <{ADDED}>|>", f"<|endof{ADDED}text|>", "it's  " + ADDED * 3 + "'s " + "é" * 9]
+    expected = {i: [*plain.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert expected[1] == [64, 220, 50256, 275, 1]
+    for p in packing.pack(frame(spark, enumerate(texts)), window=4096).collect():
+        own = expected.pop(p.doc_id) if p.start == 0 and p.length == p.doc_tokens else expected[p.doc_id]
+        assert p.doc_tokens == len(own) and p.ids_crc32 == zlib.crc32(np.array(own[p.start : p.start + p.length], "<u4").tobytes())
+
+
 def test_least_squares_meets_the_histogram():
     histogram = {1000: 50, 1048: 50, 500: 30, 774: 60}
     combos = packing.combinations(histogram)
