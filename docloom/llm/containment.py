@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.columnar import binary, buffers, distinct, mix, shingles_of, signed, slices, words_of
 from docloom.llm.superminhash import signatures
-from docloom.llm.tables import at_least, register, table
+from docloom.llm.tables import at_least, register, row_key, table
 from docloom.session import cut_lineage
 
 SHINGLE, THRESHOLD = 5, 80
@@ -102,8 +102,8 @@ def _reduced(batches: Iterator[pa.RecordBatch], bitmap: bytes, sizes: list[int])
             low, high = np.searchsorted(doc, some), np.searchsorted(doc, some, "right")
             sets = [hashes[a:b].tobytes() for a, b in zip(low, high)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(first + some, pa.int64())), binary([xxhash.xxh3_128_digest(s) for s in sets]), pa.array((high - low).astype(np.int64)), binary(sets)],
-                names=["doc_id", "node", "n", "items"],
+                [batch.column("doc_id").take(pa.array(first + some, pa.int64())), batch.column("row").take(pa.array(first + some, pa.int64())), binary([xxhash.xxh3_128_digest(s) for s in sets]), pa.array((high - low).astype(np.int64)), binary(sets)],
+                names=["doc_id", "row", "node", "n", "items"],
             )
 
 
@@ -172,20 +172,15 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.Re
         yield out.filter(pa.array([100 * s >= threshold * n for s, n in zip(shared, batch.column("n_item").to_pylist())], pa.bool_()))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: int = THRESHOLD, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """doc_id, item_id, n_item, n_shared, containment of each test item that a document contains.
-
-    Items of fewer than five words are one run of their words; null, empty and blank items and documents match nothing.
-    Repeated documents or items give a row each; null ids stay null; other columns are ignored; an empty table on
-    either side gives no rows.
-    """
-    docs, benchmark = at_least(docs, ["doc_id", "text"]), at_least(benchmark, ["item_id", "text"])
+def _matches(docs: DataFrame, benchmark: DataFrame, threshold: int, filter_bits: int) -> DataFrame:
+    """doc_id, row key, item_id, n_item, n_shared of each test item that a row contains."""
+    docs, benchmark = at_least(docs, ["doc_id", "text"]).withColumn("row", row_key()), at_least(benchmark, ["item_id", "text"])
     items = cut_lineage(benchmark.mapInArrow(_items, "item_id bigint, words int, n_item bigint, items binary"))
     sizes = sorted(r[0] for r in items.where(f"words < {SHINGLE}").select("words").distinct().collect())  # below five values
     maps = items.select("items").mapInArrow(partial(_bitmap, bits=filter_bits), "bitmap binary")
     bitmap = maps.repartition(16).mapInArrow(partial(_bitmap, bits=filter_bits), "bitmap binary").coalesce(1).mapInArrow(partial(_bitmap, bits=filter_bits), "bitmap binary").first()
     bitmap = bitmap[0] if bitmap else bytes((1 << filter_bits) // 8)
-    reduced = cut_lineage(docs.mapInArrow(partial(_reduced, bitmap=bytes(bitmap), sizes=sizes), "doc_id bigint, node binary, n bigint, items binary"))
+    reduced = cut_lineage(docs.mapInArrow(partial(_reduced, bitmap=bytes(bitmap), sizes=sizes), "doc_id bigint, row binary, node binary, n bigint, items binary"))
     nodes = cut_lineage(reduced.select("node", "items", "n").dropDuplicates(["node"]))
     largest = nodes.agg(F.max("n")).first()[0] or 0
     classes = list(range(1, int(math.log2(max(1, largest))) + 2))
@@ -195,7 +190,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: int = THRESHO
     own = items.select(F.col("item_id").alias("i"), "n_item", F.col("items").alias("x")).dropDuplicates(["i", "x"])
     full = pairs.join(own, F.col("item_id").eqNullSafe(F.col("i"))).join(nodes.select("node", F.col("items").alias("y")), "node").select("item_id", "node", "n_item", "x", "y")
     found = full.mapInArrow(partial(_verify, threshold=threshold), "item_id bigint, node binary, n_item bigint, n_shared bigint")
-    return reduced.select("doc_id", "node").join(found, "node").select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+    return reduced.select("doc_id", "row", "node").join(found, "node").select("doc_id", "row", "item_id", "n_item", "n_shared")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: int = THRESHOLD, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """doc_id, item_id, n_item, n_shared, containment of each test item that a document contains.
+
+    Items of fewer than five words are one run of their words; null, empty and blank items and documents match nothing.
+    Repeated documents or items give a row each; null ids stay null; other columns are ignored; an empty table on
+    either side gives no rows.
+    """
+    found = _matches(docs, benchmark, threshold, filter_bits)
+    return found.select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: int = THRESHOLD, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """docs without the rows whose own text contains a test item, whatever other rows share their doc_id; all columns stay."""
+    gone = _matches(docs, benchmark, threshold, filter_bits).select(F.col("row").alias("_row")).distinct()
+    return docs.withColumn("_row", row_key()).join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""

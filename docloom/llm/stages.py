@@ -1,13 +1,13 @@
 """Stages of the training-data pipeline: each takes (spark, docs, sf_dir) and returns documents, the last one pieces.
 
-All columns of docs pass through, except that n_chars follows a text that a stage has changed. Null, empty and repeated
-rows are handled as the operators say; an empty table gives an empty table.
+All columns of docs pass through, except that n_chars follows a text that a stage has changed. Rows are
+judged one by one by their own text, also where a doc_id is null or shared; of rows that repeat a text one stays, while
+null, empty and blank texts all stay. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from docloom.llm import containment, ordinal, repeats, superminhash
 from docloom.llm import packing as packer
@@ -25,11 +25,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest doc_id."""
+    """One row of each near-duplicate group stays: one with the smallest doc_id, null last."""
     ready(spark)
-    found = superminhash.near_duplicates(docs)
-    gone = found.where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    return superminhash.one_of_each(docs)
 
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,11 +37,9 @@ def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a test item go."""
+    """Rows whose text contains a test item go."""
     ready(spark)
-    found = containment.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    return containment.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

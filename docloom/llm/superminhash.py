@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.columnar import SLICE_BYTES, binary, buffers, distinct, mix, shingles_of, signed, slices, words_of
-from docloom.llm.tables import at_least, connected, register, table
+from docloom.llm.tables import at_least, connected, register, row_key, table
 from docloom.session import cut_lineage
 
 BANDS, ROWS = 24, 5
@@ -109,8 +109,8 @@ def _sign(batches: Iterator[pa.RecordBatch], shingle: int, bands: int, rows: int
             keys = signed(band_keys(signatures(doc, hashes, last - first, bands * rows), bands, rows)).reshape(-1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(last - first + 1, dtype=np.int32) * bands), pa.array(keys))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(first, last - first), pa.array(np.diff(bounds), pa.int64()), pa.array(_nodes(hashes, bounds), pa.binary()), lists],
-                names=["doc_id", "n_shingles", "node", "keys"],
+                [batch.column("doc_id").slice(first, last - first), batch.column("row").slice(first, last - first), pa.array(np.diff(bounds), pa.int64()), pa.array(_nodes(hashes, bounds), pa.binary()), lists],
+                names=["doc_id", "row", "n_shingles", "node", "keys"],
             )
 
 
@@ -199,25 +199,19 @@ def _residual_cells(exploded: DataFrame, buckets: DataFrame, roots: DataFrame) -
     return rows.select("node", "root", "key", F.explode(cells).alias("cell"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Near-duplicate groups of texts: doc_id, n_shingles, component_id, kept.
-
-    Sets are distinct shingles of so many lower-cased (A-Z) words; a text with fewer words is one shingle.
-    component_id is the smallest doc_id that links lead to. Null, empty and blank texts have no set and stand alone.
-    Equal texts are linked whatever their ids; repeated rows of one doc_id are one document and get equal
-    answers; a null doc_id never names a group that has another id. Other columns of docs are ignored. The bands
-    miss a pair at the threshold with probability (1 - threshold^rows)^bands, below one in a million.
-    """
-    docs = at_least(docs, ["doc_id", "text"])
-    signed_ = cut_lineage(docs.mapInArrow(partial(_sign, shingle=shingle, bands=bands, rows=rows), "doc_id bigint, n_shingles bigint, node binary, keys array<bigint>"))
+def _grouped(docs: DataFrame, shingle: int, threshold: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Signed rows (doc_id, row key, n_shingles, node), and (node, root, best) of their nodes; best orders the rows of a group."""
+    docs = at_least(docs, ["doc_id", "text"]).withColumn("row", row_key())
+    signed_ = cut_lineage(docs.mapInArrow(partial(_sign, shingle=shingle, bands=bands, rows=rows), "doc_id bigint, row binary, n_shingles bigint, node binary, keys array<bigint>"))
     known = signed_.where("node is not null")
-    nodes = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("nobody"), "doc_id", "row")).alias("best")
+    nodes = known.groupBy("node").agg(best, F.first("keys").alias("keys"))
     exploded = cut_lineage(nodes.select("node", F.explode("keys").alias("key")))
     buckets = cut_lineage(exploded.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"))
     stars = cut_lineage(exploded.join(buckets, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
     asked = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = known.join(asked, "node", "left_semi").groupBy("node").agg(F.min_by(F.struct("doc_id"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("d")).select("node", "d.doc_id")
-    fetched = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text")
+    wanted = known.join(asked, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
+    fetched = docs.join(wanted, "row").select("node", "text")
     items = cut_lineage(fetched.mapInArrow(partial(_collect_sets, shingle=shingle), "node binary, items binary").dropDuplicates(["node"]))
     pairs = stars.join(items.select(F.col("node").alias("b"), F.col("items").alias("y")), "b").join(items.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
     links = cut_lineage(pairs.select("a", "b", "x", "y").mapInArrow(partial(_links, threshold=threshold), "a binary, b binary"))
@@ -225,14 +219,40 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, band
     cells = _residual_cells(exploded, buckets, roots).join(items, "node")
     more = cells.groupBy("key", "cell").applyInArrow(_cells(threshold), "a binary, b binary")
     roots = cut_lineage(connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
-    rooted = nodes.select("node", "doc_id").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc_id")
-    named = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return signed_, nodes.select("node", "best").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "best")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Near-duplicate groups of texts: doc_id, n_shingles, component_id, kept.
+
+    Sets are distinct shingles of so many lower-cased (A-Z) words; a text with fewer words is one shingle.
+    component_id is the smallest doc_id that links lead to. Null, empty and blank texts have no set and stand alone.
+    Equal texts are linked whatever their ids; repeated rows of one doc_id are one document and get equal
+    answers; a null doc_id never names a group that has another id. Other columns of docs are ignored. The bands
+    miss a pair at the threshold with probability (1 - threshold^rows)^bands, below one in a million.
+    """
+    signed_, rooted = _grouped(docs, shingle, threshold, bands, rows)
+    named = rooted.groupBy("root").agg(F.min("best").alias("best")).select("root", F.col("best.doc_id").alias("component_id"))
     of_node = rooted.select("node", "root").join(named, "root").select("node", "component_id")
-    linked = known.join(of_node, "node").select("doc_id", "n_shingles", "component_id")
+    linked = signed_.where("node is not null").join(of_node, "node").select("doc_id", "n_shingles", "component_id")
     alone = signed_.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def one_of_each(docs: DataFrame, shingle: int = 5, threshold: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """docs with exactly one row of each near-duplicate group, all columns: a row with the smallest doc_id (null: last).
+
+    Rows are told apart by doc_id and text, so neither a shared nor a null doc_id ties one text to another; of rows with
+    equal doc_id and text any one stays. Null, empty and blank texts belong to no group and all stay.
+    """
+    _, rooted = _grouped(docs, shingle, threshold, bands, rows)
+    chosen = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("_row"))
+    worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    # Repeated rows are merged before the join, in part where they are read, so that none of them gathers in one task.
+    once = docs.where(worded).withColumn("_row", row_key()).dropDuplicates(["_row"])
+    return once.join(chosen, "_row", "left_semi").select(*docs.columns).unionByName(docs.where(~worded))
+
+
 ORACLE = r"""
 WITH RECURSIVE docs AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 words AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM docs),

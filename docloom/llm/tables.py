@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.plans.registry import Query
@@ -45,6 +45,11 @@ def at_least(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def row_key() -> Column:
+    """A hash of doc_id and text: rows share it only where both are equal (null ids are equal, a null text is an empty one)."""
+    return F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))), 256))
+
+
 def connected(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, root) of each node that has an edge; root is the smallest node that can be reached.
 

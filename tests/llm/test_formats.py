@@ -113,3 +113,28 @@ def test_stages_take_effect_and_keep_columns(spark, small):
     pieces = corpus_pipeline.STAGES[-1][1](spark, kept, small)
     assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in kept.collect()}
     assert 0.5 * docs.count() < kept.count() < docs.count()
+
+
+def words(seed, count=60):
+    rng = random.Random(seed)
+    return " ".join(f"w{rng.randrange(10**6)}" for _ in range(count))
+
+
+def test_stages_decide_by_row(spark, small, tmp_path):
+    item = words(1, 30)
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = {name: words(10 + i) for i, name in enumerate("abcdefg")}
+    near = texts["g"].rsplit(" ", 1)[0] + " other"
+    rows = [
+        (None, texts["a"]), (None, texts["b"]), (None, texts["b"]), (1, texts["a"]), (None, texts["c"]), (None, texts["c"]), (7, texts["d"]), (7, texts["d"]), (7, texts["e"]), (5, texts["e"]),
+        (7, texts["f"]), (9, texts["g"]), (9, near), (3, ""), (None, None), (None, " \n"), (7, texts["d"] + " " + item), (None, item),
+    ]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), f"s{i}") for i, r in enumerate(rows)], "doc_id bigint, text string, n_chars bigint, source string")
+    clean = corpus_pipeline.stages.decontamination(spark, docs, str(tmp_path))
+    assert sorted(r.source for r in clean.collect()) == sorted(f"s{i}" for i in range(16)) and clean.columns == docs.columns
+    left = corpus_pipeline.stages.near_duplicates(spark, docs.where("source not in ('s16', 's17')"), str(tmp_path))
+    left = spark.createDataFrame(left.collect(), docs.schema)
+    got = sorted([(r.doc_id, texts["g"] if r.text == near else r.text) for r in left.collect()], key=str)
+    assert got == sorted([(1, texts["a"]), (None, texts["b"]), (None, texts["c"]), (7, texts["d"]), (5, texts["e"]), (7, texts["f"]), (9, texts["g"]), (3, ""), (None, None), (None, " \n")], key=str)
+    cut = corpus_pipeline.stages.suffix_array(spark, left, str(tmp_path))
+    assert sorted((str(r.doc_id), r.text, r.source) for r in cut.collect() if r.text) == sorted((str(r.doc_id), r.text, r.source) for r in left.collect() if r.text)
