@@ -3,8 +3,9 @@
 Every block element of a page is a subtree, known by a hash of its tags and texts. Spark counts on how many
 different pages of a host each subtree stands; subtrees that recur on many of them are the site's template and are cut
 out of each page before its text is taken. Elements that say what they are (menus, headers, footers, sidebars, notices,
-adverts, forms, comments, scripts, styles, hidden parts) go by tag, class, id or role. Where a page marks its
-article, the text comes from there, and passages that articles share are content, never template.
+adverts, forms, comments, scripts, styles, hidden parts) go by tag, class, id or role; a form or a noise word takes no
+element that holds an article or most of the text. Where a page marks articles, the text comes from all of them in
+page order, and passages that articles share are content, never template.
 
 Subtrees are counted with map-side aggregation; what recurs on a given share of a host's pages is bounded by the
 size of one page over that share, so the list that meets each page of a host is short however large the host. The lists of
@@ -47,6 +48,8 @@ NOISE = frozenset(
 SITE_HEADS = frozenset("header masthead topbar".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+# A name with one of these words (with-sidebar, comments-open) says what an element has, not what it is.
+HAS = frozenset("with has have no not without open closed enabled disabled".split())
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -59,6 +62,7 @@ class Page:
         self.first: list[int] = [0]
         self.last: list[int] = [0]
         self.noise: list[bool] = [False]
+        self.named: list[bool] = [False]  # a form, or noise by class, id or role
         self.site_head: list[bool] = [False]
         self.tokens: list[tuple[int, str | None]] = []  # element, and its text or None where a block begins or ends
         self._open = [0]
@@ -99,21 +103,23 @@ class Page:
         if name in VOID:
             self.tokens.append((self._open[-1], None if name == "hr" else " " if name == "br" else ""))
             return
-        noise, head = name in NOT_TEXT, name == "header"
+        noise, form, head = name in NOT_TEXT and name != "form", name == "form", name == "header"
         if attributes:
             for key, value in _NAMES.findall(attributes):
                 key, words = key.lower(), set(_WORD.findall(value.lower()))
                 if key == "hidden" or key == "aria-hidden" and "true" in words or key == "style" and {"display", "none"} <= words:
                     noise = True
                 elif key in ("class", "id", "role") and name not in ("html", "body"):
-                    noise |= bool(words & NOISE)
-                    head |= bool(words & SITE_HEADS)
+                    named = [own for x in html.unescape(value).lower().strip("\"'").split() if not HAS & (own := set(_WORD.findall(x)))]
+                    form |= any(own & NOISE for own in named)
+                    head |= any(own & SITE_HEADS for own in named)
         parent = self._open[-1]
         self.tags.append(name)
         self.parents.append(parent)
         self.first.append(len(self.tokens))
         self.last.append(len(self.tokens))
         self.noise.append(noise)
+        self.named.append(form)
         self.site_head.append(head)
         self._open.append(len(self.tags) - 1)
         if name in BLOCKS:
@@ -145,32 +151,53 @@ class Page:
                 return
 
     def dropped(self) -> list[bool]:
-        """Which elements say themselves that they are no main text."""
+        """Which elements say themselves that they are no main text.
+
+        A form, or an element with a noise word, stays if it holds an article or main element that is not noise itself, or
+        more than half of the page's text.
+        """
         out = [False] * len(self.tags)
         article = [False] * len(self.tags)
+        holds = self._holds() if any(self.named) or any(self.site_head) else out
         for e in range(1, len(self.tags)):
             parent = self.parents[e]
             article[e] = article[parent] or self.tags[e] in ("article", "main")
-            out[e] = out[parent] or self.noise[e] or self.site_head[e] and not article[parent]
+            out[e] = out[parent] or self.noise[e] or self.named[e] and not holds[e] or self.site_head[e] and not article[parent] and (self.tags[e] == "header" or not holds[e])
+        return out
+
+    def _holds(self) -> list[bool]:
+        """Which elements hold an article (main) that is not noise, or are one, or hold most of the text."""
+        silent = [False] * len(self.tags)
+        for e in range(1, len(self.tags)):
+            silent[e] = silent[self.parents[e]] or self.noise[e]
+        sizes = [0]
+        for element, text in self.tokens:
+            sizes.append(sizes[-1] + (len("".join(text.split())) if text and not silent[element] else 0))
+        out = [2 * (sizes[self.last[e]] - sizes[self.first[e]]) > sizes[-1] for e in range(len(self.tags))]
+        for e in range(1, len(self.tags)):
+            if self.tags[e] in ("article", "main") and not silent[e] and not self.named[e]:
+                while e and self.tags[e] != "#":
+                    out[e], e = True, self.parents[e]
         return out
 
-    def main(self, dropped: list[bool]) -> int:
-        """The article with the most text, else the main element, else the whole page."""
+    def main(self, dropped: list[bool]) -> list[int]:
+        """The articles outside other articles, in page order, else the main elements, else the whole page."""
         for name in ("article", "main"):
-            found = [e for e, t in enumerate(self.tags) if t == name and not dropped[e]]
+            found: list[int] = []
+            for e, tag in enumerate(self.tags):
+                if tag == name and not dropped[e] and not (found and self.last[e] <= self.last[found[-1]]):
+                    found.append(e)
             if found:
-                return max(found, key=lambda e: (sum(len(x) for n, x in self.tokens[self.first[e] : self.last[e]] if x and not dropped[n]), -e))
-        return 0
+                return found
+        return [0]
 
     def subtrees(self) -> dict[int, int]:
-        """Hashes of block elements outside the article that have text."""
-        dropped = self.dropped()
-        article = self.main(dropped)
-        low, high = (self.first[article], self.last[article]) if article else (-1, -1)
+        """Hashes of block elements outside the articles that have text."""
+        articles = [(self.first[x], self.last[x]) for x in self.main(self.dropped()) if x]
         out = {}
         for e in range(1, len(self.tags)):
             a, b = self.first[e], self.last[e]
-            if self.tags[e] not in BLOCKS or self.tags[e] in ("html", "body") or article and (a <= low and b >= high or a >= low and b <= high):
+            if self.tags[e] not in BLOCKS or self.tags[e] in ("html", "body") or any(a <= low and b >= high or a >= low and b <= high for low, high in articles):
                 continue
             content = "".join(self.tags[n] + "<" if x is None else " ".join(x.split()) + ">" for n, x in self.tokens[a:b])
             if re.search(r"[^\W]", content.replace(self.tags[e], "", 1)):
@@ -185,10 +212,9 @@ class Page:
                     dropped[e] = True
             for e in range(1, len(self.tags)):
                 dropped[e] = dropped[e] or dropped[self.parents[e]]
-        article = self.main(dropped)
         blocks: list[str] = []
         parts: list[str] = []
-        for element, text in [*self.tokens[self.first[article] : self.last[article]], (0, None)]:
+        for element, text in [x for e in self.main(dropped) for x in [*self.tokens[self.first[e] : self.last[e]], (0, None)]]:
             if text is None:
                 if block := " ".join(html.unescape("".join(parts)).split()):
                     blocks.append(block)

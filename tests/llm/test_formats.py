@@ -37,6 +37,20 @@ def test_odd_markup(source, text):
     assert templates.Page(source).text() == text
 
 
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<div class='with-sidebar'><article>a</article></div><p>q", "a"), ("<article class='comments-open has-sidebar'><p>a</article>q", "a"), ("<form><p>long text of the page</form>x", "long text of the page\nx"),
+        ("<form><article>a</article><p>q</form>", "a"), ("<div class=widget><main>m</main></div>q", "m"), ("<article>a<p>b</article><p>q<article>c<article>d</article></article>", "a\nb\nc\nd"),
+        ("<article>a</article><aside><article>q</article></aside><div class=comments><article class=comment>r</article></div><article>c</article>", "a\nc"),
+        ("<article>text<div class='no-ads'>b</div><div class='ad-slot'>q</div><form>r</form></article>", "text\nb"), ("<div hidden><article>a</article></div>s", "s"),
+        ("<div class='sidebar'>q</div><p>the page's own text", "the page's own text"),
+    ],
+)
+def test_noise_words_and_forms_leave_the_main_text(source, text):
+    assert templates.Page(source).text() == text
+
+
 def archive_rows():
     rng = random.Random(6)
     big = "".join(chr(rng.randrange(33, 0x2FF)) for _ in range(3000))
