@@ -7,9 +7,8 @@ adverts, forms, comments, scripts, styles, hidden parts) go by tag, class, id or
 element that holds an article or most of the text. Where a page marks articles, the text comes from all of them in
 page order, and passages that articles share are content, never template.
 
-Subtrees are counted with map-side aggregation; what recurs on a given share of a host's pages is bounded by the
-size of one page over that share, so the list that meets each page of a host is short however large the host. The lists of
-hosts with over a thousandth of all pages (fewer than a thousand hosts) are broadcast, and their pages stay spread.
+Subtrees are counted with map-side aggregation. Each page's subtrees meet the recurring ones by host and hash, one row
+each, so a host's list may be of any length: a page gets only those that it holds, joined back by its own hash.
 """
 
 from __future__ import annotations
@@ -25,11 +24,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions.skew import attach_per_key
 from docloom.llm.columnar import binary
 from docloom.llm.tables import at_least, register, table
+from docloom.session import cut_lineage
 
-LEAST_PAGES, SHARE = 5, 0.1  # a template part stands on so many pages, and on this share of its host's pages
+LEAST_PAGES = 5  # a template part stands on so many different pages of its host, however large the host
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -229,12 +228,11 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hosts, subtrees, pages = [], [], []
         for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             if source:
-                page = xxhash.xxh3_64_intdigest(source.encode("utf-8", "surrogatepass")) - (1 << 63)
-                own = {0, *Page(source).subtrees().values()}  # 0 stands for the page itself
+                own = set(Page(source).subtrees().values())
                 hosts += [host] * len(own)
                 subtrees += own
-                pages += [page] * len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(subtrees, pa.int64()), pa.array(pages, pa.int64())], names=["host", "subtree", "page"])
+                pages += [xxhash.xxh3_128_digest(source.encode("utf-8", "surrogatepass"))] * len(own)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(subtrees, pa.int64()), binary(pages)], names=["host", "subtree", "page"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,18 +249,17 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         raw = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), binary([press.compress(r) for r in raw]), pa.array(np.array([len(r) for r in raw], np.int64))], names=["page_id", "url", "host", "packed", "size"])
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), binary([xxhash.xxh3_128_digest(r) for r in raw]), binary([press.compress(r) for r in raw]), pa.array(np.array([len(r) for r in raw], np.int64))], names=["page_id", "url", "host", "page", "packed", "size"])
 
 
-def template_parts(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """host and the subtrees (array of hashes) that recur on many of its different pages."""
-    counts = pages.mapInArrow(_parts, "host string, subtree bigint, page bigint").distinct().groupBy("host", "subtree").count()
-    sizes = counts.where("subtree = 0").select("host", F.col("count").alias("pages"))
-    many = counts.where(F.col("subtree") != 0).where(F.col("count") >= least).join(sizes, "host").where(F.col("count") >= share * F.col("pages"))
-    return many.groupBy("host").agg(F.collect_list("subtree").alias("template"))
+def template_parts(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
+    """host, page (hash) and those of its subtrees (array of hashes) that recur on so many different pages of the host."""
+    parts = cut_lineage(pages.mapInArrow(_parts, "host string, subtree bigint, page binary").distinct())
+    many = cut_lineage(parts.groupBy("host", "subtree").count().where(F.col("count") >= least).select("host", "subtree"))
+    return parts.join(many, ["host", "subtree"]).groupBy("host", "page").agg(F.collect_list("subtree").alias("template"))
 
 
-def main_text(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
+def main_text(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of each page row.
 
     A null or empty html gives an empty text; a null or odd url belongs to the host ''. Repeated rows give a row each and count as
@@ -271,9 +268,8 @@ def main_text(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE)
     """
     pages = at_least(pages, ["page_id", "url", "html"])
     pages = pages.withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1), F.lit(""))))
-    packed = pages.mapInArrow(_packed, "page_id bigint, url string, host string, packed binary, size bigint")
-    facts = pages.groupBy("host").agg(F.count("*").alias("rows")).join(template_parts(pages, least, share), "host", "left")
-    joined = attach_per_key(packed, facts, ["host"], "rows", "page_id", keep_unmatched=True)
+    packed = pages.mapInArrow(_packed, "page_id bigint, url string, host string, page binary, packed binary, size bigint")
+    joined = packed.join(cut_lineage(template_parts(pages, least)), ["host", "page"], "left")
     return joined.select("page_id", "url", "packed", "size", "template").mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")
 
 

@@ -51,6 +51,13 @@ def test_noise_words_and_forms_leave_the_main_text(source, text):
     assert templates.Page(source).text() == text
 
 
+def test_template_parts_of_large_hosts_go(spark):
+    notice = "<div>Rotating notice</div>"  # on 6 of 120 pages
+    rows = [(i, "http://big.example/p", f"<html><body>{notice if i % 20 == 0 else ''}<div>own {i}</div><div>pair {i // 4}</div></body></html>") for i in range(120)]
+    got = {r.page_id: r.text for r in templates.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: f"own {i}\npair {i // 4}" for i in range(120)}
+
+
 def archive_rows():
     rng = random.Random(6)
     big = "".join(chr(rng.randrange(33, 0x2FF)) for _ in range(3000))
