@@ -1,4 +1,4 @@
-"""Language-model scoring with a weighted backoff automaton over the whole corpus.
+"""Language-model scoring as by a weighted backoff automaton over the whole corpus; a closed form replaces the automaton.
 
 States are histories of up to order - 1 tokens, the root is the empty one. State h has an arc for each token w
 seen after it, weighted log p(w|h), and a failure arc to the history without its oldest token, weighted
