@@ -36,8 +36,10 @@ from docloom.session import cut_lineage
 
 LENGTH = 400
 PIECE = 64
-SORT_BYTES = 2 << 20  # bytes of runs sorted at once
-BUCKET_RUNS = 8192  # different runs of one anchor that one task sorts; beyond, strings are counted by name
+SLICE_BYTES = 1 << 20  # bytes of text cut into runs at once; a longer text makes a slice of its own
+SORT_BYTES = 1 << 19  # bytes of runs from which the buckets at hand are sorted
+BUCKET_RUNS, BUCKET_BYTES = 8192, 1 << 20  # different runs of one anchor, and their bytes, that one task sorts at once; beyond, strings are counted by name
+TASK_BYTES = 4 << 20  # bytes of runs dealt to a sorting task
 TEXT = "doc_id bigint, text_key binary, packed binary, size bigint"
 
 
@@ -76,7 +78,7 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int, piece: int) -> Iterato
     for batch in batches:
         data, offsets = buffers(batch.column("text"))
         ids = batch.column("doc_id")
-        for first, last in slices(offsets, SORT_BYTES):
+        for first, last in slices(offsets, SLICE_BYTES):
             own = offsets[first : last + 1]
             part = data[own[0] : own[-1]]
             doc, anchor, run, start, count = runs_of(part, own - own[0], length, piece)
@@ -123,33 +125,52 @@ def _run_batch(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(pa.array([f[k] for f in found], pa.int64()) for k in range(2)), binary([f[3] for f in found])], names=["anchor", "run", "bytes"])
 
 
+def _named(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """Ranks of values among their distinct ones, and the number of those."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    new = np.zeros(len(values), np.int32)
+    new[1:] = ordered[1:] != ordered[:-1]
+    del ordered
+    np.cumsum(new, out=new)
+    name = np.empty(len(values), np.int32)
+    name[order] = new
+    return name, int(new[-1]) + 1 if len(new) else 0
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Start places of all suffixes of non-negative numbers in sorted order, by the difference cover {1, 2} modulo 3."""
+    """Start places of all suffixes of non-negative numbers in sorted order, by the difference cover {1, 2} modulo 3.
+
+    Names and ranks have 32 bits (there are fewer than two billion suffixes), and only keys that are sorted have 64.
+    """
     count = len(text)
     if count < 3:
         return np.array(sorted(range(count), key=lambda i: text[i:].tolist()), np.int64)
-    text = np.unique(text, return_inverse=True)[1].astype(np.int64).reshape(-1) + 1 if text.max(initial=0) >= count else text.astype(np.int64) + 1
-    padded = np.append(text, [0, 0, 0, 0])
+    padded = np.zeros(count + 4, np.int32)
+    padded[:count] = (_named(text.astype(np.int64))[0] if text.max(initial=0) >= count else text) + np.int32(1)
+    top = int(padded.max()) + 1
     # With count = 3k + 1 a dummy sample keeps the triple of the last real one apart from those of the other residue.
-    sample = np.concatenate([np.arange(1, count + (count % 3 == 1), 3), np.arange(2, count, 3)])
-    pairs = padded[sample] * (padded.max() + 1) + padded[sample + 1]
-    pairs = np.unique(pairs, return_inverse=True)[1].reshape(-1)
-    names, name = np.unique(pairs * (padded.max() + 1) + padded[sample + 2], return_inverse=True)
-    name = name.reshape(-1)
-    order = np.argsort(name, kind="stable") if len(names) == len(sample) else suffix_array(name)
-    rank = np.zeros(count + 4, np.int64)
-    rank[sample[order]] = np.arange(1, len(sample) + 1)
+    sample = np.concatenate([np.arange(1, count + (count % 3 == 1), 3, dtype=np.int32), np.arange(2, count, 3, dtype=np.int32)])
+    pairs = _named(padded[sample].astype(np.int64) * top + padded[sample + 1])[0]
+    name, names = _named(pairs.astype(np.int64) * top + padded[sample + 2])
+    del pairs
+    order = np.argsort(name, kind="stable") if names == len(sample) else suffix_array(name)
+    del name
     ordered = sample[order]
+    del order, sample
+    rank = np.zeros(count + 4, np.int32)
+    rank[ordered] = np.arange(1, len(ordered) + 1, dtype=np.int32)
+    wide = len(ordered) + 2
     ordered = ordered[ordered < count]
-    rest = np.arange(0, count, 3)
-    wide = len(sample) + 2
-    rest = rest[np.argsort(padded[rest] * wide + rank[rest + 1], kind="stable")]
+    rest = np.arange(0, count, 3, dtype=np.int32)
+    rest = rest[np.argsort(padded[rest].astype(np.int64) * wide + rank[rest + 1], kind="stable")]
     # Merge: a remaining suffix meets sampled ones of residue 1 after one character, those of residue 2 after two.
     ones, twos = ordered[ordered % 3 == 1], ordered[ordered % 3 == 2]
-    before = np.searchsorted(padded[ones] * wide + rank[ones + 1], padded[rest] * wide + rank[rest + 1])
+    before = np.searchsorted(padded[ones].astype(np.int64) * wide + rank[ones + 1], padded[rest].astype(np.int64) * wide + rank[rest + 1])
     both = np.concatenate([twos, rest])
-    heads = np.unique(padded[both] * (padded.max() + 1) + padded[both + 1], return_inverse=True)[1].reshape(-1) * wide + rank[both + 2]
+    heads = _named(padded[both].astype(np.int64) * top + padded[both + 1])[0].astype(np.int64) * wide + rank[both + 2]
     before += np.searchsorted(heads[: len(twos)], heads[len(twos) :])
+    del heads, both, ones, twos, rank, padded
     out = np.empty(count, np.int64)
     place = before + np.arange(len(rest))
     taken = np.zeros(count, bool)
@@ -258,16 +279,21 @@ def spans(docs: DataFrame, length: int = LENGTH, bucket_runs: int = BUCKET_RUNS)
     runs = cut_lineage(runs.join(shared, "anchor"))
     first = F.min(F.struct("doc_id", "text_key", "start", "count")).alias("first")
     kinds = cut_lineage(runs.groupBy("anchor", "run").agg(F.count("*").alias("n"), first))
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    run_bytes = F.sum(F.col("first.count") + F.lit(length - 1)).alias("run_bytes")
+    several = cut_lineage(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), run_bytes).where("kinds > 1"))
     asked = kinds.join(several, "anchor").select("first.doc_id", "first.text_key", F.struct("anchor", "run", "first.start", "first.count").alias("ask"))
     asked = asked.groupBy("doc_id", "text_key").agg(F.collect_list("ask").alias("asked"))
     texts = docs.mapInArrow(_packed, TEXT)
     same_text = texts["doc_id"].eqNullSafe(asked["doc_id"]) & (texts["text_key"] == asked["text_key"])
     fetched = texts.join(asked, same_text).select("packed", "size", "asked").mapInArrow(partial(_cut_runs, length=length), "anchor bigint, run bigint, bytes binary")
     fetched = cut_lineage(fetched.join(several, "anchor"))
-    few = fetched.where(F.col("kinds") <= bucket_runs).select("anchor", "run", "bytes").repartition("anchor").sortWithinPartitions("anchor", "run")
+    sorted_here = (F.col("kinds") <= bucket_runs) & (F.col("run_bytes") <= BUCKET_BYTES)
+    # A number of its own, so that tasks of much sorting and few bytes aren't folded into a few.
+    sorted_bytes = several.where(sorted_here).agg(F.sum("run_bytes")).first()[0] or 0
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sorted_bytes // TASK_BYTES))
+    few = fetched.where(sorted_here).select("anchor", "run", "bytes").repartition(tasks, "anchor").sortWithinPartitions("anchor", "run")
     found = few.mapInArrow(partial(_sort_buckets, length=length, limit=SORT_BYTES), "anchor bigint, run bigint, skip bigint, count bigint")
-    many = fetched.where(F.col("kinds") > bucket_runs).dropDuplicates(["anchor", "run"]).select("anchor", "run", "bytes")
+    many = fetched.where(~sorted_here).dropDuplicates(["anchor", "run"]).select("anchor", "run", "bytes")
     named = many.mapInArrow(partial(_names, length=length), "anchor bigint, run bigint, skip bigint, x bigint, y bigint")
     twice = named.groupBy("anchor", "x", "y").count().where("count > 1").select("anchor", "x", "y")
     found = found.unionByName(named.join(twice, ["anchor", "x", "y"]).select("anchor", "run", "skip", F.lit(1).cast("bigint").alias("count")))
@@ -322,8 +348,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool
     )
 
 
-def _rewrite(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
-    """Texts without the stretches found in them, and their length where it is a column."""
+def _rewrite(batches: Iterator[pa.RecordBatch], columns: list[str], words: int) -> Iterator[pa.RecordBatch]:
+    """Texts without the stretches of so many words found in them, and their length where it is a column."""
     for batch in batches:
         data, offsets = buffers(batch.column("text"))
         found, old = batch.column("spans").to_pylist(), batch.column("text")
@@ -333,6 +359,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[
             if spans_ and text is not None:
                 raw = data[offsets[at] : offsets[at + 1]].tobytes()
                 cuts = [_whole_characters(raw, a, b) for a, b in merged(np.array([s["start"] for s in spans_]), np.array([s["stop"] for s in spans_]))]
+                cuts = [(a, b) for a, b in cuts if a < b and len(raw[a:b].split(maxsplit=words)) >= words]
                 text = b"".join(raw[a:b] for a, b in zip([0, *(b for _, b in cuts)], [*(a for a, _ in cuts), len(raw)])).decode()
             texts.append(text)
         changed = {"text": pa.array(texts, pa.string())}
@@ -341,11 +368,14 @@ def _rewrite(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[
         yield pa.RecordBatch.from_arrays([changed.get(c, batch.column(c)) for c in columns], names=columns)
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, bucket_runs: int = BUCKET_RUNS) -> DataFrame:
-    """docs with the repeated strings cut out of text (whole characters only) and n_chars following; all rows and columns stay."""
+def cut_repeats(docs: DataFrame, length: int = LENGTH, words: int = 0, bucket_runs: int = BUCKET_RUNS) -> DataFrame:
+    """docs with the repeated strings cut out of text (whole characters only) and n_chars following; all rows and columns stay.
+
+    Of the maximal stretches covered by such strings only those of so many words go; words cut at their ends count.
+    """
     keyed = docs.mapInArrow(_keyed, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", text_key binary")
     joined = keyed.join(spans(docs, length, bucket_runs), "text_key", "left")
-    return joined.mapInArrow(partial(_rewrite, columns=docs.columns), docs.schema)
+    return joined.mapInArrow(partial(_rewrite, columns=docs.columns, words=words), docs.schema)
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

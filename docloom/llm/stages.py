@@ -13,8 +13,10 @@ from docloom.llm import containment, ordinal, repeats, superminhash
 from docloom.llm import packing as packer
 from docloom.llm.tables import ready, table
 
-#: Bytes of a repeated passage that the pipeline removes: about fifty words.
-PASSAGE_BYTES = 200
+#: A repeated passage that the pipeline removes has so many words, and so many bytes, which leave words of three letters room.
+PASSAGE_WORDS, PASSAGE_BYTES = 50, 200
+#: Bands of five rows miss a pair of texts at the threshold of 80 % with a chance of (1 - 0.8^5)^35, below one in a million.
+BANDS = 35
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +29,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group stays: one with the smallest doc_id, null last."""
     ready(spark)
-    return superminhash.one_of_each(docs)
+    return superminhash.one_of_each(docs, bands=BANDS)
 
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of some length that occur more than once are cut out of all texts; the documents stay."""
+    """Passages of fifty words or more that occur more than once are cut out of all texts; the documents stay."""
     ready(spark)
-    return repeats.cut_repeats(docs, PASSAGE_BYTES)
+    return repeats.cut_repeats(docs, PASSAGE_BYTES, PASSAGE_WORDS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
