@@ -11,13 +11,13 @@ from docloom.functions.metadata import offline_enrichment, resolve_doctype
 from docloom.functions.skew import attach_per_key, top_per_key
 from docloom.functions.text import collapse
 from docloom.functions.titles import choose_title, suggest_title
-from docloom.functions.vectors import cosine, mean_vectors, unit
+from docloom.functions.vectors import mean_vectors, unit
 from docloom.operators.catalog import find_by_reference
+from docloom.operators.cells import similar_pairs
 from docloom.operators.folders import auto_file
 from docloom.settings import DEFAULTS, Settings
 
 
-TAG_BLOCK = 5_000
 
 
 def preliminary_titles(documents: DataFrame) -> DataFrame:
@@ -89,30 +89,16 @@ def tag_centroids(confirmed: DataFrame, vectors: DataFrame) -> DataFrame:
     return means.where(F.exists("mean_vector", lambda x: x != 0)).select("tag_id", unit(F.col("mean_vector")).alias("centroid"))
 
 
-def centroid_suggestions(vectors: DataFrame, tags: DataFrame, settings: Settings = DEFAULTS, largest_broadcast: int = 20_000) -> DataFrame:
+def centroid_suggestions(vectors: DataFrame, tags: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """``(document_id, tag_id, similarity)`` for tags whose centroid is close enough.
 
-    ``vectors`` is ``(document_id, department_id, vector)``; a tag without department is open to all. The
-    join is on department: global tags are offered to every department that occurs. The tag table is
-    broadcast only after counting it.
+    ``vectors`` is ``(document_id, department_id, vector)``; a tag without department is open to all. Centroids lie in cells around
+    pivots, and a document meets those of the cells within reach of it.
     """
-    usable = tags.where(F.col("centroid").isNotNull() & (F.size("centroid") > 0)).select("tag_id", "department_id", "centroid")
-    departments = vectors.select("department_id").distinct()
-    own = usable.where(F.col("department_id").isNotNull())
-    shared = usable.where(F.col("department_id").isNull()).select("tag_id", "centroid").withColumn("_any", F.lit(1))
-    spread = departments.withColumn("_any", F.lit(1)).join(shared, "_any").select("tag_id", "department_id", "centroid")
-    offered = own.unionByName(spread)
-    total = offered.count()
-    blocks = max(1, -(-total // TAG_BLOCK))  # a department's tags come in lists of about TAG_BLOCK at most
-    block = F.pmod(F.xxhash64("tag_id"), F.lit(blocks)).alias("_block")
-    per_department = offered.groupBy("department_id", block).agg(F.collect_list(F.struct("tag_id", "centroid")).alias("offers")).drop("_block")
-    if total <= largest_broadcast:
-        per_department = F.broadcast(per_department)
-    scored = vectors.join(per_department, "department_id").select(
-        "document_id",
-        F.explode(F.transform("offers", lambda o: F.struct(o["tag_id"].alias("tag_id"), F.round(cosine(F.col("vector"), o["centroid"]), 6).alias("similarity")))).alias("s"),
-    )
-    return scored.select("document_id", "s.tag_id", "s.similarity").where(F.col("similarity") >= settings.tag_similarity_threshold)
+    documents = vectors.select(F.col("document_id").alias("id"), F.col("department_id").alias("scope"), "vector")
+    centroids = tags.select(F.col("tag_id").alias("id"), F.col("department_id").alias("scope"), F.col("centroid").alias("vector"))
+    close, _ = similar_pairs(documents, centroids, settings.tag_similarity_threshold)
+    return close.select(F.col("left_id").alias("document_id"), F.col("right_id").alias("tag_id"), "similarity")
 
 
 def named_tags(requests: DataFrame, tags: DataFrame) -> DataFrame:

@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 
 from docloom.functions.citations import map_citations
 from docloom.functions.vectors import mean_vectors, unit
-from docloom.operators import answer, evaluation, retrieval, suggest
+from docloom.operators import answer, cells, evaluation, retrieval, suggest
 from docloom.operators.access import Filters, search_filter
 from docloom.operators.enrich import centroid_suggestions, tag_centroids
 from docloom.operators.topk import batch_topk, cosine_queries
 from docloom.plans import sqltext
 from docloom.plans.corpus import (
-    CATALOGUE_SQL, DOCUMENT_TAGS_SQL, GROUPS, GROUPS_SQL, VECTOR_DIM, benchmark_queries, catalogue, document_tags, search_index,
+    CATALOGUE_SQL, DOCUMENT_TAGS_SQL, GROUPS, GROUPS_SQL, VECTOR_DIM, benchmark_queries, catalogue, document_tags, search_index, stored_index,
 )
 from docloom.plans.registry import register
+from docloom.session import shared_folder
 from docloom.settings import DEFAULTS
+from docloom.sources import inverted
 from docloom.sources.tables import table
 
 # --- vectors -----------------------------------------------------------------
@@ -48,15 +50,15 @@ def centroids(spark, folder):
     return made.select("tag_id", F.posexplode("centroid").alias("pos", "v")).select("tag_id", "pos", F.round("v", 6).alias("value"))
 
 
-@register(
-    "knn_topk",
-    f"""
+_KNN_TOPK_SQL = f"""
 WITH {_CENTROIDS_SQL},
 sims AS (SELECT m.label AS query_id, u.vec_id AS id, round(sum(u.x * m.m / n), 9) AS score FROM units u JOIN means m ON m.i = u.i JOIN norms USING (label) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sims)
 SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 50
-""",
-)
+"""
+
+
+@register("knn_topk", _KNN_TOPK_SQL)
 def knn_topk(spark, folder):
     """The 50 vectors nearest to the mean of each label."""
     vectors = _vectors(spark, folder)
@@ -64,6 +66,16 @@ def knn_topk(spark, folder):
     return batch_topk(vectors.select("vec_id", "embedding"), queries, cosine_queries, DEFAULTS.knn_k, None)
 
 
+@register("knn_cells", _KNN_TOPK_SQL)
+def knn_cells(spark, folder):
+    """The same from cells around pivots, of which only those that can hold a near vector are read."""
+    vectors = _vectors(spark, folder)
+    queries = mean_vectors(vectors, ["label"], "embedding").select(F.col("label").alias("query_id"), F.col("mean_vector").alias("vector"))
+    place = f"{shared_folder(spark)}/cells"
+    cells.build(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), place)
+    return cells.nearest(spark, place, queries, DEFAULTS.knn_k)[0]
+
+
 @register(
     "tag_suggestions",
     f"""
@@ -146,19 +158,41 @@ def _queries(spark, folder):
     return retrieval.embed_queries(benchmark_queries(spark, folder), VECTOR_DIM)
 
 
+def _stored_topk(spark, folder, queries, visible=None, fuzzy=False):
+    place = stored_index(spark, folder)
+    found = inverted.topk(spark, place, queries, GROUPS, DEFAULTS.bm25_size, visible, fuzzy)
+    if found is None:  # too many query terms to be sent to every task: both sides are cut into blocks
+        return retrieval.lexical_topk(_analyzed(spark, folder), search_filter(GROUPS) if visible is None else visible, queries, DEFAULTS.bm25_size, fuzzy)
+    return found.select("query_id", F.col("document_id").alias("id"), "score", "rank")
+
+
 @register("bm25_topk", f"WITH {CATALOGUE_SQL}, {_bm25_sql()} SELECT query_id, id, round(score, 6) AS score, rank FROM bm25")
 def bm25_topk(spark, folder):
     return retrieval.lexical_topk(_analyzed(spark, folder), search_filter(GROUPS), benchmark_queries(spark, folder), DEFAULTS.bm25_size)
 
 
+@register("bm25_stored", f"WITH {CATALOGUE_SQL}, {_bm25_sql()} SELECT query_id, id, round(score, 6) AS score, rank FROM bm25")
+def bm25_stored(spark, folder):
+    """From the stored postings: no text is read but the queries' own."""
+    return _stored_topk(spark, folder, benchmark_queries(spark, folder))
+
+
+@register(
+    "bm25_stored_filtered",
+    f"WITH {CATALOGUE_SQL}, {_bm25_sql(visible=_FILTERED)} SELECT query_id, id, round(score, 6) AS score, rank FROM bm25",
+)
+def bm25_stored_filtered(spark, folder):
+    """The same under further filters, which hold before the best are chosen."""
+    visible = search_filter(GROUPS, Filters(doctype=["policy", "report"], date_from="2023-02-01", date_to="2025-06-30", include_superseded=False))
+    return _stored_topk(spark, folder, benchmark_queries(spark, folder), visible)
+
+
 # The checker counts edits in bytes; one capital letter per accented letter makes that the same as characters.
 _ONE_BYTE = "translate({t}, 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿßœæ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&')"
 _FUZZY_FROM = "(SELECT n_nationkey AS query_id, 'ther ' || n_name || ' thion' AS query FROM nation UNION ALL SELECT 100 + r_regionkey, r_name || ' meant eaux' FROM region)"
 
 
-@register(
-    "bm25_fuzzy",
-    f"""
+_FUZZY_SQL = f"""
 WITH {CATALOGUE_SQL},
 asked AS {_FUZZY_FROM}, {_bm25_sql('asked', 'query_id', 'query')},
 limits AS (SELECT DISTINCT term, CASE WHEN length(term) <= 2 THEN 0 WHEN length(term) <= 5 THEN 1 ELSE 2 END AS lim FROM qt),
@@ -174,15 +208,27 @@ fparts AS (
 fbest AS (SELECT query_id, id, round(max(score), 9) AS score FROM fparts WHERE id IN (SELECT document_id FROM cat WHERE {_VISIBLE}) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fbest WHERE score > 0)
 SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 50
-""",
-)
+"""
+
+
+@register("bm25_fuzzy", _FUZZY_SQL)
 def bm25_fuzzy(spark, folder):
     """Place names framed by misspelt words, every word matched within its automatic edit distance."""
+    return retrieval.lexical_topk(_analyzed(spark, folder), search_filter(GROUPS), _misspelt(spark, folder), DEFAULTS.bm25_size, fuzzy=True)
+
+
+def _misspelt(spark, folder):
     nations = table(spark, folder, "nation").select(
         F.col("n_nationkey").alias("query_id"), F.concat(F.lit("ther "), F.col("n_name"), F.lit(" thion")).alias("query")
     )
     regions = table(spark, folder, "region").select((F.col("r_regionkey") + 100).alias("query_id"), F.concat(F.col("r_name"), F.lit(" meant eaux")).alias("query"))
-    return retrieval.lexical_topk(_analyzed(spark, folder), search_filter(GROUPS), nations.unionByName(regions), DEFAULTS.bm25_size, fuzzy=True)
+    return nations.unionByName(regions)
+
+
+@register("bm25_stored_fuzzy", _FUZZY_SQL)
+def bm25_stored_fuzzy(spark, folder):
+    """Near spellings come from the stored vocabulary."""
+    return _stored_topk(spark, folder, _misspelt(spark, folder), fuzzy=True)
 
 
 @register("knn_documents", f"WITH {CATALOGUE_SQL}, {_knn_sql(_FILTERED)} SELECT query_id, id, round(score, 6) AS score, rank FROM knn")
