@@ -88,10 +88,16 @@ def suggest_tags(titles: DataFrame, tags: DataFrame, text: str, groups: list[str
     ``titles`` carries a ``tags`` array; ``tags`` is the visible tag table ``(tag_id, name)``.
     """
     text = text.strip()
-    needle = text.lower()
     matching = titles.where(allowed(groups) & (match_score(text) > 0))
     counted = matching.select(F.explode(F.array_distinct("tags")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     frequent = counted.orderBy(F.col("n").desc(), F.col("name")).limit(settings.suggest_tags)
+    return ordered_tags(frequent, tags, text, settings)
+
+
+def ordered_tags(frequent: DataFrame, tags: DataFrame, text: str, settings: Settings = DEFAULTS) -> DataFrame:
+    """The tags of ``suggest_tags``, given the frequent ones of the matching titles as ``(name, n)``."""
+    text = text.strip()
+    needle = text.lower()
     first = tags.groupBy(F.lower("name").alias("key")).agg(F.min_by(F.struct("tag_id", "name"), F.col("tag_id")).alias("tag"))
     contains = F.contains(F.lower("name"), F.lit(needle))
     tiers = (

@@ -6,12 +6,14 @@ checker's engine can run on the same parquet.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.vectors import hash_embedder
 from docloom.session import shared_folder
-from docloom.sources import inverted
+from docloom.sources import inverted, title_store
 from docloom.sources.files import blob_store_exists
 from docloom.sources.tables import spread, table
 
@@ -89,19 +91,29 @@ def search_index(spark: SparkSession, folder: str, dim: int = VECTOR_DIM) -> Dat
     )
 
 
-_BUILT: dict[tuple[str, str], str] = {}
+_BUILT: dict[tuple[str, str, str], str] = {}
 
 
-def stored_index(spark: SparkSession, folder: str) -> str:
-    """The folder of the inverted index over all documents, written once for each session and folder of tables."""
-    key = (spark.sparkContext.applicationId, folder)
+def _stored(spark: SparkSession, folder: str, name: str, last: str, write: Callable[[str], None]) -> str:
+    """The folder of an index, written once for each session and folder of tables; last is the table written last."""
+    key = (spark.sparkContext.applicationId, folder, name)
     place = _BUILT.get(key)
-    if place is None or not blob_store_exists(spark, f"{place}/terms/_SUCCESS"):
-        place = f"{shared_folder(spark)}/inverted"
-        inverted.build(search_index(spark, folder).drop("embedding"), place)
+    if place is None or not blob_store_exists(spark, f"{place}/{last}/_SUCCESS"):
+        place = f"{shared_folder(spark)}/{name}"
+        write(place)
         _BUILT[key] = place
     return place
 
 
+def stored_index(spark: SparkSession, folder: str) -> str:
+    """The inverted index over all documents."""
+    return _stored(spark, folder, "inverted", "terms", lambda place: inverted.build(search_index(spark, folder).drop("embedding"), place))
+
+
+def stored_titles(spark: SparkSession, folder: str) -> str:
+    """The index of all live titles."""
+    return _stored(spark, folder, "titles", "places", lambda place: title_store.build(catalogue(spark, folder).where(F.col("deleted_at").isNull()), place))
+
+
 def benchmark_queries(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))

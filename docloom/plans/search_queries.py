@@ -14,12 +14,12 @@ from docloom.operators.enrich import centroid_suggestions, tag_centroids
 from docloom.operators.topk import batch_topk, cosine_queries
 from docloom.plans import sqltext
 from docloom.plans.corpus import (
-    CATALOGUE_SQL, DOCUMENT_TAGS_SQL, GROUPS, GROUPS_SQL, VECTOR_DIM, benchmark_queries, catalogue, document_tags, search_index, stored_index,
+    CATALOGUE_SQL, DOCUMENT_TAGS_SQL, GROUPS, GROUPS_SQL, VECTOR_DIM, benchmark_queries, catalogue, document_tags, search_index, stored_index, stored_titles,
 )
 from docloom.plans.registry import register
-from docloom.session import shared_folder
+from docloom.session import cut_lineage, shared_folder
 from docloom.settings import DEFAULTS
-from docloom.sources import inverted
+from docloom.sources import inverted, title_store
 from docloom.sources.tables import table
 
 # --- vectors -----------------------------------------------------------------
@@ -452,12 +452,9 @@ SELECT typed, document_id, title, doctype, CAST(score AS DOUBLE) AS score FROM r
 """,
 )
 def suggest_titles(spark, folder):
-    titles = _titles(spark, folder)
-    parts = [suggest.suggest_documents(titles, text, GROUPS).select(F.lit(text).alias("typed"), "document_id", "title", "doctype", "score") for text in TYPED]
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    return merged
+    """All typed texts in one pass over the stored words of the titles."""
+    found = title_store.suggest(spark, stored_titles(spark, folder), list(TYPED), GROUPS)
+    return found.select("typed", "document_id", "title", "doctype", "score")
 
 
 @register(
@@ -479,12 +476,13 @@ def suggest_tags(spark, folder):
     """Tags here are the document languages."""
     from pyspark.sql.window import Window
 
-    titles = _titles(spark, folder)
+    links = table(spark, folder, "documents").select(F.col("doc_id").alias("document_id"), F.col("lang").alias("tag_name"))
     names = table(spark, folder, "documents").select(F.col("lang").alias("name")).distinct()
     tags = names.withColumn("tag_id", F.row_number().over(Window.orderBy("name")))
+    frequent = cut_lineage(title_store.tags_of_matches(spark, stored_titles(spark, folder), list(TYPED), GROUPS, links))
     merged = None
-    for text in TYPED:
-        part = suggest.suggest_tags(titles, tags, text, GROUPS).select(F.lit(text).alias("typed"), F.col("name"), (F.monotonically_increasing_id() + 1).alias("position"))
+    for place, text in enumerate(TYPED):
+        part = suggest.ordered_tags(frequent.where(F.col("typed") == place).select("name", "n"), tags, text).select(F.lit(text).alias("typed"), F.col("name"), (F.monotonically_increasing_id() + 1).alias("position"))
         merged = part if merged is None else merged.unionByName(part)
     return merged
 
