@@ -50,7 +50,7 @@ def looks_like_date(text: Column) -> Column:
     shaped = candidate.rlike(DATE_FORMS[0])
     for form in DATE_FORMS[1:]:
         shaped = shaped | candidate.rlike(form)
-    names = F.array(*[F.lit(n) for group in MONTHS.values() for n in group])
+    names = F.array(*[F.lit(name) for name in MONTHS])
     found = F.regexp_extract_all(F.lower(candidate), F.lit("[a-z]+"), F.lit(0))
     return shaped & (F.size(F.array_except(found, names)) == 0)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import collapse
 from docloom.operators.access import live
+from docloom.session import cut_lineage
 
 # Fixed values.
 INBOX = "inbox"
@@ -21,7 +22,6 @@ DEFAULT_FOLDERS = [
     ("min-mgmt", "Management meetings", "minutes"),
 ]
 SLUG_CHARS = 40
-DEEPEST = 64
 
 
 def slug(name: Column) -> Column:
@@ -38,36 +38,43 @@ def folder_name(name: Column) -> Column:
     return collapse(F.coalesce(name, F.lit("")))
 
 
-def descendants(folders: DataFrame, root: str) -> DataFrame:
-    """``(folder_id, depth)`` below ``root``, cycles tolerated."""
-    return folders.sparkSession.sql(
-        f"""
-        WITH RECURSIVE tree(folder_id, depth) AS (
-          SELECT folder_id, 1 FROM {{folders}} WHERE parent_id = :root
-          UNION ALL
-          SELECT f.folder_id, t.depth + 1 FROM {{folders}} f JOIN tree t ON f.parent_id = t.folder_id
-          WHERE t.depth < {DEEPEST} AND f.folder_id <> :root)
-        SELECT folder_id, min(depth) AS depth FROM tree WHERE folder_id <> :root GROUP BY folder_id
-        """,
-        args={"root": root},
-        folders=folders,
+def climbed(folders: DataFrame, stop: str | None = None) -> DataFrame:
+    """``(folder_id, top, depth, path, cyclic)``: the topmost folder above each one, the steps to it, and the names on the way.
+
+    ``path`` begins with the name of the topmost folder, or below it where ``top`` is a parent that no row has. ``stop`` counts as
+    topmost whatever its parent. A folder that stands on a cycle or below one has no top and is ``cyclic``.
+
+    Each round doubles the steps that a folder has climbed: it goes on from where its farthest known ancestor has got to.
+    A tree of depth d takes about log2 d rounds; what still climbs after log2 of all folders is cyclic.
+    """
+    parent = F.col("parent_id") if stop is None else F.when(F.col("folder_id") != stop, F.col("parent_id"))
+    state = folders.select(
+        "folder_id", parent.alias("up"), F.when(parent.isNull(), F.col("folder_id")).alias("top"), parent.isNotNull().cast("int").alias("depth"), F.array("name").alias("path")
     )
+    state = cut_lineage(state)
+    for _ in range(max(1, state.count()).bit_length() + 1):
+        if state.where("up is not null").isEmpty():
+            break
+        above = state.select(F.col("folder_id").alias("up"), F.col("up").alias("_up"), F.col("top").alias("_top"), F.col("depth").alias("_depth"), F.col("path").alias("_path"))
+        climbing = state.where("up is not null").join(above, "up", "left").select(
+            "folder_id", F.col("_up").alias("up"), F.when(F.col("_path").isNull(), F.col("up")).otherwise(F.col("_top")).alias("top"),
+            (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), F.concat(F.coalesce("_path", F.array().cast("array<string>")), "path").alias("path"),
+        )
+        state = cut_lineage(state.where("up is null").unionByName(climbing))
+    cyclic = F.col("up").isNotNull()
+    hidden = lambda c: F.when(~cyclic, F.col(c)).alias(c)
+    return state.select("folder_id", hidden("top"), hidden("depth"), hidden("path"), cyclic.alias("cyclic"))
+
+
+def descendants(folders: DataFrame, root: str) -> DataFrame:
+    """``(folder_id, depth)`` below ``root``; cycles that don't hold it aren't below it."""
+    below = climbed(folders, root).where((F.col("top") == root) & (F.col("folder_id") != root))
+    return below.groupBy("folder_id").agg(F.min("depth").alias("depth"))
 
 
 def paths(folders: DataFrame) -> DataFrame:
-    """``(folder_id, path)`` with names from the top; a folder whose parent is unknown is a top one."""
-    return folders.sparkSession.sql(
-        f"""
-        WITH RECURSIVE
-          known AS (SELECT f.folder_id, f.name, p.folder_id AS parent_id FROM {{folders}} f LEFT JOIN {{folders}} p ON f.parent_id = p.folder_id),
-          tree(folder_id, path, depth) AS (
-            SELECT folder_id, array(name), 1 FROM known WHERE parent_id IS NULL
-            UNION ALL
-            SELECT k.folder_id, array_append(t.path, k.name), t.depth + 1 FROM known k JOIN tree t ON k.parent_id = t.folder_id WHERE t.depth < {DEEPEST})
-        SELECT folder_id, path FROM tree
-        """,
-        folders=folders,
-    )
+    """``(folder_id, path, cyclic)`` with names from the top; a folder whose parent is unknown is a top one, a cyclic one has no path."""
+    return climbed(folders).select("folder_id", "path", "cyclic")
 
 
 def with_counts(folders: DataFrame, documents: DataFrame, departments: list[str] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.citations import map_citations
 from docloom.functions.vectors import mean_vectors, unit
-from docloom.operators import answer, cells, evaluation, retrieval, suggest
+from docloom.operators import answer, cells, evaluation, phrases, retrieval, suggest
 from docloom.operators.access import Filters, search_filter
 from docloom.operators.enrich import centroid_suggestions, tag_centroids
 from docloom.operators.topk import batch_topk, cosine_queries
@@ -507,3 +507,54 @@ def did_you_mean(spark, folder):
     regions = table(spark, folder, "region").select((F.col("r_regionkey") + 100).alias("query_id"), F.concat(F.col("r_name"), F.lit(" meant eaux")).alias("query"))
     return suggest.did_you_mean(_titles(spark, folder), nations.unionByName(regions), GROUPS)
 
+
+
+_TITLE_WORDS = sqltext.terms(_FOLD.format(t="title"))
+_DROPPED = f"""
+asked AS (SELECT document_id AS query_id, array_to_string(list_transform(w[1:4], lambda x: CASE WHEN length(x) > 4 THEN substr(x, 1, 2) || substr(x, 4) ELSE x END), ' ') AS query
+  FROM (SELECT document_id, {_TITLE_WORDS} AS w FROM cat) WHERE document_id % 100 = 0)"""
+
+
+def _dropped_letters(spark, folder):
+    """The first four words of every hundredth title, long words without their third letter."""
+    words = F.slice(suggest.plain_terms(F.col("title")), 1, 4)
+    torn = F.transform(words, lambda w: F.when(F.length(w) > 4, F.concat(F.substring(w, 1, 2), F.substr(w, F.lit(4)))).otherwise(w))
+    return catalogue(spark, folder).where(F.col("document_id") % 100 == 0).select(F.col("document_id").alias("query_id"), F.array_join(torn, " ").alias("query"))
+
+
+@register(
+    "correct_phrases",
+    f"""
+WITH RECURSIVE {CATALOGUE_SQL}, {_DROPPED},
+seen AS (SELECT {_TITLE_WORDS} AS w FROM cat WHERE deleted_at IS NULL AND department_id IN {GROUPS_SQL}),
+grams AS (
+  SELECT unnest(w) AS g FROM seen
+  UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i+1], ' '))) FROM seen
+  UNION ALL SELECT unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) FROM seen),
+counts AS (SELECT g, count(*) AS n FROM grams GROUP BY g),
+ones AS (SELECT g AS term, n FROM counts WHERE NOT contains(g, ' ')),
+total AS (SELECT sum(n) AS t FROM ones),
+qw AS (SELECT query_id, query, unnest(w) AS asked, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT *, {sqltext.terms('query')} AS w FROM asked)),
+near AS (
+  SELECT a.asked, v.term AS word, levenshtein(a.asked, v.term) AS d, row_number() OVER (PARTITION BY a.asked ORDER BY levenshtein(a.asked, v.term), n DESC, v.term) AS r
+  FROM (SELECT DISTINCT asked FROM qw) a JOIN ones v ON levenshtein(a.asked, v.term) <= CASE WHEN length(a.asked) <= 2 THEN 0 WHEN length(a.asked) <= 5 THEN 1 ELSE 2 END),
+cand AS (
+  SELECT asked, word, ln(CASE WHEN asked = word THEN 0.95::DOUBLE ELSE (1 - 0.95::DOUBLE) * (1 - d / (length(asked) + 1)::DOUBLE) END) AS cost, true AS known FROM near WHERE r <= 5
+  UNION ALL SELECT DISTINCT asked, asked, ln(0.95::DOUBLE), false FROM qw WHERE asked NOT IN (SELECT term FROM ones)),
+lat AS (SELECT query_id, query, pos, word, cost, known FROM qw JOIN cand USING (asked)),
+p AS (SELECT query_id, -1 AS pos, [] :: VARCHAR[] AS path, 0.0::DOUBLE AS score FROM (SELECT DISTINCT query_id FROM lat)
+  UNION ALL
+  SELECT p.query_id, l.pos, list_append(p.path, l.word), p.score + l.cost + ln(
+    CASE WHEN len(p.path) >= 2 AND c3.n > 0 THEN c3.n / c12.n ELSE (CASE WHEN len(p.path) >= 2 THEN 0.4::DOUBLE ELSE 1 END) *
+      (CASE WHEN len(p.path) >= 1 AND c2.n > 0 THEN c2.n / c1.n ELSE (CASE WHEN len(p.path) >= 1 THEN 0.4::DOUBLE ELSE 1 END) * coalesce(c0.n, 0.5::DOUBLE) / t END) END)
+  FROM p JOIN lat l ON l.query_id = p.query_id AND l.pos = p.pos + 1 CROSS JOIN total
+  LEFT JOIN counts c0 ON c0.g = l.word LEFT JOIN counts c1 ON c1.g = p.path[-1] LEFT JOIN counts c2 ON c2.g = p.path[-1] || ' ' || l.word
+  LEFT JOIN counts c12 ON c12.g = p.path[-2] || ' ' || p.path[-1] LEFT JOIN counts c3 ON c3.g = p.path[-2] || ' ' || p.path[-1] || ' ' || l.word),
+ends AS (SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path) AS r FROM p JOIN (SELECT query_id, max(pos) AS pos FROM qw GROUP BY 1) USING (query_id, pos))
+SELECT ends.query_id, array_to_string(path, ' ') AS suggestion FROM ends JOIN (SELECT query_id, any_value(query) AS query, bool_or(known) AS known FROM lat GROUP BY 1) k USING (query_id)
+WHERE r = 1 AND known AND array_to_string(path, ' ') <> lower(query)
+""",
+)
+def correct_phrases(spark, folder):
+    """Phrases of torn title words, put right by the words around them."""
+    return phrases.correct(_titles(spark, folder), _dropped_letters(spark, folder), GROUPS)
