@@ -11,9 +11,11 @@ from docloom.plans import sqltext
 from docloom.plans.catalog_queries import _FOLDERS_SQL, _MANIFEST_SQL, _folders, _manifests
 from docloom.plans.corpus import CATALOGUE_SQL, DOCUMENT_TAGS_SQL, GROUPS, GROUPS_SQL, catalogue, document_tags, search_index
 from docloom.plans.registry import register
+from docloom.session import shared_folder
 from docloom.settings import DEFAULTS
 from docloom.sources import index_store
 from docloom.sources.tables import table
+from docloom.sources.versioned import Versioned
 
 _NOW = "2025-01-01"
 
@@ -382,3 +384,21 @@ def chosen_titles(spark, folder):
     rows = table(spark, folder, "documents").select(d.alias("document_id"), own.alias("own"), source.alias("source"), model.alias("model"))
     picked = rows.withColumn("t", choose_title(F.col("source"), F.col("own"), F.col("model")))
     return picked.select("document_id", F.col("t.title").alias("title"), F.col("t.source").alias("title_source"))
+
+
+@register(
+    "versioned_documents",
+    """
+SELECT d.doc_id, d.source, CASE WHEN l.quality = 0 THEN 0 ELSE d.n_chars END AS n_chars
+FROM documents d LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.toxic, 0) = 0
+""",
+)
+def versioned_documents(spark, folder):
+    """The newest generation of a stored table after poor documents were replaced and toxic ones taken out."""
+    docs, labels = table(spark, folder, "documents").select("doc_id", "source", "n_chars"), table(spark, folder, "labels")
+    stored = Versioned(spark, f"{shared_folder(spark)}/documents")
+    stored.create(docs, ["doc_id"])
+    poor = docs.join(labels.where("quality = 0"), "doc_id", "left_semi").withColumn("n_chars", F.lit(0).cast("bigint"))
+    stored.change(poor)
+    stored.change(gone=labels.where("toxic = 1").select("doc_id"))
+    return stored.read()
