@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from docloom.functions.metadata import with_enrichment
 from docloom.functions.titles import choose_title
-from docloom.operators import access, catalog, enrich, folders, retrieval, versioning
+from docloom.operators import access, catalog, centroids, enrich, folders, retrieval, versioning
 from docloom.plans import sqltext
 from docloom.plans.catalog_queries import _FOLDERS_SQL, _MANIFEST_SQL, _folders, _manifests
 from docloom.plans.corpus import CATALOGUE_SQL, DOCUMENT_TAGS_SQL, GROUPS, GROUPS_SQL, catalogue, document_tags, search_index
 from docloom.plans.registry import register
-from docloom.session import shared_folder
+from docloom.session import cut_lineage, shared_folder
 from docloom.settings import DEFAULTS
 from docloom.sources import index_store
 from docloom.sources.tables import table
@@ -402,3 +402,28 @@ def versioned_documents(spark, folder):
     stored.change(poor)
     stored.change(gone=labels.where("toxic = 1").select("doc_id"))
     return stored.read()
+
+
+@register(
+    "changed_tag_centroids",
+    """
+WITH links AS (
+  SELECT label AS tag_id, vec_id FROM embeddings WHERE vec_id % 5 <> 0
+  UNION SELECT (label + 1) % 10, vec_id FROM embeddings WHERE vec_id % 3 = 0),
+parts AS (SELECT tag_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM links JOIN embeddings USING (vec_id)),
+sums AS (SELECT tag_id, i, sum(x) AS s FROM parts GROUP BY ALL),
+norms AS (SELECT tag_id, sqrt(sum(s * s)) AS n FROM sums GROUP BY tag_id)
+SELECT tag_id, CAST(i - 1 AS INTEGER) AS pos, round(s / n, 6) AS value FROM sums JOIN norms USING (tag_id)
+""",
+)
+def changed_tag_centroids(spark, folder):
+    """Every label is a confirmed tag; each fifth link is removed, and each third vector gets the next tag too."""
+    rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("document_id"), "label", F.col("embedding").alias("vector"))
+    vectors = rows.select("document_id", "vector")
+    links = rows.select("document_id", F.col("label").alias("tag_id"), F.lit("user").alias("source"), F.lit("confirmed").alias("status"))
+    state = cut_lineage(centroids.advanced(None, links.select("tag_id", "document_id", F.lit(1).alias("step")), vectors))
+    removed = rows.where("document_id % 5 = 0").select("document_id", F.col("label").alias("tag_id"), F.lit("remove").alias("action"), F.lit(1).alias("at"))
+    added = rows.where("document_id % 3 = 0").select("document_id", ((F.col("label") + 1) % 10).alias("tag_id"), F.lit("confirm").alias("action"), F.lit(2).alias("at"))
+    _, steps = centroids.apply_changes(links, removed.unionByName(added))
+    found = centroids.centroids(centroids.advanced(state, steps, vectors))
+    return found.select("tag_id", F.posexplode("centroid").alias("pos", "value")).select("tag_id", "pos", F.round("value", 6).alias("value"))
