@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docloom.functions.metadata import with_enrichment
 from docloom.functions.titles import choose_title
@@ -137,14 +138,14 @@ def document_vectors(spark, folder):
     "version_by_hash",
     """
 WITH v AS (SELECT doc_id, sha256(text) AS sha256 FROM documents)
-SELECT sha256, min(doc_id) AS document_id FROM v WHERE doc_id % 17 <> 0 AND sha256 IN (SELECT sha256 FROM v WHERE doc_id % 3 = 0) GROUP BY sha256
+SELECT sha256, min(doc_id) AS document_id FROM v WHERE doc_id % 17 <> 0 GROUP BY sha256
 """,
 )
 def version_by_hash(spark, folder):
-    """The earliest live document with the same bytes, asked for by a third of the documents."""
+    """The earliest live document with the same bytes, asked for by every document."""
     d = F.col("doc_id")
     versions = table(spark, folder, "documents").select(d.alias("document_id"), F.lit(1).alias("version_no"), d.alias("created_at"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
-    asked = versions.where(F.pmod("document_id", F.lit(3)) == 0).select("sha256")
+    asked = versions.select("sha256")
     return catalog.version_by_hash(versions, catalogue(spark, folder), asked).select("sha256", "document_id")
 
 
@@ -204,16 +205,18 @@ def applied_supersedes(spark, folder):
 @register(
     "readable_duplicates",
     f"""
-WITH {CATALOGUE_SQL}
-SELECT c.document_id, o.document_id AS original_id, o.title AS original_title, 'near' AS tier FROM cat c JOIN cat o ON o.document_id = c.document_id - 1
-WHERE c.document_id % 6 = 0 AND o.deleted_at IS NULL AND o.department_id IN {GROUPS_SQL}
+WITH {CATALOGUE_SQL}, firsts AS (SELECT sha256(text) AS h, min(document_id) AS first FROM cat GROUP BY 1)
+SELECT c.document_id, o.document_id AS original_id, o.title AS original_title, 'exact' AS tier
+FROM cat c JOIN firsts f ON f.h = sha256(c.text) AND f.first < c.document_id JOIN cat o ON o.document_id = f.first
+WHERE o.deleted_at IS NULL AND o.department_id IN {GROUPS_SQL}
 """,
 )
 def readable_duplicates(spark, folder):
-    """Every sixth document marked a copy of the one before it; only readable originals are named."""
-    rows = catalogue(spark, folder)
-    marked = F.pmod("document_id", F.lit(6)) == 0
-    rows = rows.withColumns({"duplicate_of": F.when(marked, F.col("document_id") - 1), "duplicate_tier": F.when(marked, "near")})
+    """Documents with the text of an earlier one; only readable originals are named."""
+    rows = catalogue(spark, folder).withColumn("_h", F.sha2(F.col("text").cast("binary"), 256))
+    rows = rows.join(rows.groupBy("_h").agg(F.min("document_id").alias("_first")), "_h")
+    copy = F.col("_first") < F.col("document_id")
+    rows = rows.withColumns({"duplicate_of": F.when(copy, F.col("_first")), "duplicate_tier": F.when(copy, "exact")}).drop("_h", "_first")
     return catalog.duplicate_titles(rows, GROUPS).select("document_id", "original_id", "original_title", "tier")
 
 
@@ -275,21 +278,22 @@ def new_tag_links(spark, folder):
 @register(
     "created_tags",
     """
-WITH have AS (SELECT r_regionkey AS tag_id, r_name AS name, NULL AS department_id FROM region),
-want AS (SELECT n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'd' || n_regionkey END AS department_id FROM nation),
-fresh AS (SELECT lower(name) AS k, department_id, min(name) AS name FROM want GROUP BY ALL)
-SELECT tag_id::BIGINT AS tag_id, name, department_id FROM have UNION ALL
+WITH have AS (SELECT row_number() OVER (ORDER BY lang) AS tag_id, lang AS name FROM (SELECT DISTINCT lang FROM documents)),
+want AS (SELECT (regexp_extract_all(text, '[\\p{L}\\p{N}]+'))[1] AS name, source AS department_id FROM documents),
+fresh AS (SELECT lower(name) AS k, department_id, min(name) AS name FROM want WHERE name IS NOT NULL GROUP BY ALL)
+SELECT tag_id::BIGINT AS tag_id, name, NULL AS department_id FROM have UNION ALL
 SELECT (SELECT max(tag_id) FROM have) + row_number() OVER (ORDER BY k, department_id), name, department_id FROM fresh
 """,
 )
 def created_tags(spark, folder):
-    """Region names are tags already, also when asked for in another case; nation names become new ones with dense ids."""
-    tags = table(spark, folder, "region").select(F.col("r_regionkey").cast("bigint").alias("tag_id"), F.col("r_name").alias("name"), F.lit(None).cast("string").alias("department_id"))
-    nations = table(spark, folder, "nation").select(
-        F.concat(F.lit(" "), F.col("n_name")).alias("name"), F.when(F.pmod("n_nationkey", F.lit(2)) == 0, F.concat(F.lit("d"), F.col("n_regionkey").cast("string"))).alias("department_id")
-    )
-    again = tags.select(F.lower("name").alias("name"), "department_id")
-    return catalog.get_or_create_tags(tags, nations.unionByName(again)).select("tag_id", "name", "department_id")
+    """Languages are tags already, also when asked for in another case; first words of documents become new ones of their departments, with dense ids."""
+    docs = table(spark, folder, "documents")
+    languages = docs.select(F.col("lang").alias("name")).distinct()  # a handful
+    tags = languages.select(F.row_number().over(Window.orderBy("name")).cast("bigint").alias("tag_id"), "name", F.lit(None).cast("string").alias("department_id"))
+    first = F.get(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), 0)
+    words = docs.select(first.alias("name"), F.col("source").alias("department_id")).where("name is not null")
+    again = tags.select(F.upper("name").alias("name"), "department_id")
+    return catalog.get_or_create_tags(tags, words.unionByName(again)).select("tag_id", "name", "department_id")
 
 
 # --- folders -----------------------------------------------------------------
