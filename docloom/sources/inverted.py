@@ -71,9 +71,10 @@ def build(index: DataFrame, folder: str, settings: Settings = DEFAULTS, shard_ro
     df.repartitionByRange("term").sortWithinPartitions("term").write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{folder}/terms")
 
 
-def _of_terms(table: DataFrame, asked: DataFrame) -> DataFrame:
+def _of_terms(table: DataFrame, asked: DataFrame, terms: list[str] | None = None) -> DataFrame:
     """The rows of a table that have an asked term: by a filter that reaches the scan while the terms are few."""
-    terms = [r.term for r in asked.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+    if terms is None:
+        terms = [r.term for r in asked.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
     if len(terms) > PUSHED_TERMS:
         return table.join(asked.select("term").distinct(), "term", "left_semi")
     # Else Spark hands a reader only the range of a longer list.
@@ -93,7 +94,7 @@ def weights(spark: SparkSession, folder: str, queries: DataFrame, fuzzy: bool =
     boosts = F.element_at(F.array(*[F.lit(boost) for _, boost in FIELDS]), F.col("field") + 1)
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     known = asked.join(_of_terms(stored, asked), ["field", "term"]).join(F.broadcast(spark.read.parquet(f"{folder}/stats")), "field")
-    return cut_lineage(known.select("query_id", "field", "term", (boosts * F.col("qtf") * idf).alias("weight"), "avg_len"))
+    return known.select("query_id", "field", "term", (boosts * F.col("qtf") * idf).alias("weight"), "avg_len")
 
 
 @dataclass
@@ -195,7 +196,8 @@ def topk(spark: SparkSession, folder: str, queries: DataFrame, groups: list[str]
     output = f"query_id {queries.schema['query_id'].dataType.simpleString()}, row bigint, score double"
     score = _scorer(shipped, k, settings, to_arrow_schema(StructType.fromDDL(output)))
     mine = F.col("department_id").isin(groups)
-    blocks = _of_terms(spark.read.parquet(f"{folder}/blocks").where(mine), asked)
+    terms = sorted(set(shipped.column("term").to_pylist()))
+    blocks = _of_terms(spark.read.parquet(f"{folder}/blocks").where(mine), asked, terms)
     rows = spark.read.parquet(f"{folder}/rows").where(mine)
     key = ["department_id", "shard"]
     if visible is None:
@@ -203,6 +205,6 @@ def topk(spark: SparkSession, folder: str, queries: DataFrame, groups: list[str]
     else:
         shown = rows.where(visible).select(*key, "row")
         best = blocks.groupBy(*key).cogroup(shown.groupBy(*key)).applyInArrow(lambda table, some: score(table, some.column("row").to_numpy()) if table.num_rows else score(table, None), output)
-    best = cut_lineage(best)  # k rows for each query and shard
+    # k rows for each query and shard are joined with their keys
     ranked = top_per_key(best.join(rows.select("row", "document_id", "chunk_id"), "row"), ["query_id"], [F.col("score").desc(), F.col("row")], k)
     return cut_lineage(ranked.select("query_id", "document_id", "chunk_id", F.round("score", ROUND).alias("score"), "rank"))
