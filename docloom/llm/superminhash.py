@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, band
     component_id is the smallest doc_id that links lead to. Null, empty and blank texts have no set and stand alone.
     Equal texts are linked whatever their ids; repeated rows of one doc_id are one document and get equal
     answers; a null doc_id never names a group that has another id. Other columns of docs are ignored. The bands
-    miss a pair at the threshold with probability (1 - threshold^rows)^bands, below one in a million.
+    miss a pair at the threshold with probability (1 - threshold^rows)^bands: the default ones below one in a million at 85 %, 7 in 100,000 at 80 %.
     """
     signed_, rooted = _grouped(docs, shingle, threshold, bands, rows)
     named = rooted.groupBy("root").agg(F.min("best").alias("best")).select("root", F.col("best.doc_id").alias("component_id"))
