@@ -3,11 +3,13 @@
 A document of n tokens gives n div W full windows and a remainder. Shallow combinations of remainder lengths that
 fill a window exactly (all pairs, and triples of frequent lengths) are the columns of a matrix; non-negative
 least squares gives how often to use each so that the histogram of remainders is met. Rounded down, these repeat
-counts are credited to tasks in proportion to the remainders they have read, and each task fills windows by
-them as far as its pieces go. What stays over is packed greedily: pieces are laid into the open window, longest
-first, and cut where it is full; a task's last window is cut at powers of two, which need no padding.
+counts are the plan. Remainders of each length are numbered over the whole table, and the plan says of each (length, number)
+in which window and where it lies, so that the windows do not depend on how rows are spread over tasks. Remainders that the plan
+leaves over are packed greedily: they are laid end to end, longest first, and cut where a window is full; the last
+window is cut at powers of two, which need no padding.
 
-Only the histogram (at most W lengths) reaches the driver. Tokens are written once, and packed where they lie.
+Only the histogram (at most W lengths) reaches the driver, and only the plan goes to the tasks (a few rows for each combination).
+Texts are tokenised once. What is shuffled is a narrow row for each remainder, and the ids of remainders whose length is not used up by the plan.
 """
 
 from __future__ import annotations
@@ -17,24 +19,30 @@ import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from docloom.llm.columnar import binary
 from docloom.llm.tables import at_least, register, table
 from docloom.session import cut_lineage
 
 WINDOW = 2048
 CLOSE = 1  # id after each document
 FREQUENT = 32  # lengths whose triples are enumerated
-HELD = 4096  # remainders that a task keeps open
+TASK_BITS = 40  # rows and windows of a task are numbered below the task's own number
 VOCABULARY = "byte_bpe_50k"
+ENCODED = pa.schema(
+    [("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sequence", pa.int64()), ("checks", pa.list_(pa.int64())), ("length", pa.int64()), ("task", pa.int64()),
+     ("local", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())]
+)
+PIECES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
 @lru_cache(maxsize=2)
@@ -59,17 +67,29 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(f"{VOCABULARY}.tiktoken")
 
 
-def _tokenise(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], path: str, window: int) -> Iterator[pa.RecordBatch]:
+    """Checksums of the full windows of each text, and its remainder with a number among those of equal length in this task."""
     encode = partial(tokenizer(path).encode, allowed_special="all")
     press = zstandard.ZstdCompressor(level=1)
+    context = TaskContext.get()
+    task = context.partitionId() if context else 0
+    row, sequence = task << TASK_BITS, (task + 1) << TASK_BITS
+    seen: dict[int, int] = defaultdict(int)
     for batch in batches:
-        counts, packed = [], []
-        for text in batch.column("text"):
-            ids = encode(text.as_py() or "")
-            ids.append(CLOSE)
-            counts.append(len(ids))
-            packed.append(press.compress(np.array(ids, np.uint16).tobytes()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), binary(packed)], names=["doc_id", "n", "ids"])
+        made: list[tuple] = []
+        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            ids = np.array(encode(text.as_py() or "") + [CLOSE], np.uint16)
+            full, length = divmod(len(ids), window)
+            checks = [_checksum(ids[k * window : (k + 1) * window]) for k in range(full)]
+            rest = ids[full * window :]
+            made.append((row, doc, len(ids), sequence, checks, length, task, seen[length], _checksum(rest), press.compress(rest.tobytes())))
+            seen[length] += 1
+            row, sequence = row + 1, sequence + full
+        yield pa.RecordBatch.from_pylist([dict(zip(ENCODED.names, values)) for values in made], schema=ENCODED)
+
+
+def _checksum(ids: np.ndarray) -> int:
+    return zlib.crc32(ids.astype("<u4").tobytes())
 
 
 def combinations(histogram: dict[int, int], window: int = WINDOW, frequent: int = FREQUENT) -> list[tuple[int, ...]]:
@@ -106,108 +126,86 @@ def repeat_counts(histogram: dict[int, int], combos: list[tuple[int, ...]], swee
     return counts
 
 
-class Packer:
-    """Open pieces of one task, and the rows of the windows it has closed."""
-
-    def __init__(self, plan: list[tuple[tuple[int, ...], float]], window: int, first: int):
-        self.plan, self.window, self.next = plan, window, first
-        self.credit = np.zeros(len(plan))
-        self.share = np.array([share for _, share in plan])
-        self.waiting: dict[int, list[tuple]] = defaultdict(list)
-        self.held = 0
-        self.rows: list[tuple] = []
-        self.open: list[tuple] = []
-        self.filled = 0
-
-    def _place(self, piece: tuple, sequence: int, offset: int) -> None:
-        doc, start, ids, total = piece
-        self.rows.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, sequence, offset))
-
-    def _window(self, pieces: list[tuple]) -> None:
+@dataclass(frozen=True)
+class Plan:
+    """Where the remainders of each length go, by their numbers."""
+
+    #: length, first and last number, windows per number's turn (how often the length stands in the combination), first window, offset
+    segments: list[tuple[int, int, int, int, int, int]]
+    #: length, first number, position of that one in the greedy stream
+    stream: list[tuple[int, int, int]]
+    windows: int  # closed by the plan
+    size: int  # tokens of the greedy stream
+
+    def sequences(self, window: int) -> list[tuple[int, int]]:
+        """(start, size) of the sequences that the last, partly filled window of the stream is cut into: powers of two."""
+        at, left, out = self.size // window * window, self.size % window, []
+        while left:
+            out.append((at, 1 << (left.bit_length() - 1)))
+            at, left = at + out[-1][1], left - out[-1][1]
+        return out
+
+
+def plan_of(histogram: dict[int, int], window: int = WINDOW) -> Plan:
+    """Solve for repeat counts, round them down, and deal the numbers of each length to the windows; what is over makes the stream."""
+    combos = combinations(histogram, window)
+    counts = np.floor(repeat_counts(histogram, combos) + 1e-6).astype(int)
+    used: dict[int, int] = defaultdict(int)
+    segments, windows = [], 0
+    for j in sorted(range(len(combos)), key=lambda j: (-counts[j], j)):
+        shares = {a: combos[j].count(a) for a in combos[j]}
+        times = min(int(counts[j]), *((histogram[a] - used[a]) // m for a, m in shares.items()))  # a solution of least squares may ask for more than there is
+        if times < 1:
+            continue
         offset = 0
-        for piece in pieces:
-            self._place(piece, self.next, offset)
-            offset += len(piece[2])
-        self.next += 1
-
-    def add(self, doc: int | None, ids: np.ndarray) -> bool:
-        """Take a document; whether it left a remainder."""
-        total, full = len(ids), len(ids) // self.window * self.window
-        for start in range(0, full, self.window):
-            self._window([(doc, start, ids[start : start + self.window], total)])
-        if full < total:
-            self.waiting[total - full].append((doc, full, ids[full:], total))
-            self.held += 1
-        return full < total
-
-    def fill(self, remainders: int) -> None:
-        """Close windows by the plan, whose credit grows with the remainders read; keep few pieces open."""
-        self.credit += self.share * remainders
-        for j in np.flatnonzero(self.credit >= 1):
-            combo = self.plan[j][0]
-            while self.credit[j] >= 1 and all(len(self.waiting.get(a, ())) >= combo.count(a) for a in combo):
-                self._window([self.waiting[a].pop() for a in combo])
-                self.held -= len(combo)
-                self.credit[j] -= 1
-        if self.held > HELD:
-            self.flush()
-
-    def flush(self) -> None:
-        """Greedy: longest first into the open window, cut where it is full."""
-        for a in sorted(self.waiting, reverse=True):
-            for doc, start, ids, total in self.waiting[a]:
-                while len(ids):
-                    room = self.window - self.filled
-                    self.open.append((doc, start, ids[:room], total))
-                    self.filled += len(ids[:room])
-                    start, ids = start + room, ids[room:]
-                    if self.filled == self.window:
-                        self._window(self.open)
-                        self.open, self.filled = [], 0
-        self.waiting.clear()
-        self.held = 0
-
-    def close(self) -> None:
-        """The last window in sequences of powers of two, which stay unpadded."""
-        self.flush()
-        pieces, self.open = self.open, []
-        while self.filled:
-            room = size = 1 << (self.filled.bit_length() - 1)
-            part = []
-            while room:
-                doc, start, ids, total = pieces.pop(0)
-                part.append((doc, start, ids[:room], total))
-                if len(ids) > room:
-                    pieces.insert(0, (doc, start + room, ids[room:], total))
-                room -= len(part[-1][2])
-            self._window(part)
-            self.filled -= size
-
-
-def _pack(batches: Iterator[pa.RecordBatch], plan: list[tuple[tuple[int, ...], float]], window: int) -> Iterator[pa.RecordBatch]:
-    context, open_ = TaskContext.get(), zstandard.ZstdDecompressor()
-    packer = Packer(plan, window, (context.partitionId() if context else 0) << 40)
+        for a, m in shares.items():
+            segments.append((a, used[a], used[a] + m * times, m, windows, offset))
+            used[a] += m * times
+            offset += a * m
+        windows += times
+    stream, size = [], 0
+    for a in sorted(histogram, reverse=True):
+        if used[a] < histogram[a]:
+            stream.append((a, used[a], size))
+            size += a * (histogram[a] - used[a])
+    return Plan(segments, stream, windows, size)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], plan: Plan, window: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of the remainders that lie in more than one sequence of the stream."""
+    open_, tail = zstandard.ZstdDecompressor(), plan.sequences(window)
     for batch in batches:
-        left = 0
-        for doc, count, packed in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("ids")):
-            left += packer.add(doc, np.frombuffer(open_.decompress(packed.as_py(), max_output_size=2 * count), np.uint16))
-        packer.fill(left)
-        yield _rows(packer)
-    packer.close()
-    yield _rows(packer)
-
-
-def _rows(packer: Packer) -> pa.RecordBatch:
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    out = pa.RecordBatch.from_arrays([pa.array([r[k] for r in packer.rows], pa.int64()) for k in range(7)], names=names)
-    packer.rows = []
-    return out
-
-
-def tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n and compressed ids of each text (null: empty), closed by id 1."""
-    docs = at_least(docs, ["doc_id", "text"])
-    return docs.mapInArrow(partial(_tokenise, path=path or vocabulary_path()), "doc_id bigint, n bigint, ids binary")
+        out: list[tuple] = []
+        for doc, n, at, packed in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "at", "ids"))):
+            ids = np.frombuffer(open_.decompress(packed, max_output_size=2 * window), np.uint16)
+            start = n - len(ids)
+            while len(ids):
+                sequence, first, size = at // window, at // window * window, window
+                for k, (low, width) in enumerate(tail):
+                    if at >= low:
+                        sequence, first, size = plan.size // window + k, low, width
+                piece = ids[: first + size - at]
+                out.append((doc, start, len(piece), _checksum(piece), n, plan.windows + sequence, at - first))
+                start, at, ids = start + len(piece), at + len(piece), ids[len(piece) :]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(len(PIECES))], names=PIECES)
+
+
+def encoded(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> DataFrame:
+    """A row for each text (null: empty), closed by id 1: its token count, checksums of its full windows, and its remainder's ids."""
+    schema = "row bigint, doc_id bigint, n bigint, sequence bigint, checks array<bigint>, length bigint, task bigint, local bigint, ids_crc32 bigint, ids binary"
+    return at_least(docs, ["doc_id", "text"]).mapInArrow(partial(_encode, path=path or vocabulary_path(), window=window), schema)
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Number the remainders of each length over the whole table.
+
+    A task has numbered its own ones; the counts of earlier tasks are added, so that a length that a third of the rows share is
+    dealt over as many keys as there were tasks.
+    """
+    sizes = rows.groupBy("length", "task").agg(F.count(F.lit(1)).alias("own"))
+    earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("length", "task", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("before"))
+    return rows.join(before, ["length", "task"]).withColumn("number", F.col("before") + F.col("local")).drop("before", "local", "task")
 
 
 def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> DataFrame:
@@ -216,14 +214,46 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> Data
     Each id of each row lies in one piece. Null, empty and blank texts are packed too (at least the closing id); repeated rows
     are packed as often as they occur, null ids stay null, other columns are ignored, and an empty table gives no pieces.
     """
-    encoded = cut_lineage(tokens(docs, path))
-    rows = encoded.groupBy((F.col("n") % window).cast("int").alias("length")).count().where("length > 0").collect()
-    histogram = {r["length"]: r["count"] for r in rows}  # at most window - 1 lengths
-    combos, total = combinations(histogram, window), max(1, sum(histogram.values()))
-    counts = np.floor(repeat_counts(histogram, combos))
-    plan = [(combo, float(count) / total) for combo, count in zip(combos, counts) if count >= 1]
-    schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return encoded.mapInArrow(partial(_pack, plan=plan, window=window), schema)
+    spark = docs.sparkSession
+    rows = cut_lineage(encoded(docs, window, path))
+    rests = rows.where("length > 0").select("row", "doc_id", "n", "length", "task", "local", "ids_crc32")
+    plan = plan_of({r["length"]: r["count"] for r in rests.groupBy("length").count().collect()}, window)  # at most window - 1 lengths
+    full = rows.select("doc_id", "n", "sequence", F.posexplode("checks").alias("k", "ids_crc32")).select(
+        "doc_id", (F.col("k").cast("long") * window).alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", F.col("n").alias("doc_tokens"),
+        (F.col("sequence") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
+    )
+    # At most three rows for each combination, and one for each length: bounded by the window.
+    segments = [(*s, None) for s in plan.segments] + [(a, first, None, None, None, None, at) for a, first, at in plan.stream]
+    segment = spark.createDataFrame(segments, "length bigint, first bigint, last bigint, share bigint, window bigint, shift bigint, stream bigint")
+    turn = F.col("number") - F.col("first")
+    inside = (F.col("number") >= F.col("first")) & (F.col("last").isNull() | (F.col("number") < F.col("last")))
+    places = numbered(rests).join(F.broadcast(segment.withColumnRenamed("length", "of")), (F.col("length") == F.col("of")) & inside)
+    places = places.withColumn("at", F.col("stream") + turn * F.col("length"))
+    places = places.withColumns({"head": _sequence(F.col("at"), plan, window), "end": _sequence(F.col("at") + F.col("length") - 1, plan, window)})
+    planned, whole = F.col("at").isNull(), F.col("head.sequence") == F.col("end.sequence")
+    places = cut_lineage(
+        places.select(
+            "row", "doc_id", "n", "length", "ids_crc32", "at", (planned | whole).alias("whole"),
+            F.when(planned, F.col("window") + _div(turn, F.col("share"))).otherwise(F.col("head.sequence")).alias("sequence_id"),
+            F.when(planned, F.col("shift") + turn % F.col("share") * F.col("length")).otherwise(F.col("at") - F.col("head.first")).alias("offset"),
+        )
+    )
+    kept = places.where("whole").select("doc_id", (F.col("n") - F.col("length")).alias("start"), "length", "ids_crc32", F.col("n").alias("doc_tokens"), "sequence_id", "offset")
+    ids = rows.where(F.col("length").isin([a for a, _, _ in plan.stream])).select("row", "ids")
+    parts = places.where("not whole").select("row", "doc_id", "n", "at").join(ids, "row").drop("row")
+    return full.unionByName(kept).unionByName(parts.mapInArrow(partial(_cut, plan=plan, window=window), ", ".join(f"{c} bigint" for c in PIECES)))
+
+
+def _div(a: Column, b: Column) -> Column:
+    return ((a - a % b) / b).cast("long")
+
+
+def _sequence(at: Column, plan: Plan, window: int) -> Column:
+    """The sequence of a position of the stream, and where it begins."""
+    spot = F.struct((_div(at, F.lit(window)) + plan.windows).alias("sequence"), (at - at % window).alias("first"))
+    for k, (low, _) in enumerate(plan.sequences(window)):  # at most one for each bit of the window
+        spot = F.when(at >= low, F.struct(F.lit(plan.windows + plan.size // window + k).cast("long").alias("sequence"), F.lit(low).cast("long").alias("first"))).otherwise(spot)
+    return spot
 
 
 @register("op6_nnls_packing")

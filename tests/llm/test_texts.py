@@ -91,6 +91,33 @@ def test_pieces_hold_each_token_once(spark):
     assert padding == 0 and packing.pack(frame(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("tasks", [1, 7])
+def test_windows_do_not_depend_on_the_spread_of_rows(spark, tasks):
+    rng = random.Random(5)
+    rows = [(i, " a" * rng.choice([43, 83, 100, 26, 155, rng.randrange(1, 900)])) for i in range(400)] + [(400 + i, " a" * 63) for i in range(200)]
+    pieces = packing.pack(frame(spark, rows).repartition(tasks), window=128).collect()
+    histogram = Counter((len(t) // 2 + 1) % 128 for _, t in rows)
+    del histogram[0]
+    plan = packing.plan_of(histogram, 128)
+    planned = [p for p in pieces if p.sequence_id < plan.windows]
+    assert plan.windows > 100 and len(planned) == sum(last - first for _, first, last, *_ in plan.segments) and all(p.start + p.length == p.doc_tokens for p in planned)
+    full = [p for p in pieces if p.sequence_id >= 1 << packing.TASK_BITS]
+    over = [p for p in pieces if plan.windows <= p.sequence_id < 1 << packing.TASK_BITS]
+    # Each window of the stream cuts at most one remainder more.
+    assert sum(p.length for p in over) == plan.size and len(over) <= sum(histogram[a] - first for a, first, _ in plan.stream) + plan.size // 128 + 8
+    assert len(full) == sum((len(t) // 2 + 1) // 128 for _, t in rows) and sum(p.length for p in pieces) == sum(len(t) // 2 + 1 for _, t in rows)
+    borders = {*range(128, plan.size, 128), *(at for at, _ in plan.sequences(128))}
+    ends = list(itertools.accumulate([a for a, first, _ in plan.stream for _ in range(histogram[a] - first)], initial=0))
+    assert len(over) == sum(1 + sum(low < b < high for b in borders) for low, high in zip(ends, ends[1:]))
+
+
+def test_one_very_long_text_and_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "word " * 60000, 5, "x", 7), (1, "word " * 60000, 5, "x", 7)], "doc_id bigint, text string, length int, row string, task int")
+    pieces = packing.pack(rows).collect()
+    total = pieces[0].doc_tokens
+    assert total > 60000 and sum(p.length for p in pieces) == 2 * total and Counter(p.start for p in pieces)[0] == 2
+
+
 ADDED = "<|endoftext|>"
 
 
