@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators.chunking import chunk_documents, line_blocks
 from docloom.settings import Settings
-from docloom.streaming.ingest import first_arrivals, read_stream, start_indexing, start_table
+from docloom.streaming.ingest import first_arrivals, read_stream, start_first_arrivals, start_indexing, start_table
 from docloom.streaming.jobs import job_transitions
 
 
@@ -29,6 +29,30 @@ def test_copies_are_seen_across_batches(spark, tmp_path):
     assert sorted(r["text"] for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
 
 
+def test_stored_hashes_in_place_of_state(spark, tmp_path):
+    """Restarts, merged hash tables, a batch replayed after its hashes were written, repeated rows, nulls, and no rows of state."""
+    source, out, mark = (str(tmp_path / n) for n in ("source", "out", "mark"))
+    seen, schema = set(), "doc_id long, text string, prefix string"
+    expected = []
+    for n in range(7):
+        rows = [(10 * n + i, t) for i, t in enumerate([f"t{n}", f"t{n - 1}", f"t{n}", f"t{n - 3}", None if n else "", f"u{n}"])] + [(10 * n, f"t{n}")]
+        for i, t in sorted(rows, key=lambda r: r[0]):
+            if (t or "") not in seen:
+                seen.add(t or "")
+                expected.append((i, t))
+        spark.createDataFrame([(*r, "x") for r in rows], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = read_stream(spark, source, spark.read.parquet(source).schema)
+        if n == 4:  # a replay: the batch's tables are there, its commit is not
+            (tmp_path / "mark" / "commits" / "3").unlink()
+            (tmp_path / "mark" / "commits" / ".3.crc").unlink(missing_ok=True)
+        query = start_first_arrivals(stream, "text", "doc_id", out, mark, open_batches=3)
+        query.awaitTermination()
+        assert sum(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]) == 0
+    kept = spark.read.parquet(f"{out}/kept").collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted(expected)
+    assert sorted(p.name for p in (tmp_path / "out" / "closed").iterdir()) == ["2", "5"]
+
+
 def test_retry_state_survives_restarts(spark, tmp_path):
     source, out, mark = (str(tmp_path / n) for n in ("source", "out", "mark"))
     start = dt.datetime(2026, 1, 1)
