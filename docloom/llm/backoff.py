@@ -1,4 +1,4 @@
-"""Language-model scoring as by a weighted backoff automaton over the whole corpus; a closed form replaces the automaton.
+"""Language-model scoring by a weighted backoff automaton over the whole corpus.
 
 States are histories of up to order - 1 tokens, the root is the empty one. State h has an arc for each token w
 seen after it, weighted log p(w|h), and a failure arc to the history without its oldest token, weighted
@@ -7,13 +7,13 @@ log a(h). Counts are smoothed with a Dirichlet prior around the shorter history,
     p(w|h) = (c(hw) + m * p(w|h')) / (c(h) + m),    a(h) = m / (c(h) + m),
 
 and the root uses the add-one estimate with one share for all unknown words, so each state's weights sum to one. A text is
-read once from left to right: the state is the longest history that was seen, a token without an arc pays failure arcs until
-a state has one. All texts of a slice take that walk at once, as arrays: the level at which each token finds its arc,
-and the failure weights above it.
+traversed once from left to right: the state carried along is the longest history that was seen; where it has no arc for the
+next token, the failure arc is paid and followed until a state has one; the arc's weight is added and its target carried on.
 
 The model is never gathered anywhere. Slices of texts ask for the n-grams they contain, each once: keys are
 hashes, a key's leading bits name the part that counts it. A part merges what all slices counted in training
-texts and answers every asking slice with the counts in the order asked. The slices, read again, build the arcs they need.
+texts and answers every asking slice with the counts in the order asked; there are as many parts as keep one near
+PART_BYTES of text. The slices, read again, build the states and arcs that their texts can reach.
 A slice is known by a hash of its content, so a changed reading is an error and never a silent mismatch.
 """
 
@@ -36,7 +36,9 @@ from docloom.llm.tables import at_least, register, table
 from docloom.session import cut_lineage
 
 FOLDS, HELD_OUT = 7, 2
+ORDER = 3
 PRIOR = 100.0  # m, in tokens
+PART_BYTES = 32 << 20  # bytes of text for each part that counts n-grams
 _END, _START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xA24BAED4963EE407)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -71,9 +73,12 @@ class Slice:
         tokens[self.ends] = _END
         self.doc = np.repeat(np.arange(docs), self.per_doc)
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.samples: list[np.ndarray] = []  # where each distinct n-gram first stands
         past, key = tokens, tokens
         for _ in range(order):
-            self.levels.append(tuple(np.unique(key, return_inverse=True)))
+            keys, sample, place = np.unique(key, return_index=True, return_inverse=True)
+            self.levels.append((keys, place.reshape(-1)))
+            self.samples.append(sample)
             past = np.concatenate([[_START], past[:-1]]) if len(past) else past
             past = past.copy()
             past[self.firsts] = _START
@@ -84,10 +89,11 @@ class Slice:
         return [np.bincount(place.reshape(-1), weight, len(keys)).astype(np.uint64) for keys, place in self.levels]
 
 
-def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where the keys of each part begin: parts are ranges of the leading 32 bits."""
-    edges = np.array([-(-(p << 32) // parts) << 32 for p in range(parts)], dtype=np.uint64)
-    return np.append(np.searchsorted(keys, edges), len(keys))
+def _cuts(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The parts that sorted keys belong to, by their leading 32 bits, and where each of them begins (and the last ends)."""
+    part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    begins = np.flatnonzero(np.diff(part, prepend=np.uint64(parts)))
+    return part[begins], np.append(begins, len(keys))
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[int | None], np.ndarray, np.ndarray]]:
@@ -109,11 +115,9 @@ def _ask(batches: Iterator[pa.RecordBatch], order: int, parts: int) -> Iterator[
         own = Slice(data, offsets, order)
         rows = []
         for level, ((keys, _), counts) in enumerate(zip(own.levels, own.counts(~held_out(ids)))):
-            cuts = _cuts(keys, parts)
-            for p in range(parts):
-                a, b = cuts[p], cuts[p + 1]
-                if b > a:
-                    rows.append((p, level, name, pack(np.diff(keys[a:b], prepend=np.uint64(0))), pack(counts[a:b])))
+            own_parts, cuts = _cuts(keys, parts)
+            for p, a, b in zip(own_parts.tolist(), cuts, cuts[1:]):
+                rows.append((p, level, name, pack(np.diff(keys[a:b], prepend=np.uint64(0))), pack(counts[a:b])))
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), *(binary([r[k] for r in rows]) for k in (2, 3, 4))],
             names=["part", "level", "slice", "keys", "counts"],
@@ -138,8 +142,76 @@ def _answer(group: pa.Table) -> pa.Table:
     )
 
 
-def walk(own: Slice, counts: list[np.ndarray], tokens: int, types: int, prior: float) -> tuple[np.ndarray, ...]:
-    """Tokens, known tokens, base score and automaton score of each text of a slice."""
+class Automaton:
+    """States, arcs and failure arcs for the texts of a slice.
+
+    State 0 is the root; then come, length by length, the distinct n-grams of the slice as histories and, last of each length, the
+    history of starts alone. Arcs are numbered likewise by their n-grams; one whose n-gram was never seen has no target.
+    """
+
+    def __init__(self, own: Slice, counts: list[np.ndarray], tokens: int, types: int, starts: int, prior: float):
+        order = len(own.levels)
+        sizes = [len(keys) for keys, _ in own.levels]
+        places = [place for _, place in own.levels]
+        first = np.zeros(len(own.doc), bool)
+        first[own.firsts] = True
+        base = [0, *(1 + np.cumsum([0, *(n + 1 for n in sizes)])).tolist()]
+        # States: depth, what is known of the history, and the failure arc.
+        self.depth = np.zeros(base[order], np.int64)
+        self.fail_to = np.zeros(base[order], np.int64)
+        mass = np.zeros(base[order])
+        for length in range(1, order):
+            states = slice(base[length], base[length + 1])
+            self.depth[states] = length
+            mass[states] = np.append(counts[length - 1], starts)
+            if length > 1:
+                shorter = places[length - 2][own.samples[length - 1]]
+                self.fail_to[states] = base[length - 1] + np.append(shorter, sizes[length - 2])
+        self.fail_weight = np.log10(prior / (mass + prior))
+        self.fail_weight[0] = 0.0
+        self.start = base[order] - 1 if order > 1 else 0
+        # Arcs: the state each leaves, its weight and its target; the root has one for every token.
+        sources, targets, weights = [np.zeros(sizes[0], np.int64)], [], []
+        p = (counts[0] + 1.0) / (tokens + types + 1)
+        for level in range(order):
+            sample, seen = own.samples[level], counts[level] > 0
+            if level:
+                before = places[level - 1][sample - 1]
+                sources.append(base[level] + np.where(first[sample], sizes[level - 1], before))
+                p = (counts[level] + prior * p[places[level - 1][sample]]) / (mass[sources[level]] + prior)
+            if level < order - 1:
+                target = base[level + 1] + np.arange(sizes[level])
+            else:
+                target = base[level] + places[level - 1][sample] if level else np.zeros(sizes[0], np.int64)
+            targets.append(np.where(seen, target, -1 if level else 0))
+            weights.append(np.log10(p))
+        begins = np.cumsum([0, *sizes[:-1]])
+        self.source, self.target, self.weight = np.concatenate(sources), np.concatenate(targets), np.concatenate(weights)
+        self.arcs = [begin + place for begin, place in zip(begins, places)]  # by history length: the arc for the token at each position
+        self.known = counts[0][places[0]] > 0
+
+    def scores(self, own: Slice) -> tuple[np.ndarray, ...]:
+        """Tokens, known tokens, base score and score of each text: one traversal from left to right, carrying the state."""
+        depth, fail_to, fail_weight, target, weight = (memoryview(x) for x in (self.depth, self.fail_to, self.fail_weight, self.target, self.weight))
+        arcs = [memoryview(x) for x in self.arcs]
+        out = []
+        for begin, end in zip(own.firsts.tolist(), own.ends.tolist()):
+            state, total = self.start, 0.0
+            for at in range(begin, end + 1):
+                arc = arcs[depth[state]][at]
+                while (onward := target[arc]) < 0:
+                    total += fail_weight[state]
+                    state = fail_to[state]
+                    arc = arcs[depth[state]][at]
+                total += weight[arc]
+                state = onward
+            out.append(total)
+        root = self.weight[self.arcs[0]]
+        return own.per_doc, np.add.reduceat(self.known, own.firsts, dtype=np.int64), np.add.reduceat(root, own.firsts), np.array(out)
+
+
+def walk(own: Slice, counts: list[np.ndarray], tokens: int, types: int, starts: int, prior: float) -> tuple[np.ndarray, ...]:
+    """What Automaton.scores gives, by a closed form over all positions at once: its twin in tests."""
     per_level = [c[place.reshape(-1)].astype(np.float64) for c, (_, place) in zip(counts, own.levels)]
     root = np.log10((per_level[0] + 1) / (tokens + types + 1))
     arc, failed = np.power(10.0, root), np.zeros(len(root))
@@ -148,7 +220,7 @@ def walk(own: Slice, counts: list[np.ndarray], tokens: int, types: int, prior: f
         # The history of a token at this level is the n-gram that ended at the token before it.
         history = np.empty(len(root))
         history[1:] = per_level[level - 1][:-1]
-        history[own.firsts] = own.starts[level]
+        history[own.firsts] = starts
         seen = per_level[level]
         arc = (seen + prior * arc) / (history + prior)
         has_arc = seen > 0
@@ -173,14 +245,13 @@ def _score(batches: Iterator[pa.RecordBatch], order: int, tokens: int, types: in
             ids, offsets = ids.as_py(), np.array(offsets.as_py(), np.int64)
             data = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed.as_py(), max_output_size=max(1, int(offsets[-1]))), np.uint8)
             own = Slice(data, offsets, order)
-            own.starts = [0.0] + [float(starts)] * (order - 1)
             answers = answers.as_py()
             counts = [np.concatenate([unpack(a["counts"]) for a in sorted((a for a in answers if a["level"] == level), key=lambda a: a["part"])]) for level in range(order)]
-            length, known, base, score = walk(own, counts, tokens, types, prior)
+            length, known, base, score = Automaton(own, counts, tokens, types, starts, prior).scores(own)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held_out(ids)), pa.array(length, pa.int64()), pa.array(known), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
-def backoff_scores(docs: DataFrame, order: int = 2, prior: float = PRIOR, parts: int | None = None) -> DataFrame:
+def backoff_scores(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, parts: int | None = None) -> DataFrame:
     """One row for each text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     Tokens are lower-cased (A-Z) words and one end; a null, empty or blank text is just its end. Texts whose
@@ -189,12 +260,12 @@ def backoff_scores(docs: DataFrame, order: int = 2, prior: float = PRIOR, parts:
     """
     docs = at_least(docs, ["doc_id", "text"])
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == HELD_OUT
+    starts, size = docs.agg(F.count_if(~held), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     asked = docs.mapInArrow(partial(_ask, order=order, parts=parts), "part int, level int, slice binary, keys binary, counts binary")
     answered = cut_lineage(asked.groupBy("part", "level").applyInArrow(_answer, "part int, level int, slice binary, counts binary, tokens bigint, types bigint"))
     known = answered.where("level = 0").agg(F.sum("tokens"), F.sum("types")).first()
-    held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == HELD_OUT
-    starts = docs.select("doc_id").where(~held).count()
     answers = answered.groupBy("slice").agg(F.collect_list(F.struct("part", "level", "counts")).alias("answers"))
     sent = docs.mapInArrow(_send, "slice binary, ids array<bigint>, offsets array<bigint>, packed binary")
     score = partial(_score, order=order, tokens=known[0] or 0, types=known[1] or 0, starts=starts, prior=prior)

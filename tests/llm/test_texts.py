@@ -60,6 +60,39 @@ def test_scores_equal_brute_force(spark, order):
     assert sorted([(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 8), round(r.score, 8)) for r in got], key=str) == sorted(expected, key=str)
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_traversal_equals_closed_form_and_arcs_leave_the_carried_state(order):
+    texts = [(t or "").encode() for _, t in [*corpus(5, 80), (0, ""), (1, "The"), (2, "new words only here"), (3, "the of " * 5000)]]
+    own = backoff.Slice(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), order)
+    training = np.arange(len(texts)) % 3 > 0
+    for training in (training, np.zeros(len(texts), bool)):
+        counts = own.counts(training)
+        facts = int(counts[0].sum()), int((counts[0] > 0).sum()), int(training.sum()), 3.0
+        automaton = backoff.Automaton(own, counts, *facts)
+        for got, expected in zip(automaton.scores(own), backoff.walk(own, counts, *facts)):
+            assert np.allclose(got, expected, rtol=1e-12)
+        # Step by step: a state's arc at a position leaves that state, a failure arc leads one token down.
+        for begin, end in zip(own.firsts, own.ends):
+            state = automaton.start
+            for at in range(begin, end + 1):
+                arc = automaton.arcs[automaton.depth[state]][at]
+                while automaton.target[arc] < 0:
+                    assert automaton.source[arc] == state or automaton.fail_weight[state] == 0
+                    assert automaton.depth[automaton.fail_to[state]] == automaton.depth[state] - 1
+                    state = automaton.fail_to[state]
+                    arc = automaton.arcs[automaton.depth[state]][at]
+                assert automaton.source[arc] == state
+                state = automaton.target[arc]
+
+
+def test_ngrams_go_to_the_part_of_their_leading_bits():
+    keys = np.sort(np.random.default_rng(2).integers(0, 1 << 64, 500, dtype=np.uint64, endpoint=False))
+    for parts in (1, 3, 100_000):
+        own, cuts = backoff._cuts(keys, parts)
+        assert np.repeat(own, np.diff(cuts)).tolist() == [(int(k) >> 32) * parts >> 32 for k in keys]
+    assert [len(x) for x in backoff._cuts(keys[:0], 7)] == [0, 1]
+
+
 def test_scoring_nothing(spark):
     assert backoff.backoff_scores(frame(spark, [])).collect() == []
 
