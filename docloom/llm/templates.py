@@ -1,11 +1,14 @@
 """Main text of web pages by site template removal.
 
-Every block element of a page is a subtree, known by a hash of its tags and texts. Spark counts on how many
-different pages of a host each subtree stands; subtrees that recur on many of them are the site's template and are cut
-out of each page before its text is taken. Elements that say what they are (menus, headers, footers, sidebars, notices,
-adverts, forms, comments, scripts, styles, hidden parts) go by tag, class, id or role; a form or a noise word takes no
-element that holds an article or most of the text. Where a page marks articles, the text comes from all of them in
-page order, and passages that articles share are content, never template.
+Every block element of a page is a subtree, known by a hash of its tag and texts and of its children's hashes. Spark
+counts on how many different pages of a host each subtree stands; subtrees that recur on many of them are the site's
+template and are cut out of each page before its text is taken, whether they stand beside the articles or inside one.
+Inside an article only containers are judged, not paragraphs, headings, lists and tables, since passages that articles
+share are content; and there a subtree has to recur in so many different articles, so that copies of one article are one.
+Elements that say what they are (menus, headers, footers, sidebars, notices,
+adverts, forms, comments, scripts, styles, hidden parts) go by tag, class, id or role, which also serves hosts with too few
+pages to count; a form or a noise word takes no element that holds an article or most of the text. Where a page marks
+articles, the text comes from all of them, and from main elements without one, in page order.
 
 Subtrees are counted with map-side aggregation. Each page's subtrees meet the recurring ones by host and hash, one row
 each, so a host's list may be of any length: a page gets only those that it holds, joined back by its own hash.
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,12 +48,15 @@ NOT_TEXT = RAW | frozenset("head nav footer aside form button select dialog menu
 NOISE = frozenset(
     "ad ads adv advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies dialog discussion disqus footer form gdpr hidden login menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+# Elements inside an article that can be a part of the site's template; all others there are running text.
+CONTAINERS = frozenset("aside details dialog div fieldset footer form header hgroup menu nav search section".split())
 SITE_HEADS = frozenset("header masthead topbar".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 # A name with one of these words (with-sidebar, comments-open) says what an element has, not what it is.
 HAS = frozenset("with has have no not without open closed enabled disabled".split())
 _WORD = re.compile(r"[a-z]+")
+_ANY_WORD = re.compile(r"\w")
 
 
 class Page:
@@ -65,6 +72,7 @@ class Page:
         self.site_head: list[bool] = [False]
         self.tokens: list[tuple[int, str | None]] = []  # element, and its text or None where a block begins or ends
         self._open = [0]
+        self._open_names: Counter[str] = Counter()
         at = 0
         for match in self._matches(source):
             if match.start() > at:
@@ -121,6 +129,7 @@ class Page:
         self.named.append(form)
         self.site_head.append(head)
         self._open.append(len(self.tags) - 1)
+        self._open_names[name] += 1
         if name in BLOCKS:
             self.tokens.append((len(self.tags) - 1, None))
         if attributes.rstrip().endswith("/"):
@@ -128,11 +137,14 @@ class Page:
 
     def _close(self) -> None:
         element = self._open.pop()
+        self._open_names[self.tags[element]] -= 1
         if self.tags[element] in BLOCKS:
             self.tokens.append((element, None))
         self.last[element] = len(self.tokens)
 
     def _close_within(self, names: set[str], stop: frozenset[str] | set[str]) -> None:
+        if not any(self._open_names[name] for name in names):
+            return
         for depth in range(len(self._open) - 1, 0, -1):
             tag = self.tags[self._open[depth]]
             if tag in names:
@@ -143,6 +155,8 @@ class Page:
                 return
 
     def _end(self, name: str) -> None:
+        if not self._open_names[name]:
+            return
         for depth in range(len(self._open) - 1, 0, -1):
             if self.tags[self._open[depth]] == name:
                 while len(self._open) > depth:
@@ -173,40 +187,80 @@ class Page:
         for element, text in self.tokens:
             sizes.append(sizes[-1] + (len("".join(text.split())) if text and not silent[element] else 0))
         out = [2 * (sizes[self.last[e]] - sizes[self.first[e]]) > sizes[-1] for e in range(len(self.tags))]
-        for e in range(1, len(self.tags)):
-            if self.tags[e] in ("article", "main") and not silent[e] and not self.named[e]:
-                while e and self.tags[e] != "#":
-                    out[e], e = True, self.parents[e]
+        holding = self._around([e for e in range(1, len(self.tags)) if self.tags[e] in ("article", "main") and not silent[e] and not self.named[e]])
+        return [a or b for a, b in zip(out, holding)]
+
+    def _around(self, elements: list[int]) -> list[bool]:
+        """Which elements are one of these or hold one, but for the root."""
+        out = [False] * len(self.tags)
+        for e in elements:
+            while e and not out[e]:
+                out[e], e = True, self.parents[e]
         return out
 
     def main(self, dropped: list[bool]) -> list[int]:
-        """The articles outside other articles, in page order, else the main elements, else the whole page."""
-        for name in ("article", "main"):
-            found: list[int] = []
-            for e, tag in enumerate(self.tags):
-                if tag == name and not dropped[e] and not (found and self.last[e] <= self.last[found[-1]]):
-                    found.append(e)
-            if found:
-                return found
-        return [0]
-
-    def subtrees(self) -> dict[int, int]:
-        """Hashes of block elements outside the articles that have text."""
-        articles = [(self.first[x], self.last[x]) for x in self.main(self.dropped()) if x]
+        """The articles outside other articles and the main elements without one, in page order, else the whole page."""
+        around = self._around([e for e, tag in enumerate(self.tags) if tag == "article" and not dropped[e]])
+        inside = [False] * len(self.tags)
+        found: list[int] = []
+        for e in range(1, len(self.tags)):
+            inside[e] = inside[self.parents[e]]
+            if not inside[e] and not dropped[e] and (self.tags[e] == "article" or self.tags[e] == "main" and not around[e]):
+                inside[e] = True
+                found.append(e)
+        return found or [0]
+
+    def hashes(self) -> tuple[list[int], list[bool]]:
+        """A hash of each element, from its texts and its children's hashes in order, and whether it has a word."""
+        content: list[list[str]] = [[] for _ in self.tags]
+        begun = 1
+        for at, (element, text) in enumerate([*self.tokens, (0, None)]):
+            while begun < len(self.tags) and self.first[begun] <= at:
+                content[self.parents[begun]].append(begun)
+                begun += 1
+            if text and (words := " ".join(text.split())):
+                content[element].append(words)
+        out, worded = [0] * len(self.tags), [False] * len(self.tags)
+        for e in range(len(self.tags) - 1, -1, -1):  # children come after their parents
+            own = xxhash.xxh3_64(self.tags[e])
+            for part in content[e]:
+                if isinstance(part, int):
+                    own.update(b"<%016x" % out[part])
+                    worded[e] = worded[e] or worded[part]
+                else:
+                    own.update(b">" + part.encode("utf-8", "surrogatepass"))
+                    worded[e] = worded[e] or _ANY_WORD.search(part) is not None
+            out[e] = own.intdigest()
+        return out, worded
+
+    def subtrees(self) -> dict[int, tuple[int, int]]:
+        """Elements that may be template: the hash of each, and of the outermost article around it or else 0.
+
+        These are block elements with a word, but for articles, what holds one, whatever holds more than half of an article, and
+        running text inside articles.
+        """
+        articles = [e for e in self.main(self.dropped()) if e]
+        around, (known, worded) = self._around(articles), self.hashes()
+        sizes = [0]
+        for _, text in self.tokens:
+            sizes.append(sizes[-1] + (len("".join(text.split())) if text else 0))
+        article = [0] * len(self.tags)
+        for e in articles:
+            article[e] = e
         out = {}
         for e in range(1, len(self.tags)):
-            a, b = self.first[e], self.last[e]
-            if self.tags[e] not in BLOCKS or self.tags[e] in ("html", "body") or any(a <= low and b >= high or a >= low and b <= high for low, high in articles):
+            top = article[e] = article[e] or article[self.parents[e]]
+            if self.tags[e] not in BLOCKS or self.tags[e] in ("html", "body") or around[e] or not worded[e]:
+                continue
+            if top and (self.tags[e] not in CONTAINERS or 2 * (sizes[self.last[e]] - sizes[self.first[e]]) > sizes[self.last[top]] - sizes[self.first[top]]):
                 continue
-            content = "".join(self.tags[n] + "<" if x is None else " ".join(x.split()) + ">" for n, x in self.tokens[a:b])
-            if re.search(r"[^\W]", content.replace(self.tags[e], "", 1)):
-                out[e] = xxhash.xxh3_64_intdigest(content.encode("utf-8", "surrogatepass")) - (1 << 63)
+            out[e] = known[e] - (1 << 63), known[top] - (1 << 63) if top else 0
         return out
 
     def text(self, template: frozenset[int] = frozenset()) -> str:
         dropped = self.dropped()
         if template:
-            for e, own in self.subtrees().items():
+            for e, (own, _) in self.subtrees().items():
                 if own in template:
                     dropped[e] = True
             for e in range(1, len(self.tags)):
@@ -215,24 +269,26 @@ class Page:
         parts: list[str] = []
         for element, text in [x for e in self.main(dropped) for x in [*self.tokens[self.first[e] : self.last[e]], (0, None)]]:
             if text is None:
-                if block := " ".join(html.unescape("".join(parts)).split()):
+                if block := " ".join("".join(parts).split()):
                     blocks.append(block)
                 parts = []
             elif not dropped[element]:
-                parts.append(text)
+                parts.append(html.unescape(text))  # a reference split over elements is none
         return "\n".join(blocks)
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, subtrees, pages = [], [], []
+        hosts, subtrees, pages, places = [], [], [], []
         for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             if source:
-                own = set(Page(source).subtrees().values())
+                page = xxhash.xxh3_128_digest(source.encode("utf-8", "surrogatepass"))
+                own = {(e, article or int.from_bytes(page[:8], "big", signed=True)) for e, article in Page(source).subtrees().values()}
                 hosts += [host] * len(own)
-                subtrees += own
-                pages += [xxhash.xxh3_128_digest(source.encode("utf-8", "surrogatepass"))] * len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(subtrees, pa.int64()), binary(pages)], names=["host", "subtree", "page"])
+                subtrees += [e for e, _ in own]
+                pages += [page] * len(own)
+                places += [place for _, place in own]
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(subtrees, pa.int64()), binary(pages), pa.array(places, pa.int64())], names=["host", "subtree", "page", "place"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,10 +309,14 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def template_parts(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
-    """host, page (hash) and those of its subtrees (array of hashes) that recur on so many different pages of the host."""
-    parts = cut_lineage(pages.mapInArrow(_parts, "host string, subtree bigint, page binary").distinct())
-    many = cut_lineage(parts.groupBy("host", "subtree").count().where(F.col("count") >= least).select("host", "subtree"))
-    return parts.join(many, ["host", "subtree"]).groupBy("host", "page").agg(F.collect_list("subtree").alias("template"))
+    """host, page (hash) and those of its subtrees (array of hashes) that recur in so many different places of the host.
+
+    A place is a page, or for what stands inside an article that article's content.
+    """
+    parts = cut_lineage(pages.mapInArrow(_parts, "host string, subtree bigint, page binary, place bigint").distinct())
+    places = parts.select("host", "subtree", "place").distinct().groupBy("host", "subtree").count()
+    many = cut_lineage(places.where(F.col("count") >= least).select("host", "subtree"))
+    return parts.join(many, ["host", "subtree"]).groupBy("host", "page").agg(F.collect_set("subtree").alias("template"))
 
 
 def main_text(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:

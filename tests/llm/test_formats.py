@@ -58,6 +58,63 @@ def test_template_parts_of_large_hosts_go(spark):
     assert got == {i: f"own {i}\npair {i // 4}" for i in range(120)}
 
 
+def test_template_parts_inside_articles_go_and_shared_passages_stay(spark):
+    """The parts have no telling class; the share of pages whose text the template step changes is what README reports."""
+    rng = random.Random(4)
+    rows, plain = [], {}
+    for i in range(60):
+        host, shared = f"h{i % 3}", "<p>A passage that many articles share</p>"
+        own = "".join(f"<p>own {i} {rng.random()} {n}</p>" for n in range(3))
+        box = "<div class='x7'><p>Read this next</p><ul><li>one</ul></div>" if i % 3 < 2 else f"<section>box of {i}</section>"
+        body = f"<article><h1>T {i}</h1>{shared}{own}{box}</article>"
+        rows.append((i, f"http://{host}/{i}", f"<body><div>Site of {host}</div>{body}<p>tail {i}</body>"))
+        plain[i] = templates.Page(rows[-1][2]).text()
+    # One article under many addresses of a host: its sections recur on pages, but not in different articles.
+    copied = "<article><section>first part</section><section>second part</section><section>third part</section></article>"
+    rows += [(100 + i, "http://copies/", f"<div>page {i}</div>{copied}") for i in range(9)]
+    got = {r.page_id: r.text for r in templates.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for i in range(60):
+        assert got[i] == (plain[i].replace("\nRead this next\none", "") if i % 3 < 2 else plain[i]) and "A passage that many articles share" in got[i]
+    assert sum(got[i] != plain[i] for i in range(60)) == 40
+    assert all(got[100 + i] == "first part\nsecond part\nthird part" for i in range(9))
+
+
+def test_template_parts_equal_brute_force(spark):
+    rng = random.Random(12)
+    blocks = [f"<div>block {n}</div>" for n in range(12)] + [f"<section><div>block {n}</div>tail</section>" for n in range(4)]
+    rows = []
+    for i in range(150):
+        outside, inside = ("".join(rng.choice(blocks) for _ in range(rng.randrange(3))) for _ in range(2))
+        rows.append((i, f"http://h{i % 9}/", f"{outside}<article><p>{'own words ' * 20}{i % 120}</p>{inside}</article>{outside if i % 2 else ''}<div>only {i % 40}</div>"))
+    rows.append((150, "http://h0/", rows[0][2]))
+    seen = {}
+    for _, url, source in rows:
+        for own, article in templates.Page(source).subtrees().values():
+            seen.setdefault((url, own), set()).add(article or source)
+    many = {}
+    for (url, own), places in seen.items():
+        if len(places) >= templates.LEAST_PAGES:
+            many.setdefault(url, set()).add(own)
+    got = {r.page_id: r.text for r in templates.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)).collect()}
+    expected = {i: templates.Page(source).text(frozenset(many.get(url, ()))) for i, url, source in rows}
+    assert got == expected and any(expected[i] != templates.Page(source).text() for i, _, source in rows)
+
+
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<main><p>one</p></main><article><p>teaser</p></article>", "one\nteaser"), ("<main><h1>list</h1><article>a</article></main>", "a"), ("<article>a<main>b</main></article>", "a\nb"),
+        ("a &am<b>p;</b> b", "a &amp; b"), ("<p>&lt;<b>&gt;</b>", "<>"),
+        ("<div>" * 4000 + "deep" + "</div>" * 4000 + "<p>end", "deep\nend"), ("<b>" * 4000 + "</i>" * 4000 + "deep", "deep"), ("".join(f"<article>{n}</article>" for n in range(3000)), "\n".join(map(str, range(3000)))),
+        ("<article>" * 3000 + "x", "x"), ("w " * 300_000, ("w " * 300_000).strip()),
+    ],
+)
+def test_mains_references_and_deep_pages(source, text):
+    page = templates.Page(source)
+    assert page.text() == text
+    assert page.text(frozenset({1})) == text and len(page.subtrees()) <= len(page.tags)
+
+
 def archive_rows():
     rng = random.Random(6)
     big = "".join(chr(rng.randrange(33, 0x2FF)) for _ in range(3000))
