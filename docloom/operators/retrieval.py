@@ -107,17 +107,17 @@ def term_weights(analyzed: DataFrame, queries: DataFrame, fuzzy: bool = False) -
 
 
 def lexical_topk(
-    analyzed: DataFrame, visible: Column, queries: DataFrame, k: int, fuzzy: bool = False, settings: Settings = DEFAULTS
+    analyzed: DataFrame, visible: Column, queries: DataFrame, k: int, fuzzy: bool = False, settings: Settings = DEFAULTS, key: str | Column = "chunk_id"
 ) -> DataFrame:
-    """BM25 over all fields; statistics cover the whole index, results only its visible rows."""
-    corpus = analyzed.where(visible).select("chunk_id", *[f"terms_{name}" for name, _ in FIELDS])
+    """BM25 over all fields; statistics cover the whole index, results only its visible rows. ``key`` names the rows."""
+    corpus = analyzed.where(visible).select(key, *[f"terms_{name}" for name, _ in FIELDS])
     weights = term_weights(analyzed, queries, fuzzy)
     return batch_topk(corpus, weights, bm25_queries(len(FIELDS), settings.bm25_k1, settings.bm25_b), k, 0.0, settings)
 
 
-def vector_topk(index: DataFrame, visible: Column, queries: DataFrame, k: int, settings: Settings = DEFAULTS) -> DataFrame:
-    """Exact cosine search after filtering: ``queries`` is ``(query_id, vector)``."""
-    corpus = index.where(visible).select("chunk_id", "embedding")
+def vector_topk(index: DataFrame, visible: Column, queries: DataFrame, k: int, settings: Settings = DEFAULTS, key: str | Column = "chunk_id") -> DataFrame:
+    """Exact cosine search after filtering: ``queries`` is ``(query_id, vector)``. ``key`` names the rows."""
+    corpus = index.where(visible).select(key, "embedding")
     return batch_topk(corpus, queries, cosine_queries, k, None, settings)
 
 
@@ -147,6 +147,17 @@ def snippet(highlighted: Column, text: Column, chars: int = DEFAULTS.snippet_cha
     return F.coalesce(highlighted, F.substring(text, 1, chars))
 
 
+def row_key(index: DataFrame) -> Column:
+    """Names an index row: documents may share a chunk (its id comes from its content). Sorts like (chunk_id, document_id)."""
+
+    def sortable(name: str) -> Column:
+        if index.schema[name].dataType.simpleString() == "string":
+            return F.col(name)
+        return F.lpad((F.col(name).cast("decimal(20,0)") + F.lit(1 << 62).cast("decimal(20,0)") * 2).cast("string"), 20, "0")
+
+    return F.concat(sortable("chunk_id"), F.lit("\u0000"), sortable("document_id"))
+
+
 def hybrid(
     analyzed: DataFrame,
     queries: DataFrame,
@@ -156,20 +167,24 @@ def hybrid(
     fuzzy: bool = False,
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
-    """Fused candidates with their index columns; ``queries`` is ``(query_id, query, vector)``."""
+    """Fused candidates with their index columns; ``queries`` is ``(query_id, query, vector)``.
+
+    A chunk that several documents share is ranked once for each of them.
+    """
     visible = search_filter(groups, filters, leaf_only)
-    nearest = vector_topk(analyzed, visible, queries.select("query_id", "vector"), settings.knn_k, settings)
-    lexical = lexical_topk(analyzed, visible, queries.select("query_id", "query"), settings.bm25_size, fuzzy, settings)
-    fused = fuse([nearest, lexical], settings.rrf_k).withColumnRenamed("id", "chunk_id")
+    key = row_key(analyzed).alias("_row")
+    nearest = vector_topk(analyzed, visible, queries.select("query_id", "vector"), settings.knn_k, settings, key)
+    lexical = lexical_topk(analyzed, visible, queries.select("query_id", "query"), settings.bm25_size, fuzzy, settings, key)
+    fused = fuse([nearest, lexical], settings.rrf_k).withColumnRenamed("id", "_row")
+    matched = lexical.select("query_id", F.col("id").alias("_row"), F.lit(True).alias("_lexical"))
     terms = queries.select("query_id", F.array_distinct(standard_terms(F.col("query"))).alias("_terms"))
-    matched = lexical.select("query_id", F.col("id").alias("chunk_id"), F.lit(True).alias("_lexical"))
-    candidates = fused.join(matched, ["query_id", "chunk_id"], "left").join(terms, "query_id")
+    candidates = fused.join(matched, ["query_id", "_row"], "left").join(terms, "query_id")
     if is_small(queries, SMALL_QUERY_SET):
         # Checked: at most SMALL_QUERY_SET x (knn_k + bm25_size) short rows.
         candidates = F.broadcast(candidates)
-    source = analyzed.where(visible).select("chunk_id", "document_id", "level", "text", "heading_path", "page_from")
+    source = analyzed.where(visible).select(key, "chunk_id", "document_id", "level", "text", "heading_path", "page_from")
     marked = F.when(F.col("_lexical"), highlight(F.col("text"), F.col("_terms"), settings.highlight_chars))
-    return source.join(candidates, "chunk_id").withColumn("highlight", marked).drop("_terms", "_lexical")
+    return source.join(candidates, "_row").withColumn("highlight", marked).drop("_row", "_terms", "_lexical")
 
 
 def best_per_document(candidates: DataFrame) -> DataFrame:

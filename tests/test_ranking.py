@@ -119,6 +119,15 @@ def test_search_never_leaks_and_pages(spark):
     assert [r["query_id"] for r in found.unmatched.collect()] == [2]
 
 
+def test_documents_that_share_a_chunk_are_ranked_each_once(spark):
+    rows = [(1, 0, "hr", "sop", "t", "annual leave", "2024-01-01"), (2, 0, "hr", "sop", "t", "annual leave", "2024-01-01"), (3, 0, "fin", "sop", "t", "annual leave", "2024-01-01"), (1, 0, "hr", "sop", "t", "other words", "2024-01-01")]
+    df = index(spark, rows).withColumn("chunk_id", F.when(F.col("text") == "annual leave", F.lit("same")).otherwise(F.lit("other")))
+    asked = spark.createDataFrame([(0, "annual leave", [1.0, 0.0])], "query_id int, query string, vector array<double>")
+    found = retrieval.hybrid(df, asked, ["hr"]).collect()
+    assert sorted((r["chunk_id"], r["document_id"], r["highlight"]) for r in found if r["chunk_id"] == "same") == [("same", i, "<mark>annual</mark> <mark>leave</mark>") for i in (1, 2)]
+    assert sorted(r["position"] for r in found) == list(range(1, len(found) + 1)) and len(found) == 3
+
+
 def test_highlight(spark):
     terms = F.array(F.lit("leave"), F.lit("rules"))
     made = spark.range(1).select(
