@@ -65,7 +65,14 @@ def follows(counts: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def best_path(runs: list[tuple[int, str | None, str | None, str, float]]) -> str:
-    """Words of the best path, ties by alphabet; runs are (pos, one, two, word, score)."""
+    """Words of the best path, ties by alphabet; runs are (pos, one, two, word, score).
+
+    Sums stay as they are and only comparisons round: paths that tie often have different steps, whose rounded values add up differently.
+    """
+
+    def better(way: tuple[float, tuple[str, ...]]) -> tuple[float, tuple[str, ...]]:
+        return -round(way[0], 9), way[1]
+
     states: dict[tuple[str | None, str | None], tuple[float, tuple[str, ...]]] = {(None, None): (0.0, ())}
     by_place: dict[int, list] = {}
     for run in runs:
@@ -75,11 +82,11 @@ def best_path(runs: list[tuple[int, str | None, str | None, str, float]]) -> str
         for one, two, word, score in by_place[pos]:
             if (one, two) in states:
                 total, words = states[one, two]
-                way = (-round(total + score, 9), (*words, word))
-                if (two, word) not in now or way < now[two, word]:
+                way = (total + score, (*words, word))
+                if (two, word) not in now or better(way) < better(now[two, word]):
                     now[two, word] = way
-        states = {key: (-cost, words) for key, (cost, words) in now.items()}
-    return " ".join(min((-round(total, 9), words) for total, words in states.values())[1])
+        states = now
+    return " ".join(min(states.values(), key=better)[1])
 
 
 def correct(titles: DataFrame, queries: DataFrame, groups: list[str]) -> DataFrame:

@@ -47,3 +47,14 @@ def test_best_path_equals_all_paths():
             every.append((-round(total, 7), path))
         best = min(every)[0]
         assert phrases.best_path(runs).split() in [list(p) for c, p in every if c == best]
+
+
+def test_paths_that_tie_go_by_alphabet_whatever_their_steps():
+    # Two title runs seen once each: counts of shorter runs cancel out, so both paths have probability 1 / 1000.
+    def steps(name, first, second):
+        scores = (math.log(first / 1000), math.log(second / first), math.log(1 / second))
+        words = [f"{name}{i}" for i in range(3)]
+        return [(pos, *([None, None] + words)[pos : pos + 2], words[pos], score) for pos, score in enumerate(scores)]
+
+    for first, second in ((7, 3), (9, 4), (20, 3)):
+        assert phrases.best_path(steps("a", first, second) + steps("b", 11, 5)) == "a0 a1 a2"
