@@ -12,7 +12,7 @@ that can still get there go on, and blocks that hold none of them, or whose best
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from docloom.functions.skew import top_per_key
 from docloom.functions.text import HAN
 from docloom.operators.retrieval import FIELDS, analyze_index, fuzzy_terms, query_terms
-from docloom.operators.topk import ROUND, TIE, _collect_bounded
+from docloom.operators.topk import ROUND, TIE, _collect_bounded, _flat, arrow_schema
 from docloom.session import cut_lineage
 from docloom.settings import DEFAULTS, Settings
 
@@ -35,6 +35,48 @@ SLACK = 1e-7  # by how much a bound must miss the k-th score; scores are compare
 FILTERED = ("level", "allowed_groups", "doctype", "effective_date", "superseded")
 
 
+PARTIAL = "department_id string, shard int, field int, term string, row array<bigint>, tf array<int>, length array<int>, docs bigint, words bigint"
+HELD_POSTINGS = 500_000  # postings that a task gathers into lists at a time
+
+
+def _partial_lists(fields: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Postings of a task's passages as lists for each (department, shard, field, term); ``docs`` and ``words`` add up to the passages and words of a field."""
+    schema = arrow_schema(PARTIAL)
+    keys = ["department_id", "shard", "field", "term"]
+
+    def counted(batch: pa.RecordBatch) -> Iterator[pa.Table]:
+        for place, field in enumerate(fields):
+            lengths, values = _flat(batch.column(3 + place))
+            if not len(values):
+                continue
+            coded = values.dictionary_encode()
+            owner = np.repeat(np.arange(batch.num_rows), lengths)
+            cells, tf = np.unique(owner * len(coded.dictionary) + coded.indices.to_numpy(), return_counts=True)
+            at = cells // len(coded.dictionary)
+            first = np.diff(at, prepend=-1) > 0  # one posting of each passage stands for it
+            columns = [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), np.full(len(at), field, np.int32), coded.dictionary.take(pa.array(cells % len(coded.dictionary)))]
+            numbers = [batch.column(2).take(pa.array(at)), tf.astype(np.int32), lengths[at].astype(np.int32), first.astype(np.int64), np.where(first, lengths[at], 0).astype(np.int64)]
+            yield pa.table(dict(zip([*keys, "row", "tf", "length", "docs", "words"], columns + numbers)))
+
+    def gathered(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        sums = [("row", "list"), ("tf", "list"), ("length", "list"), ("docs", "sum"), ("words", "sum")]
+        made = pa.concat_tables(tables).group_by(keys, use_threads=False).aggregate(sums)
+        made = made.select([*keys, *[f"{name}_{how}" for name, how in sums]]).rename_columns(schema.names).cast(schema)
+        yield from made.to_batches(max_chunksize=10_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            held += counted(batch)
+            if sum(t.num_rows for t in held) >= HELD_POSTINGS:
+                yield from gathered(held)
+                held = []
+        if held:
+            yield from gathered(held)
+
+    return run
+
+
 def build(index: DataFrame, folder: str, settings: Settings = DEFAULTS, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> None:
     """Write the index of passages (the columns of ``search_index``), keyed by (document_id, chunk_id)."""
     spark = index.sparkSession
@@ -49,23 +91,21 @@ def build(index: DataFrame, folder: str, settings: Settings = DEFAULTS, shard_ro
     numbered = cut_lineage(ordered.withColumn("row", F.monotonically_increasing_id()).withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")))
     numbered.write.partitionBy("department_id").parquet(f"{folder}/rows")
 
-    # Only keys are sorted and numbered; texts are read once, and nothing but (term, row) pairs is written of them.
+    # Only keys are sorted and numbered; texts are read once, and nothing but lists of postings is written of them.
     analyzed = analyze_index(index.select(*ids, "title", "text", "heading_path").join(numbered.select(*ids, "department_id", "row", "shard"), ids))
-    fields = F.array(*[F.struct(F.lit(i).alias("field"), F.col(f"terms_{name}").alias("terms")) for i, name in searched])
-    exploded = analyzed.select("row", "shard", "department_id", F.explode(fields).alias("f")).select(
-        "row", "shard", "department_id", "f.field", F.size("f.terms").alias("length"), F.explode("f.terms").alias("term")
-    )
-    counted = cut_lineage(exploded.groupBy("department_id", "shard", "field", "term", "row", "length").agg(F.count(F.lit(1)).cast("int").alias("tf")))
-    stats = counted.groupBy("field").agg(F.count_distinct("row").alias("n_docs"), F.sum("tf").alias("words"))
+    partial = cut_lineage(analyzed.select("department_id", "shard", "row", *[f"terms_{name}" for _, name in searched]).mapInArrow(_partial_lists([i for i, _ in searched]), PARTIAL))
+    stats = partial.groupBy("field").agg(F.sum("docs").alias("n_docs"), F.sum("words").alias("words")).where("n_docs > 0")
     stats.select("field", "n_docs", (F.col("words") / F.col("n_docs")).alias("avg_len")).coalesce(1).write.parquet(f"{folder}/stats")
-    lists = counted.groupBy("department_id", "shard", "field", "term").agg(F.sort_array(F.collect_list(F.struct("row", "tf", "length"))).alias("postings"))
+    # The only shuffle of postings: dealt as they are stored, so that lists are joined and laid out where they are.
+    dealt = partial.select("department_id", "shard", "field", "term", F.arrays_zip("row", "tf", "length").alias("some")).repartition(tasks, "department_id", "shard")
+    lists = dealt.groupBy("department_id", "shard", "field", "term").agg(F.sort_array(F.flatten(F.collect_list("some"))).alias("postings"))
     starts = F.sequence(F.lit(0), F.floor((F.size("postings") - 1) / block_rows).cast("int"))
     blocks = lists.select("department_id", "shard", "field", "term", F.posexplode(F.transform(starts, lambda i: F.slice("postings", i * block_rows + 1, block_rows))).alias("block", "p"))
     averages = F.broadcast(spark.read.parquet(f"{folder}/stats").select("field", "avg_len"))  # one row for each field
     k1, b = settings.bm25_k1, settings.bm25_b
     best = F.array_max(F.transform("p", lambda x: x["tf"] / (x["tf"] + k1 * (1 - b + b * x["length"] / F.col("avg_len")))))
     blocks = blocks.join(averages, "field").select("department_id", "shard", "field", "term", "block", F.col("p.row").alias("rows"), F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths"), best.alias("best"))
-    laid_out = blocks.repartition(tasks, "department_id", "shard").sortWithinPartitions("department_id", "term", "field", "shard", "block")
+    laid_out = blocks.sortWithinPartitions("department_id", "term", "field", "shard", "block")
     laid_out.write.option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.page.size", 1 << 15).partitionBy("department_id").parquet(f"{folder}/blocks")
     df = spark.read.parquet(f"{folder}/blocks").select("field", "term", F.size("rows").alias("n")).groupBy("field", "term").agg(F.sum("n").alias("df"))
     df.repartitionByRange("term").sortWithinPartitions("term").write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{folder}/terms")

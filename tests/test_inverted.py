@@ -84,3 +84,18 @@ def test_blocks_below_the_bar_are_passed_over():
     order = np.lexsort((np.arange(len(plain)), -np.round(plain, 9)))[:10]
     assert (np.lexsort((np.arange(len(best)), -np.round(best, 9)))[:10] == order).all() and np.allclose(best[order], plain[order], atol=1e-12)
     assert full.skipped == 0 and pruned.skipped > 0.5 * full.read
+
+
+def test_postings_leave_a_task_as_lists(spark):
+    """One row for each key that a task holds, not one for each posting, and the sums that the averages need."""
+    batches = [
+        pa.RecordBatch.from_pydict({"department_id": ["a", "a"], "shard": [0, 0], "row": [low, low + 1], "title": [["x"], []], "text": [["x", "y", "x"], ["y"]]}, schema=pa.schema(
+            [("department_id", pa.string()), ("shard", pa.int32()), ("row", pa.int64()), ("title", pa.list_(pa.string())), ("text", pa.list_(pa.string()))]
+        ))
+        for low in (0, 2)
+    ]
+    made = pa.Table.from_batches(list(inverted._partial_lists([0, 1])(iter(batches)))).to_pylist()
+    lists = {(r["field"], r["term"]): list(zip(r["row"], r["tf"], r["length"])) for r in made}
+    assert len(made) == 3
+    assert lists == {(0, "x"): [(0, 1, 1), (2, 1, 1)], (1, "x"): [(0, 2, 3), (2, 2, 3)], (1, "y"): [(0, 1, 3), (1, 1, 1), (2, 1, 3), (3, 1, 1)]}
+    assert [(sum(r["docs"] for r in made if r["field"] == f), sum(r["words"] for r in made if r["field"] == f)) for f in (0, 1)] == [(2, 2), (4, 8)]
