@@ -20,6 +20,7 @@ from docloom.settings import DEFAULTS, Settings
 # Searched fields with their boosts. A row scores its best field.
 FIELDS = (("title", 3.0), ("text", 1.0), ("cjk", 1.0), ("heading", 2.0))
 SMALL_QUERY_SET = 2_000
+SMALL_KEYS = 100_000  # keys of searched words that may go to every task
 
 
 def is_small(df: DataFrame, rows: int) -> bool:
@@ -68,13 +69,18 @@ def fuzzy_terms(words: DataFrame, asked: DataFrame) -> DataFrame:
     """``(asked, term, distance)``: every vocabulary word within the automatic edit distance.
 
     Both sides have one string column. Matches meet on a shared piece of the word (an equi-join), then
-    the true distance decides.
+    the true distance decides. A vocabulary is passed over where it lies while the searched words' keys are few, else both sides are
+    dealt by key.
     """
     left = asked.toDF("asked").distinct()
-    right = words.toDF("term").distinct()
-    left_keys = left.withColumn("limit", auto_distance(F.col("asked"))).select(
-        "asked", "limit", F.explode(probe_keys(F.col("asked"), F.col("limit"))).alias("key")
+    right = words.toDF("term")
+    left_keys = cut_lineage(
+        left.withColumn("limit", auto_distance(F.col("asked"))).select("asked", "limit", F.explode(probe_keys(F.col("asked"), F.col("limit"))).alias("key"))
     )
+    if is_small(left_keys, SMALL_KEYS):
+        left_keys = F.broadcast(left_keys)  # checked: at most SMALL_KEYS pieces of words
+    else:
+        right = right.distinct()
     right_keys = right.select("term", F.explode(segment_keys(F.col("term"))).alias("key"))
     matched = left_keys.join(right_keys, "key").where(within_edits(F.col("asked"), F.col("term"), F.col("limit")))
     return matched.select("asked", "term", F.levenshtein("asked", "term").alias("distance")).distinct()

@@ -134,3 +134,13 @@ def test_highlight(spark):
         retrieval.highlight(F.lit("Before. Leave, the rules of leaves"), terms, 20).alias("h"), retrieval.highlight(F.lit("none"), terms, 20).alias("n")
     ).first()
     assert made["h"] == "<mark>Leave</mark>, the <mark>rules</mark> of " and made["n"] is None
+
+
+def test_near_words_leave_the_vocabulary_where_it_lies(spark):
+    words = spark.createDataFrame([(w,) for w in ("there", "their", "then", "mint", "meant", "meant")], "term string")
+    asked = spark.createDataFrame([("ther",), ("meant",)], "asked string")
+    near = retrieval.fuzzy_terms(words, asked)
+    assert {(r.asked, r.term, r.distance) for r in near.collect()} == {("ther", "there", 1), ("ther", "their", 1), ("ther", "then", 1), ("meant", "meant", 0)}
+    assert near.count() == 4
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
