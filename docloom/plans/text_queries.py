@@ -313,8 +313,12 @@ SELECT doc_id, md5(string_agg('[' || i || ']' || chr(10) || substr(t, 1, CAST(ro
 def context_budget(spark, folder):
     lines = F.split("text", "\n")
     packed = documents(spark, folder).select("doc_id", numbered_sections(lines, 1000).alias("s"), lines.alias("l"))
-    before = F.transform("l", lambda x, i: F.length(F.array_join(F.transform(F.slice("l", F.lit(1), i), strip), "")))
-    return packed.select("doc_id", F.md5(F.col("s").cast("binary")).alias("sections_hash"), F.size(F.filter(before, lambda n: n < 1000)).cast("long").alias("n_sections"))
+    used = F.struct(F.lit(0).alias("sections"), F.lit(0).alias("chars"))
+    counted = F.aggregate(
+        "l", used,
+        lambda done, x: F.struct((done["sections"] + (done["chars"] < 1000).cast("int")).alias("sections"), (done["chars"] + F.length(strip(x))).alias("chars")),
+    )
+    return packed.select("doc_id", F.md5(F.col("s").cast("binary")).alias("sections_hash"), counted["sections"].cast("long").alias("n_sections"))
 
 
 @register(

@@ -143,3 +143,16 @@ def test_embedding_rule():
     assert vector[0][h % 1000] != 0 and (vector[0][h % 1000] > 0) == bool((h >> 64) & 1)
     assert vector[1][int(hashlib.md5(b"").hexdigest(), 16) % 1000] == 1.0
     assert abs((vector[0] ** 2).sum() - 1) < 1e-9
+
+
+def test_context_budget_is_linear_in_the_lines(spark, tmp_path):
+    """Counting the sections of a document took every line as often as it has lines after it: minutes for these rows."""
+    from time import monotonic
+
+    from docloom.plans import QUERIES
+
+    rows = [(1, "\n".join([" a "] * 20_000)), (2, "x" * 999 + "\ny\n\nz"), (3, "\n\n"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    started = monotonic()
+    got = {r.doc_id: r.n_sections for r in QUERIES["context_budget"](spark, str(tmp_path)).collect()}
+    assert {k: got[k] for k in (1, 2, 3)} == {1: 1000, 2: 2, 3: 3} and monotonic() - started < 60
