@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState
@@ -24,16 +25,22 @@ def job_transitions(outcomes: DataFrame, settings: Settings = DEFAULTS) -> DataF
     most = settings.job_max_attempts
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # Most keys have a few outcomes in a batch, so plain arrays count: every pandas operation would cost more than the work itself.
         failures = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["updated_at", "job_id"])
-        attempts = failures + (rows["status"] == "failed").cumsum()
-        retried = (rows["status"] == "failed") & (attempts < most)
-        delay = pd.to_timedelta(2.0 ** attempts.clip(upper=most), unit="s")
-        state.update((int(attempts.iloc[-1]),))
+        parts = list(batches)
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts)
+        jobs, times = rows["job_id"].to_numpy(), rows["updated_at"].to_numpy()
+        order = np.lexsort((jobs, times))
+        status, times = rows["status"].to_numpy(dtype=object)[order], times[order]
+        failed = np.array([value == "failed" for value in status], dtype=bool)
+        attempts = failures + np.cumsum(failed)
+        retried = failed & (attempts < most)
+        delay = (2 ** np.minimum(attempts, most)).astype("timedelta64[s]")
+        state.update((int(attempts[-1]),))
         yield pd.DataFrame(
             {
-                "document_id": key[0], "stage": key[1], "job_id": rows["job_id"], "attempt": attempts.astype("int32"),
-                "status": rows["status"].where(~retried, "queued"), "retry_at": (rows["updated_at"] + delay).where(retried),
+                "document_id": key[0], "stage": key[1], "job_id": jobs[order], "attempt": attempts.astype("int32"),
+                "status": np.where(retried, "queued", status), "retry_at": np.where(retried, times + delay, np.datetime64("NaT")),
             }
         )
 
