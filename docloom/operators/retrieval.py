@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions.skew import top_per_key
-from docloom.functions.text import auto_distance, cjk_terms, collapse, normalize, probe_keys, segment_keys, standard_terms, within_edits
+from docloom.functions.text import HAN, auto_distance, cjk_terms, collapse, normalize, probe_keys, segment_keys, standard_terms, within_edits
 from docloom.functions.vectors import hash_embedder, mean_vectors
 from docloom.operators.access import Filters, readable, search_filter
-from docloom.operators.topk import batch_topk, bm25_queries, cosine_queries
+from docloom.operators.topk import _collect_bounded, batch_topk, bm25_cells, bm25_queries, cosine_queries, count_cells
 from docloom.session import cut_lineage
 from docloom.settings import DEFAULTS, Settings
 
@@ -28,15 +28,19 @@ def is_small(df: DataFrame, rows: int) -> bool:
 
 
 def analyze_index(index: DataFrame) -> DataFrame:
-    """Add the term arrays of every searched field."""
-    return index.withColumns(
+    """Add the term arrays of every searched field.
+
+    Without an ideograph both readings of a text give the same terms, which are then made once.
+    """
+    analyzed = index.withColumns(
         {
             "terms_title": standard_terms(F.coalesce("title", F.lit(""))),
             "terms_text": standard_terms(F.col("text")),
-            "terms_cjk": cjk_terms(F.col("text")),
             "terms_heading": standard_terms(F.array_join("heading_path", " ")),
         }
     )
+    analyzed = analyzed.withColumn("terms_cjk", F.when(F.col("text").rlike(HAN), cjk_terms(F.col("text"))).otherwise(F.col("terms_text")))
+    return analyzed.select(*index.columns, *[f"terms_{name}" for name, _ in FIELDS])
 
 
 def field_statistics(analyzed: DataFrame) -> DataFrame:
@@ -92,33 +96,67 @@ def term_weights(analyzed: DataFrame, queries: DataFrame, fuzzy: bool = False) -
     With ``fuzzy`` every near spelling counts too, scaled by ``1 - edits / shorter length``.
     """
     asked = query_terms(queries)
-    words = vocabulary(analyzed)
-    if fuzzy:
-        near = fuzzy_terms(words.select("term"), asked.select("term"))
-        closeness = 1 - F.col("distance") / F.least(F.length("asked"), F.length("term"))
-        asked = (
-            asked.withColumnRenamed("term", "asked")
-            .join(near, "asked")
-            .withColumn("qtf", F.col("qtf") * closeness)
-            .groupBy("query_id", "field", "term")
-            .agg(F.sum("qtf").alias("qtf"))
-        )
+    return _all_weights(analyzed, near_terms(asked, distinct_words(analyzed)) if fuzzy else asked)
+
+
+def _all_weights(analyzed: DataFrame, asked: DataFrame) -> DataFrame:
+    """Weights of ``asked`` by the counts of the whole vocabulary."""
+    return _weighted(asked.join(vocabulary(analyzed), ["field", "term"]), field_statistics(analyzed)).select("query_id", "field", "term", "weight", "avg_len")
+
+
+def near_terms(asked: DataFrame, words: DataFrame) -> DataFrame:
+    """``asked`` with every near spelling among ``words`` in place of its terms."""
+    near = fuzzy_terms(words, asked.select("term"))
+    closeness = 1 - F.col("distance") / F.least(F.length("asked"), F.length("term"))
+    widened = asked.withColumnRenamed("term", "asked").join(near, "asked").withColumn("qtf", F.col("qtf") * closeness)
+    return widened.groupBy("query_id", "field", "term").agg(F.sum("qtf").alias("qtf"))
+
+
+def _weighted(found: DataFrame, statistics: DataFrame) -> DataFrame:
+    """Add ``weight`` and ``avg_len`` to ``(field, qtf, df)``."""
     boosts = F.element_at(F.array(*[F.lit(boost) for _, boost in FIELDS]), F.col("field") + 1)
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return (
-        asked.join(words, ["field", "term"])
-        .join(F.broadcast(field_statistics(analyzed)), "field")  # one row per field, never more
-        .select("query_id", "field", "term", (boosts * F.col("qtf") * idf).alias("weight"), F.col("avg_len").alias("avg_len"))
-    )
+    # One row per field, never more.
+    return found.join(F.broadcast(statistics), "field").withColumn("weight", boosts * F.col("qtf") * idf)
+
+
+def distinct_words(analyzed: DataFrame) -> DataFrame:
+    """The words of all fields, once each."""
+    same = F.col("terms_cjk") == F.col("terms_text")
+    fields = [F.when(same, F.array().cast("array<string>")).otherwise(F.col("terms_cjk")) if name == "cjk" else F.col(f"terms_{name}") for name, _ in FIELDS]
+    return analyzed.select(F.explode(F.array_distinct(F.concat(*fields))).alias("term")).distinct()
 
 
 def lexical_topk(
     analyzed: DataFrame, visible: Column, queries: DataFrame, k: int, fuzzy: bool = False, settings: Settings = DEFAULTS, key: str | Column = "chunk_id"
 ) -> DataFrame:
-    """BM25 over all fields; statistics cover the whole index, results only its visible rows. ``key`` names the rows."""
-    corpus = analyzed.where(visible).select(key, *[f"terms_{name}" for name, _ in FIELDS])
-    weights = term_weights(analyzed, queries, fuzzy)
-    return batch_topk(corpus, weights, bm25_queries(len(FIELDS), settings.bm25_k1, settings.bm25_b), k, 0.0, settings)
+    """BM25 over all fields; statistics cover the whole index, results only its visible rows. ``key`` names the rows.
+
+    While the asked terms may be sent to every task, texts are cut into terms once: what a row holds of the asked terms is
+    written as small counts, from which document frequencies, lengths and scores are read.
+    """
+    asked = query_terms(queries)
+    if fuzzy:
+        analyzed = cut_lineage(analyzed.select(key if isinstance(key, Column) else F.col(key), visible.alias("_visible"), *[f"terms_{name}" for name, _ in FIELDS]))
+        asked = cut_lineage(near_terms(asked, distinct_words(analyzed)))
+        key, visible = analyzed.columns[0], F.col("_visible")
+    shipped = _collect_bounded(asked, settings)
+    if shipped is None:
+        corpus = analyzed.where(visible).select(key, *[f"terms_{name}" for name, _ in FIELDS])
+        return batch_topk(corpus, _all_weights(analyzed, asked), bm25_queries(len(FIELDS), settings.bm25_k1, settings.bm25_b), k, 0.0, settings)
+
+    rows = analyzed.select(key if isinstance(key, Column) else F.col(key), F.coalesce(visible, F.lit(False)).alias("_visible"), *[f"terms_{name}" for name, _ in FIELDS])
+    terms = sorted(set(shipped.column("term").to_pylist()))
+    counted = cut_lineage(count_cells(rows, terms, len(FIELDS)))
+    frequencies = counted.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("df"))
+    parts = [F.struct(F.lit(i).alias("field"), F.col("lengths")[i].alias("length")) for i in range(len(FIELDS))]
+    lengths = counted.select(F.explode(F.array(*parts)).alias("p")).select("p.field", "p.length").where("length > 0")
+    statistics = lengths.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_len"))
+    numbered = asked.sparkSession.createDataFrame(list(enumerate(terms)), "slot int, term string")
+    cells = asked.join(numbered, "term").withColumn("cell", F.col("field") * len(terms) + F.col("slot"))
+    weights = _weighted(cells.join(frequencies, "cell"), statistics).select("query_id", "field", "cell", "weight", "avg_len")
+    corpus = counted.where("_visible AND size(cells) > 0").drop("_visible")
+    return batch_topk(corpus, weights, bm25_cells(len(FIELDS), len(terms), settings.bm25_k1, settings.bm25_b), k, 0.0, settings)
 
 
 def vector_topk(index: DataFrame, visible: Column, queries: DataFrame, k: int, settings: Settings = DEFAULTS, key: str | Column = "chunk_id") -> DataFrame:

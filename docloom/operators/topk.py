@@ -251,3 +251,107 @@ def bm25_queries(fields: int, k1: float, b: float) -> Callable[[pa.Table], tuple
         return names, scorer
 
     return prepare
+
+
+def count_cells(rows: DataFrame, terms: list[str], fields: int) -> DataFrame:
+    """``(id, visible, lengths, cells, counts)`` from rows ``(id, visible, terms of field 0, ...)``: how long each field is and how often it holds each of ``terms``.
+
+    A cell is field x number of terms + place of the term.
+    """
+    names = rows.columns[:2]
+    output = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names) + ", lengths array<int>, cells array<int>, counts array<int>"
+    schema = arrow_schema(output)
+    shared = rows.sparkSession.sparkContext.broadcast(terms)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = pa.array(shared.value, pa.string())
+        width = len(vocabulary)
+        span = max(1, fields * width)
+        for batch in batches:
+            lengths = np.zeros((batch.num_rows, fields), dtype=np.int32)
+            places = []
+            for f in range(fields):
+                lengths[:, f], values = _flat(batch.column(2 + f))
+                slots = pc.index_in(values, value_set=vocabulary)
+                known = pc.is_valid(slots).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(batch.num_rows, dtype=np.int64), lengths[:, f])[known]
+                places.append(row * span + f * width + pc.drop_null(slots).to_numpy(zero_copy_only=False))
+            found, counts = np.unique(np.concatenate(places), return_counts=True)
+            ends = np.searchsorted(found, np.arange(batch.num_rows + 1, dtype=np.int64) * span).astype(np.int32)
+            arrays = [
+                pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * fields), pa.array(lengths.ravel())),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array((found % span).astype(np.int32))),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(counts.astype(np.int32))),
+            ]
+            kept = [batch.column(i).cast(schema.field(i).type) for i in range(2)]
+            yield pa.RecordBatch.from_arrays(kept + [a.cast(schema.field(2 + i).type) for i, a in enumerate(arrays)], schema=schema)
+
+    return rows.mapInArrow(count, output)
+
+
+def bm25_cells(fields: int, width: int, k1: float, b: float) -> Callable[[pa.Table], tuple[list[Any], Scorer]]:
+    """Queries as ``(query_id, field, cell, weight, average_length)``; corpus as ``(id, lengths, cells, counts)`` of `count_cells` over ``width`` terms.
+
+    Scores like `bm25_queries`. A field that holds the same as the one before it under the same weights is not scored again.
+    """
+
+    def prepare(table: pa.Table) -> tuple[list[Any], Scorer]:
+        names = sorted(set(table.column(0).to_pylist()))
+        position = {name: i for i, name in enumerate(names)}
+        query = np.array([position[q] for q in table.column(0).to_pylist()], dtype=np.int64)
+        field = table.column(1).to_numpy()
+        cell = table.column(2).to_numpy()
+        weight = table.column(3).to_numpy()
+        average = table.column(4).to_numpy()
+        plans: dict[int, list[tuple]] = {f: [] for f in range(fields)}
+        for f in range(fields):
+            for start in range(0, len(names), QUERY_GROUP):
+                rows = np.flatnonzero((field == f) & (query >= start) & (query < start + QUERY_GROUP))
+                if not len(rows):
+                    continue
+                slots, inverse = np.unique(cell[rows] - f * width, return_inverse=True)
+                weights = np.zeros((len(slots), min(QUERY_GROUP, len(names) - start)))
+                np.add.at(weights, (inverse, query[rows] - start), weight[rows])
+                column = np.full(width, -1, dtype=np.int64)
+                column[slots] = np.arange(len(slots))
+                plans[f].append((start, column, weights, float(average[rows[0]])))
+
+        def alike(one: list[tuple], other: list[tuple]) -> bool:
+            return len(one) == len(other) and all(x[0] == y[0] and x[3] == y[3] and np.array_equal(x[1], y[1]) and np.array_equal(x[2], y[2]) for x, y in zip(one, other))
+
+        repeats = [f > 0 and alike(plans[f], plans[f - 1]) for f in range(fields)]
+
+        def scorer(part: pa.Table) -> np.ndarray:
+            best = np.zeros((part.num_rows, len(names)))
+            lengths = _flat(part.column(1))[1].to_numpy(zero_copy_only=False).reshape(part.num_rows, fields)
+            sizes, values = _flat(part.column(2))
+            cells = values.to_numpy(zero_copy_only=False)
+            counts = _flat(part.column(3))[1].to_numpy(zero_copy_only=False)
+            rows = np.repeat(np.arange(part.num_rows), sizes)
+            owner = cells // width
+            before: tuple[np.ndarray, ...] | None = None
+            for f in range(fields):
+                inside = owner == f
+                held = (lengths[:, f], rows[inside], cells[inside] - f * width, counts[inside])
+                if before is not None and repeats[f] and all(np.array_equal(x, y) for x, y in zip(held, before)):
+                    continue
+                before = held
+                length, row, slot, count = held
+                for start, column, weights, average_length in plans[f]:
+                    scale = k1 * (1 - b + b * length / average_length)
+                    place = column[slot]
+                    step = max(1, DENSE_CELLS // len(weights))
+                    for low in range(0, part.num_rows, step):
+                        high = min(low + step, part.num_rows)
+                        cut = slice(np.searchsorted(row, low), np.searchsorted(row, high))
+                        asked = place[cut] >= 0
+                        r, c, n = row[cut][asked], place[cut][asked], count[cut][asked]
+                        saturated = np.zeros((high - low, len(weights)))
+                        saturated[r - low, c] = n / (n + scale[r])
+                        columns = slice(start, start + weights.shape[1])
+                        best[low:high, columns] = np.maximum(best[low:high, columns], saturated @ weights)
+            return best
+
+        return names, scorer
+
+    return prepare

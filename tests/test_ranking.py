@@ -144,3 +144,45 @@ def test_near_words_leave_the_vocabulary_where_it_lies(spark):
     assert near.count() == 4
     plan = near._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in plan
+
+
+def _mixed(spark):
+    texts = ["the red fox jumps", "会议记录 the fix", "red red bread 会议", "a fox in the box", "", "记录 of the reed", "the thee then fox"]
+    made = [(f"c{i}", i, 0, ["hr"], "hr", "sop", [], t[:7], t, "2024-01-01", ["part " + t[-3:]], 1, False, [1.0, float(i)]) for i, t in enumerate(texts)]
+    return spark.createDataFrame(made, INDEX), spark.createDataFrame([(0, "red fox"), (1, "会议记录"), (2, "teh foks reed"), (3, "missing")], "query_id int, query string")
+
+
+def test_counts_of_asked_terms_rank_like_whole_term_lists(spark):
+    rows, queries = _mixed(spark)
+    analyzed = retrieval.analyze_index(rows)
+    for fuzzy in (False, True):
+        short = retrieval.lexical_topk(analyzed, search_filter(["hr"]), queries, 3, fuzzy)
+        weights = retrieval.term_weights(analyzed, queries, fuzzy)
+        corpus = analyzed.select("chunk_id", *[f"terms_{name}" for name, _ in retrieval.FIELDS])
+        whole = batch_topk(corpus, weights, retrieval.bm25_queries(len(retrieval.FIELDS), DEFAULTS.bm25_k1, DEFAULTS.bm25_b), 3, 0.0)
+        found = sorted(map(tuple, short.collect()))
+        assert found == sorted(map(tuple, whole.collect())) and len({r[0] for r in found}) == 3
+
+
+def test_lexical_search_reads_texts_once(spark):
+    rows, queries = _mixed(spark)
+    for fuzzy in (False, True):
+        read = spark.sparkContext.accumulator(0)
+
+        @F.udf("string")
+        def counting(text):
+            read.add(1)
+            return text
+
+        analyzed = retrieval.analyze_index(rows.withColumn("text", counting("text")))
+        assert retrieval.lexical_topk(analyzed, search_filter(["hr"]), queries, 3, fuzzy).count()
+        assert read.value == rows.count()
+
+
+def test_hidden_rows_and_large_sets_give_the_same_with_near_spellings(spark):
+    rows, queries = _mixed(spark)
+    analyzed = retrieval.analyze_index(rows)
+    visible = F.col("document_id") > 1
+    plain = retrieval.lexical_topk(analyzed, visible, queries, 3, True)
+    blocks = retrieval.lexical_topk(analyzed, visible, queries, 3, True, replace(DEFAULTS, broadcast_query_rows=6, grid_cell_rows=2))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, blocks.collect())) and plain.count()
