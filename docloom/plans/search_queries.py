@@ -382,27 +382,9 @@ def eval_hit_rate(spark, folder):
 
 
 def planted(spark, folder):
-    """``(query_id, document_id, category)``: readable documents containing the whole passage.
-
-    Documents and passages meet on the passage's first eight words, or all words of a shorter one, an equi-join; the full text decides.
-    """
-    head = 8
-    words = F.split(F.col("text"), r"\s+")
-    passages = table(spark, folder, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.col("text").alias("passage"), F.array_join(F.slice(words, 1, head), " ").alias("key"), F.least(F.size(words), F.lit(head)).alias("span"),
-    )
-    spans = [r["span"] for r in passages.select("span").distinct().collect()]  # at most eight values
-    visible = catalogue(spark, folder).where(F.col("deleted_at").isNull() & F.col("department_id").isin(GROUPS))
-    split = visible.select("document_id", "text", F.split("text", r"\s+").alias("w"))
-    starts = F.sequence(F.lit(1), F.size("w"))
-
-    def windows_of(n):
-        return F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))
-
-    windows = [windows_of(n) for n in spans]
-    keyed = split.select("document_id", F.explode(F.array_distinct(F.concat(*windows) if windows else F.array().cast("array<string>"))).alias("key"))
-    pairs = keyed.join(passages, "key")
-    checked = pairs.join(visible.select("document_id", "text"), "document_id").where(F.contains("text", F.col("passage")))
+    """``(query_id, document_id, category)``: readable documents containing the whole passage."""
+    visible = catalogue(spark, folder).where(F.col("deleted_at").isNull() & F.col("department_id").isin(GROUPS)).select("document_id", "text")
+    checked = evaluation.containing(visible, table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")))
     category = F.when(F.length("passage") < 250, "short").otherwise("long")
     return checked.select("query_id", "document_id", category.alias("category")).distinct()
 
