@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from docloom.functions.skew import attach_per_key, top_per_key
-from docloom.functions.text import normalize
+from docloom.functions.vectors import md5
 from docloom.session import cut_lineage
 from docloom.operators.topk import arrow_schema, matrix
 from docloom.settings import DEFAULTS, Settings
 
 PRIME = 2_147_483_647
+BLOCK = 256  # shingles permuted together, so that the arrays stay in a core's cache
 
 
 def permutation(i: int) -> tuple[int, int]:
@@ -37,26 +38,61 @@ def permutation(i: int) -> tuple[int, int]:
     return first_bits(f"a{i}") % (PRIME - 1) + 1, first_bits(f"b{i}") % PRIME
 
 
-def minhash(permutations: int = DEFAULTS.minhash_perm, size: int = 5):
-    """UDF from normalised text to the signature of its word shingles; null for a text without words."""
-    factors = np.array([permutation(i) for i in range(permutations)], dtype=np.int64)
-    a, b = factors[:, :1], factors[:, 1:]
+def minhash(permutations: int = DEFAULTS.minhash_perm, size: int = 5, with_copy: bool = False):
+    """UDF from lower-cased text to the signature of its word shingles; null for a text without words.
 
-    def one(text: str | None) -> np.ndarray | None:
+    Words are parted here, at the blanks that `normalize` knows. With ``with_copy`` the outcome is ``(copy, signature)``, copy being the hash of the normalised text.
+    """
+    factors = np.array([permutation(i) for i in range(permutations)], dtype=np.uint64)
+    a, b = factors[:, :1], factors[:, 1:]
+    prime, shift = np.uint32(PRIME), np.uint64(31)
+
+    def lowest(hashes: np.ndarray, wide: np.ndarray, folded: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        least = np.full(permutations, PRIME, dtype=np.uint32)
+        for start in range(0, len(hashes), BLOCK):
+            part = hashes[start : start + BLOCK]
+            value, low, high = wide[:, : len(part)], folded[:, : len(part)], rest[:, : len(part)]
+            np.multiply(a, part, out=value)
+            value += b
+            # The remainder by 2^31 - 1: upper and lower 31 bits added, less the prime where that does not wrap.
+            low[...] = value
+            low &= prime
+            value >>= shift
+            high[...] = value
+            low += high
+            np.subtract(low, prime, out=high)
+            np.minimum(low, high, out=low)
+            np.minimum(least, low.min(axis=1), out=least)
+        return least.astype(np.int64)
+
+    def one(text: str | None, *room: np.ndarray) -> tuple[str | None, np.ndarray | None]:
         tokens = (text or "").split()
         if not tokens:
-            return None
-        grams = {" ".join(tokens[i : i + size]) for i in range(max(1, len(tokens) - size + 1))}
-        digests = b"".join(hashlib.md5(g.encode()).digest()[:4] for g in grams)
-        hashes = np.frombuffer(digests, dtype=">u4").astype(np.int64) % PRIME
-        lowest = np.full(permutations, PRIME, dtype=np.int64)
-        for start in range(0, len(hashes), 4096):
-            lowest = np.minimum(lowest, ((a * hashes[start : start + 4096] + b) % PRIME).min(axis=1))
-        return lowest
-
-    @F.pandas_udf(ArrayType(LongType()))
-    def signature(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
+            return None, None
+        data = " ".join(tokens).encode()
+        spaces = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 32)
+        starts, ends = [0, *(spaces + 1).tolist()], [*spaces.tolist(), len(data)]
+        grams = {data[start:end] for start, end in zip(starts, ends[min(size, len(tokens)) - 1 :])}
+        digests = b"".join([md5(g).digest() for g in grams])
+        copy = hashlib.sha256(data).hexdigest() if with_copy else None
+        return copy, lowest(np.frombuffer(digests, dtype=">u4")[::4].astype(np.uint64) % np.uint64(PRIME), *room)
+
+    def signed(texts: pd.Series) -> list[tuple[str | None, np.ndarray | None]]:
+        room = [np.empty((permutations, BLOCK), dtype=t) for t in (np.uint64, np.uint32, np.uint32)]
+        return [one(text, *room) for text in texts]
+
+    if with_copy:
+
+        @F.pandas_udf("copy string, signature array<bigint>")
+        def signature(texts: pd.Series) -> pd.DataFrame:
+            copies, signatures = zip(*signed(texts)) if len(texts) else ((), ())
+            return pd.DataFrame({"copy": pd.Series(copies, dtype=object), "signature": pd.Series(signatures, dtype=object)})
+
+    else:
+
+        @F.pandas_udf(ArrayType(LongType()))
+        def signature(texts: pd.Series) -> pd.Series:
+            return pd.Series([s for _, s in signed(texts)], dtype=object)
 
     # Keeps the planner from evaluating it again inside later expressions.
     return signature.asNondeterministic()
@@ -64,7 +100,7 @@ def minhash(permutations: int = DEFAULTS.minhash_perm, size: int = 5):
 
 def with_signatures(documents: DataFrame, text: str = "text", settings: Settings = DEFAULTS) -> DataFrame:
     """Add ``signature``; documents without any word have none and can never match."""
-    return documents.withColumn("signature", minhash(settings.minhash_perm)(normalize(F.col(text))))
+    return documents.withColumn("signature", minhash(settings.minhash_perm)(F.lower(F.col(text))))
 
 
 def bands(signature: Column, settings: Settings = DEFAULTS) -> Column:
@@ -199,11 +235,8 @@ def duplicate_tiers(
     key_type = documents.schema[key].dataType.simpleString()
     vector_column = F.col(vector).cast("array<double>") if vector else F.lit(None).cast("array<double>")
     # The only pass over the texts, without a shuffle; everything below works on keys, hashes and signatures.
-    keyed = cut_lineage(
-        with_signatures(documents, text, settings).select(
-            key, F.sha2(normalize(F.col(text)).cast("binary"), 256).alias("_copy"), "signature", vector_column.alias("vector")
-        )
-    )
+    signed = documents.select(key, minhash(settings.minhash_perm, with_copy=True)(F.lower(F.col(text))).alias("s"), vector_column.alias("vector"))
+    keyed = cut_lineage(signed.select(key, F.col("s.copy").alias("_copy"), F.col("s.signature").alias("signature"), "vector"))
     wordy = keyed.where(F.col("signature").isNotNull())
     firsts = wordy.groupBy("_copy").agg(F.min(key).alias(key))
     units = cut_lineage(wordy.join(firsts, ["_copy", key], "left_semi").select(F.col(key).alias("unit"), "_copy", "signature", "vector"))

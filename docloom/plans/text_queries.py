@@ -73,7 +73,7 @@ def shingle_sets(spark, folder):
 
 @register("minhash_signatures", f"WITH {sqltext.MINHASH} SELECT doc_id, md5(array_to_string(sig, ',')) AS signature_hash, sig[1] AS first_value, sig[128] AS last_value FROM sigs")
 def minhash_signatures(spark, folder):
-    signed = dedup.with_signatures(documents(spark, folder).where(F.size(words(F.col("text"))) > 0))
+    signed = dedup.with_signatures(documents(spark, folder)).where(F.col("signature").isNotNull())
     joined = F.array_join(F.col("signature").cast("array<string>"), ",")
     return signed.select(
         "doc_id", F.md5(joined.cast("binary")).alias("signature_hash"), F.element_at("signature", 1).alias("first_value"),

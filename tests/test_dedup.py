@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.functions.text import normalize
 from docloom.operators import dedup
 from docloom.settings import DEFAULTS
 
@@ -81,3 +82,26 @@ def test_exact_duplicates(spark):
 def test_similarity(spark):
     value = lambda a, b: spark.range(1).select(dedup.signature_similarity(F.lit(a), F.lit(b)).alias("x")).first()["x"]
     assert value([1, 2, 3, 4], [1, 2, 0, 4]) == 0.75 and value([1], [1, 2]) == 0.0
+
+
+def _plain_signature(text):
+    import hashlib
+
+    words = text.split()
+    grams = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    hashes = [int(hashlib.md5(g.encode()).hexdigest()[:8], 16) % dedup.PRIME for g in grams]
+    return [min((a * h + b) % dedup.PRIME for h in hashes) for a, b in map(dedup.permutation, range(128))] if words else None
+
+
+def test_signatures_equal_the_plain_rule_for_any_blanks_and_lengths(spark):
+    texts = ["", " 　\x1c ", "One", "a b\tc  d", "a\x85b\xa0c d e F", "É ß ΑΣ ΑΣ İ 会议 x\x1fy", " ".join(str(i % 700) for i in range(1500))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").select("doc_id", "text", normalize(F.col("text")).alias("n"))
+    for r in dedup.with_signatures(rows).collect():
+        assert r["signature"] == _plain_signature(r["n"]), r["doc_id"]
+
+
+def test_texts_are_normalised_outside_the_plan(spark):
+    """The one pass over the texts lower-cases them and nothing more; blanks are parted where the shingles are made."""
+    rows = spark.createDataFrame([(1, "a b")], "doc_id int, text string")
+    plan = dedup.with_signatures(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lower" in plan and "regexp_replace" not in plan
