@@ -144,8 +144,9 @@ def exact_duplicates(documents: DataFrame, key: str = "document_id", content: st
 
 def _cell_members(units: DataFrame, settings: Settings) -> DataFrame:
     """Representatives spread over comparison cells ``(cell, low, high)`` of bounded size."""
-    rows = band_rows(units, "unit", settings)
-    stats = (
+    # Written once each, because counting, choosing and placing all read them.
+    rows = cut_lineage(band_rows(units, "unit", settings))
+    stats = cut_lineage(
         rows.groupBy("band", "bucket")
         .agg(
             F.count(F.lit(1)).alias("members"),
@@ -158,7 +159,7 @@ def _cell_members(units: DataFrame, settings: Settings) -> DataFrame:
     # Buckets holding exactly the same members lead to the same comparisons: keep one of them.
     once = stats.groupBy("members", "_sum", "_xor", "_xor2").agg(F.min(F.struct("band", "bucket")).alias("b")).select("b.band", "b.bucket", F.lit(True).alias("_visit"))
     # Every shared bucket stays in the facts, visited or not, so that none of the large ones is shuffled by key alone.
-    facts = stats.select("band", "bucket", "members").join(once, ["band", "bucket"], "left")
+    facts = cut_lineage(stats.select("band", "bucket", "members").join(once, ["band", "bucket"], "left"))
     members = attach_per_key(rows, facts, ["band", "bucket"], "members", "unit", settings.hot_key_share).where("_visit")
     blocks = F.ceil(F.col("members") / settings.dedup_block_rows).cast("int")
     own = F.pmod(F.xxhash64("unit"), blocks).cast("int")

@@ -105,3 +105,16 @@ def test_texts_are_normalised_outside_the_plan(spark):
     rows = spark.createDataFrame([(1, "a b")], "doc_id int, text string")
     plan = dedup.with_signatures(rows)._jdf.queryExecution().optimizedPlan().toString()
     assert "lower" in plan and "regexp_replace" not in plan
+
+
+def test_buckets_are_hashed_once(spark):
+    units = spark.createDataFrame([(i, [7] * 128) for i in range(6)], "unit long, signature array<long>")
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<long>")
+    def counting(signature):
+        read.add(1)
+        return signature
+
+    placed = dedup._cell_members(units.withColumn("signature", counting("signature")), DEFAULTS)
+    assert {r["unit"] for r in placed.collect()} == set(range(6)) and read.value == 6
