@@ -7,12 +7,13 @@ Only the clustering of one document's vectors runs in Python.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 from docloom.functions.citations import numbered_sections
 from docloom.functions.metadata import offline_summary
@@ -27,6 +28,8 @@ ROOT_PROMPT = "From these section summaries, describe the whole document in at m
 SINGLE_PROMPT = "Describe this document in at most 150 words of plain prose: purpose, key rules, dates.\n\n"
 MAX_COMPONENTS = 10
 FLOOR = 1e-5
+SIGN = np.int64(-(2**63))
+LEAST_LOG = -600.0  # of a weight: below any rounding, above the slow denormal numbers
 
 
 def _principal(data: np.ndarray) -> np.ndarray:
@@ -36,40 +39,95 @@ def _principal(data: np.ndarray) -> np.ndarray:
     return u[:, :keep] * s[:keep]
 
 
-def _start(data: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """Hard k-means memberships as a 0/1 matrix."""
+def _seeds(data: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++ centres; the first of them are those of every smaller k."""
     random = np.random.default_rng(seed)
-    centres = data[[random.integers(len(data))]]
-    while len(centres) < k:
-        gap = ((data[:, None] - centres) ** 2).sum(axis=2).min(axis=1)
-        pick = random.choice(len(data), p=gap / gap.sum()) if gap.sum() > 0 else random.integers(len(data))
-        centres = np.vstack([centres, data[pick]])
-    labels = None
-    for _ in range(100):
-        nearest = ((data[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
-        if labels is not None and (nearest == labels).all():
-            break
-        labels = nearest
-        centres = np.array([data[labels == c].mean(axis=0) if (labels == c).any() else centres[c] for c in range(k)])
-    return np.eye(k)[labels]
+    picks = [random.integers(len(data))]
+    gap = ((data - data[picks[0]]) ** 2).sum(axis=1)
+    while len(picks) < k:
+        total = gap.sum()
+        picks.append(random.choice(len(data), p=gap / total) if total > 0 else random.integers(len(data)))
+        gap = np.minimum(gap, ((data - data[picks[-1]]) ** 2).sum(axis=1))
+    return data[picks]
 
 
-def _mixture(data: np.ndarray, k: int, seed: int) -> tuple[float, np.ndarray]:
-    """(BIC, labels) of a diagonal Gaussian mixture fitted by expectation maximisation."""
+def _start(data: np.ndarray, sizes: range, seed: int) -> list[np.ndarray]:
+    """Hard k-means labels for every k, all moved on together."""
     n, d = data.shape
-    weight, before = _start(data, k, seed), -np.inf
+    seeds = _seeds(data, sizes[-1], seed)
+    centres = [seeds[:k] for k in sizes]
+    labels: list[np.ndarray | None] = [None] * len(sizes)
+    moving = list(range(len(sizes)))
     for _ in range(100):
-        mass = weight.sum(axis=0) + 10 * np.finfo(float).eps
-        means = weight.T @ data / mass[:, None]
-        spread = np.maximum(weight.T @ data**2 / mass[:, None] - means**2, 0) + FLOOR
-        logs = np.log(mass / mass.sum()) - 0.5 * (np.log(2 * np.pi * spread).sum(axis=1) + ((data[:, None] - means) ** 2 / spread).sum(axis=2))
-        top = logs.max(axis=1, keepdims=True)
-        total = top[:, 0] + np.log(np.exp(logs - top).sum(axis=1))
-        weight = np.exp(logs - total[:, None])
-        if abs(total.mean() - before) < 1e-3:
+        gaps = ((data - np.concatenate([centres[f] for f in moving])[:, None]) ** 2).sum(axis=2)
+        changed, flat, at = [], [], 0
+        for f in moving:
+            nearest = gaps[at : at + sizes[f]].argmin(axis=0)
+            if labels[f] is None or (nearest != labels[f]).any():
+                flat.append(nearest + sum(sizes[g] for g in changed))
+                labels[f] = nearest
+                changed.append(f)
+            at += sizes[f]
+        moving = changed
+        if not moving:
             break
-        before = total.mean()
-    return -2 * total.sum() + (2 * k * d + k - 1) * np.log(n), weight.argmax(axis=1)
+        owner, slots = np.concatenate(flat), sum(sizes[f] for f in moving)
+        count = np.bincount(owner, minlength=slots)[:, None]
+        places = (owner[:, None] * d + np.arange(d)).ravel()
+        sums = np.bincount(places, weights=np.tile(data, (len(moving), 1)).ravel(), minlength=slots * d).reshape(slots, d)
+        moved = np.where(count > 0, sums / np.maximum(count, 1), np.concatenate([centres[f] for f in moving]))
+        for f, part in zip(moving, np.split(moved, np.cumsum([sizes[f] for f in moving])[:-1])):
+            centres[f] = part
+    return labels
+
+
+def _mixtures(data: np.ndarray, sizes: range, seed: int) -> list[tuple[float, np.ndarray]]:
+    """(BIC, labels) of a diagonal Gaussian mixture for every k, fitted by expectation maximisation.
+
+    The components of all fits are rows of the same matrices; a fit leaves them once it is done.
+    """
+    n, d = data.shape
+    powers = np.hstack([data, data**2, np.ones((n, 1))])
+    across = np.ascontiguousarray(powers.T)
+    fits, parts = np.arange(len(sizes)), np.array(sizes)
+    first, owner = np.cumsum(parts) - parts, np.repeat(fits, parts)
+    weight = np.concatenate([np.arange(k)[:, None] == label for k, label in zip(sizes, _start(data, sizes, seed))]).astype(float)
+    before = np.full(len(sizes), -np.inf)
+    found: list[tuple[float, np.ndarray]] = [(np.inf, np.zeros(n, int))] * len(sizes)
+    for step in range(100):
+        moments = weight @ powers
+        mass = moments[:, -1] + 10 * np.finfo(float).eps
+        moments /= mass[:, None]
+        means = moments[:, :d]
+        spread = np.maximum(moments[:, d:-1] - means * means, 0)
+        spread += FLOOR
+        # log density = moments (first and second) of the point times these, and what does not depend on the point
+        factors = np.empty_like(moments)
+        np.divide(means, spread, out=factors[:, :d])
+        np.divide(-0.5, spread, out=factors[:, d:-1])
+        share = mass / np.add.reduceat(mass, first).take(owner)
+        factors[:, -1] = np.log(share / np.sqrt(np.multiply.reduce(2 * np.pi * spread, axis=1))) - 0.5 * np.einsum("ij,ij->i", means, factors[:, :d])
+        logs = factors @ across
+        top = np.maximum.reduceat(logs, first, axis=0)
+        logs -= top.take(owner, axis=0)
+        np.maximum(logs, LEAST_LOG, out=logs)
+        weight = np.exp(logs, out=logs)
+        sums = np.add.reduceat(weight, first, axis=0)
+        weight /= sums.take(owner, axis=0)
+        total = top + np.log(sums)
+        level = np.add.reduce(total, axis=1) / n
+        done = (np.abs(level - before) < 1e-3) | (step == 99)
+        if done.any():
+            for i in np.flatnonzero(done).tolist():
+                k = int(parts[i])
+                bic = -2 * total[i].sum() + (2 * k * d + k - 1) * np.log(n)
+                found[fits[i]] = (bic, weight[first[i] : first[i] + k].argmax(axis=0))
+            if done.all():
+                break
+            weight, parts, fits, level = weight[~done[owner]], parts[~done], fits[~done], level[~done]
+            first, owner = np.cumsum(parts) - parts, np.repeat(np.arange(len(parts)), parts)
+        before = level
+    return found
 
 
 def cluster(vectors: list, largest: int = DEFAULTS.tree_max_clusters, seed: int = 0) -> list[list[int]]:
@@ -79,16 +137,44 @@ def cluster(vectors: list, largest: int = DEFAULTS.tree_max_clusters, seed: int
         return [list(range(count))] if count else []
     data = _principal(np.array([np.asarray(v, dtype=float) for v in vectors]))
     upper = max(2, min(largest, count // 3 or 2, count - 1))
-    labels = min((_mixture(data, k, seed) for k in range(2, upper + 1)), key=lambda fit: fit[0])[1]
+    labels = min(_mixtures(data, range(2, upper + 1), seed), key=lambda fit: fit[0])[1]
     groups: dict[int, list[int]] = {}
     for index, label in enumerate(labels.tolist()):
         groups.setdefault(label, []).append(index)
     return list(groups.values())
 
 
+def _packed(vectors: list) -> list[bytes | None]:
+    """Vectors as bytes that sort like the numbers; Spark copies them whole and not number by number."""
+    rows = [None if v is None else np.asarray(v, dtype=float) for v in vectors]
+    bits = (np.concatenate([r for r in rows if r is not None] or [np.empty(0)]) + 0.0).view(np.int64)
+    flat = np.where(bits < 0, ~bits, bits ^ SIGN).astype(">i8").tobytes()
+    ends = accumulate(0 if r is None else 8 * len(r) for r in rows)
+    return [None if r is None else flat[end - 8 * len(r) : end] for r, end in zip(rows, ends)]
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    bits = np.frombuffer(packed, dtype=">i8").astype(np.int64)
+    return np.where(bits < 0, bits ^ SIGN, ~bits).view(float)
+
+
+@F.pandas_udf(BinaryType())
+def pack_vectors(vectors: pd.Series) -> pd.Series:
+    return pd.Series(_packed(vectors.tolist()), dtype=object)
+
+
 @F.pandas_udf(ArrayType(ArrayType(IntegerType())))
 def cluster_groups(layers: pd.Series) -> pd.Series:
-    return layers.map(lambda vectors: cluster(list(vectors)) if vectors is not None else None)
+    read = lambda layer: [None if v is None else _unpacked(v) for v in layer]
+    return layers.map(lambda layer: cluster(read(layer)) if layer is not None else None)
+
+
+def _layers(entries: DataFrame, position: str, name: str, text: str) -> DataFrame:
+    """``(document_id, layer)``: what one level of a tree is built from, in order."""
+    vector = pack_vectors(F.col("embedding").cast("array<double>"))
+    entry = F.struct(F.col(position).alias("ord"), F.col(name).alias("id"), F.col(text).alias("text"), vector.alias("vector"))
+    packed = entries.select("document_id", entry.alias("entry"))
+    return packed.groupBy("document_id").agg(F.array_sort(F.collect_list("entry")).alias("layer"))
 
 
 def node_id(document_id: Column, level: Column, children: Column) -> Column:
@@ -110,23 +196,28 @@ def build_tree(
 ) -> DataFrame:
     """Nodes of every document's tree from ``(document_id, chunk_id, ord, text, embedding)``."""
     embed = embed or hash_embedder(settings.embed_dim)
-    entry = F.struct("ord", F.col("chunk_id").alias("id"), "text", "embedding")
-    layer = chunks.groupBy("document_id").agg(F.array_sort(F.collect_list(entry)).alias("layer"))
+    layer = _layers(chunks, "ord", "chunk_id", "text")
     levels = []
     for level in range(1, settings.tree_max_depth + 1):
         last = level == settings.tree_max_depth
-        count = F.size("layer")
+        count = F.size("ids")
         small = (count <= settings.tree_small_doc_chunks) if level == 1 else F.lit(False)
-        vectors = F.transform("layer", lambda e: e["embedding"].cast("array<double>"))
-        grouped = layer.withColumn("groups", F.lit(None).cast("array<array<int>>") if last else cluster_groups(F.when(~small, vectors)))
+        vectors = F.transform("layer", lambda e: e["vector"])
+        clustered = F.size("layer") > settings.tree_small_doc_chunks if level == 1 else F.lit(True)
+        groups = F.lit(None).cast("array<array<int>>") if last else cluster_groups(F.when(clustered, vectors))
+        # each group takes a copy of the ids and texts along; the vectors stay behind
+        grouped = layer.select(
+            "document_id", F.transform("layer", lambda e: e["id"]).alias("ids"), F.transform("layer", lambda e: e["text"]).alias("texts"), groups.alias("groups")
+        )
         whole = F.array(F.sequence(F.lit(0), count - 1))
         final = F.lit(True) if last else (small | (F.size("groups") <= 1) | (F.size("groups") >= count))
         kind = F.when(final, F.when(small if not last or level == 1 else F.lit(False), "single").otherwise("root")).otherwise("cluster")
-        rows = grouped.withColumn("kind", kind).select(
-            "document_id", "kind", "layer", F.posexplode(F.when(final, whole).otherwise(F.col("groups"))).alias("position", "members")
+        # not a plain column of groups: Spark would ask for its size first, and cluster a second time for that
+        rows = grouped.select(
+            "document_id", kind.alias("kind"), "ids", "texts", F.posexplode(F.when(final, whole).otherwise(F.col("groups"))).alias("position", "members")
         )
-        children = F.transform("members", lambda i: F.element_at("layer", i + 1)["id"])
-        texts = F.transform("members", lambda i: F.element_at("layer", i + 1)["text"])
+        children = F.transform("members", lambda i: F.element_at("ids", i + 1))
+        texts = F.transform("members", lambda i: F.element_at("texts", i + 1))
         summarized = rows.select(
             "document_id", "kind", "position", children.alias("children"),
             F.trim(summarize(_prompt(F.col("kind"), texts, settings.summary_input_chars))).alias("summary_text"),
@@ -137,8 +228,7 @@ def build_tree(
             .withColumn("embedding", embed(F.col("summary_text")))
         )
         levels.append(nodes.select(NODE_COLUMNS))
-        entry = F.struct(F.col("position").alias("ord"), F.col("node_id").alias("id"), F.col("summary_text").alias("text"), "embedding")
-        layer = nodes.where("kind = 'cluster'").groupBy("document_id").agg(F.array_sort(F.collect_list(entry)).alias("layer"))
+        layer = _layers(nodes.where("kind = 'cluster'"), "position", "node_id", "summary_text")
     tree = levels[0]
     for nodes in levels[1:]:
         tree = tree.unionByName(nodes)
