@@ -28,6 +28,7 @@ ROOT_PROMPT = "From these section summaries, describe the whole document in at m
 SINGLE_PROMPT = "Describe this document in at most 150 words of plain prose: purpose, key rules, dates.\n\n"
 MAX_COMPONENTS = 10
 FLOOR = 1e-5
+LEAST_MASS = 10 * np.finfo(float).eps
 SIGN = np.int64(-(2**63))
 LEAST_LOG = -600.0  # of a weight: below any rounding, above the slow denormal numbers
 
@@ -87,27 +88,28 @@ def _mixtures(data: np.ndarray, sizes: range, seed: int) -> list[tuple[float, np
     The components of all fits are rows of the same matrices; a fit leaves them once it is done.
     """
     n, d = data.shape
-    powers = np.hstack([data, data**2, np.ones((n, 1))])
-    across = np.ascontiguousarray(powers.T)
+    powers = np.vstack([data.T, data.T**2, np.ones(n)])
     fits, parts = np.arange(len(sizes)), np.array(sizes)
     first, owner = np.cumsum(parts) - parts, np.repeat(fits, parts)
     weight = np.concatenate([np.arange(k)[:, None] == label for k, label in zip(sizes, _start(data, sizes, seed))]).astype(float)
     before = np.full(len(sizes), -np.inf)
     found: list[tuple[float, np.ndarray]] = [(np.inf, np.zeros(n, int))] * len(sizes)
     for step in range(100):
-        moments = weight @ powers
-        mass = moments[:, -1] + 10 * np.finfo(float).eps
-        moments /= mass[:, None]
-        means = moments[:, :d]
-        spread = np.maximum(moments[:, d:-1] - means * means, 0)
+        moments = powers @ weight.T
+        mass = moments[-1] + LEAST_MASS
+        moments /= mass
+        means = moments[:d]
+        spread = moments[d:-1] - means * means
+        np.maximum(spread, 0, out=spread)
         spread += FLOOR
-        # log density = moments (first and second) of the point times these, and what does not depend on the point
+        # log density = first and second powers of the point times these, and what does not depend on the point
         factors = np.empty_like(moments)
-        np.divide(means, spread, out=factors[:, :d])
-        np.divide(-0.5, spread, out=factors[:, d:-1])
+        np.divide(means, spread, out=factors[:d])
+        np.divide(-0.5, spread, out=factors[d:-1])
+        volume = np.sqrt(np.multiply.reduce(spread, axis=0)) * (2 * np.pi) ** (d / 2)
         share = mass / np.add.reduceat(mass, first).take(owner)
-        factors[:, -1] = np.log(share / np.sqrt(np.multiply.reduce(2 * np.pi * spread, axis=1))) - 0.5 * np.einsum("ij,ij->i", means, factors[:, :d])
-        logs = factors @ across
+        factors[-1] = np.log(share / volume) - 0.5 * np.add.reduce(means * factors[:d], axis=0)
+        logs = factors.T @ powers
         top = np.maximum.reduceat(logs, first, axis=0)
         logs -= top.take(owner, axis=0)
         np.maximum(logs, LEAST_LOG, out=logs)
@@ -153,9 +155,11 @@ def _packed(vectors: list) -> list[bytes | None]:
     return [None if r is None else flat[end - 8 * len(r) : end] for r, end in zip(rows, ends)]
 
 
-def _unpacked(packed: bytes) -> np.ndarray:
-    bits = np.frombuffer(packed, dtype=">i8").astype(np.int64)
-    return np.where(bits < 0, bits ^ SIGN, ~bits).view(float)
+def _unpacked(packed: list) -> list[np.ndarray | None]:
+    bits = np.frombuffer(b"".join(p for p in packed if p is not None), dtype=">i8").astype(np.int64)
+    flat = np.where(bits < 0, bits ^ SIGN, ~bits).view(float)
+    ends = accumulate(0 if p is None else len(p) // 8 for p in packed)
+    return [None if p is None else flat[end - len(p) // 8 : end] for p, end in zip(packed, ends)]
 
 
 @F.pandas_udf(BinaryType())
@@ -165,8 +169,7 @@ def pack_vectors(vectors: pd.Series) -> pd.Series:
 
 @F.pandas_udf(ArrayType(ArrayType(IntegerType())))
 def cluster_groups(layers: pd.Series) -> pd.Series:
-    read = lambda layer: [None if v is None else _unpacked(v) for v in layer]
-    return layers.map(lambda layer: cluster(read(layer)) if layer is not None else None)
+    return layers.map(lambda layer: cluster(_unpacked(layer)) if layer is not None else None)
 
 
 def _layers(entries: DataFrame, position: str, name: str, text: str) -> DataFrame:

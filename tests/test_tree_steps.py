@@ -88,8 +88,9 @@ def test_clusters_equal_single_fits(kind):
 def test_packed_vectors_come_back_and_sort_like_the_numbers():
     vectors = [[0.5, -2.0], [0.5, 1e-300], [-1.0, 7.0], [-1.0, -7.0], [0.0, 3.0], [1e300, 0.0], [-1e-300, 0.0], [0.5]]
     packed = tree._packed([*vectors, None])
-    assert packed[-1] is None and [tree._unpacked(p).tolist() for p in packed[:-1]] == vectors
-    assert [tree._unpacked(p).tolist() for p in sorted(packed[:-1])] == sorted(vectors)
+    back = tree._unpacked(packed)
+    assert back[-1] is None and [v.tolist() for v in back[:-1]] == vectors
+    assert [v.tolist() for v in tree._unpacked(sorted(packed[:-1]))] == sorted(vectors)
 
 
 def test_repeated_chunks_keep_numbered_ids(spark):
