@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docloom.functions.vectors import hash_embedder
 from docloom.operators import chunking, tree
 from docloom.settings import Settings
+from docloom.sources.tables import spread
 
 SMALL = Settings(chunk_target_tokens=60, chunk_max_tokens=80, embed_dim=64)
 
@@ -97,3 +98,24 @@ def test_repeated_chunks_keep_numbered_ids(spark):
     rows = spark.createDataFrame([(1, ["a", "b", "a", "a", "b"]), (2, ["a", "b"]), (3, [None, None]), (4, [])], "k int, ids array<string>")
     made = {r["k"]: r["u"] for r in rows.select("k", chunking.unique_ids(F.col("ids")).alias("u")).collect()}
     assert made == {1: ["a", "b", "a:2", "a:3", "b:2"], 2: ["a", "b"], 3: [None, None], 4: []}
+
+
+def test_a_table_of_one_row_group_is_spread_over_all_cores(spark, tmp_path):
+    """It has as many splits as its bytes ask for, and all but one of them read nothing."""
+    place = f"{tmp_path}/a folder"
+    spark.range(20_000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text")).coalesce(1).write.parquet(place)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        scan = spark.read.parquet(place)
+        rows = lambda df: [r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert scan.rdd.getNumPartitions() >= 4 and len(rows(scan)) == 1
+        made = rows(spread(scan))
+        assert len(made) >= 4 and sum(made) == 20_000 and max(made) < 10_000
+        many = spark.range(20_000).repartition(8)
+        many.write.parquet(f"{tmp_path}/many")
+        kept = spark.read.parquet(f"{tmp_path}/many")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        assert spread(kept) is kept
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
